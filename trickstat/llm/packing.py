@@ -23,7 +23,7 @@ from .shared import stored, texts
 
 CAPACITY = 2048
 END_ID = 0
-_MEMO = 200_000
+_MEMO = 1_000_000
 _encoders: dict[str, Encoder] = {}
 
 
