@@ -126,12 +126,12 @@ def by_bucket(bucket: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
 
 def planes(values: np.ndarray) -> bytes:
     """Bytes of equal weight together: what they have in common compresses."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
 
 
 def unplanes(data: bytes, dtype: type) -> np.ndarray:
     width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(dtype).ravel()
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, len(data) // width).T).view(dtype).ravel()
 
 
 def pack(*columns: np.ndarray) -> bytes:
