@@ -1 +1,9 @@
+"""All queries of the library's own operators, and their SQL."""
 
+from __future__ import annotations
+
+from . import rates
+
+MODULES = (rates,)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
