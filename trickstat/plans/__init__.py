@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import rates
+from . import keys, rates, sequences
 
-MODULES = (rates,)
+MODULES = (rates, keys, sequences)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
