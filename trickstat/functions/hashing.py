@@ -13,10 +13,10 @@ LOW = 0xFFFFFFFF
 def fnv1a64(text: Column) -> Column:
     """struct(hi, lo): halves of FNV-1a over the UTF-8 bytes. Halves keep every product within a long, so ANSI mode is no matter."""
     code = F.hex(F.encode(text, "UTF-8"))
-    places = F.when(F.length(code) > 0, F.sequence(F.lit(0), F.length(code) / 2 - 1)).otherwise(F.array().cast("array<double>"))
+    places = F.when(F.length(code) > 0, F.sequence(F.lit(0), F.floor(F.length(code) / 2).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
 
     def step(h: Column, i: Column) -> Column:
-        byte = F.conv(code.substr((i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("long")
+        byte = F.conv(code.substr(i * 2 + 1, F.lit(2)), 16, 10).cast("long")
         lo = h["lo"].bitwiseXOR(byte)
         low = lo * 435
         hi = (h["hi"] * 435 + F.shiftleft(lo, 8) + F.shiftrightunsigned(low, 32)).bitwiseAND(F.lit(LOW))
