@@ -155,6 +155,15 @@ SQL = {
     "alias_summary": f"with {_ALIASES} select count(*) as n_names, count(*) filter (not generated) as explicit, count(*) filter (generated) as generated, count(distinct alias) as n_aliases from aliases",
     "anonymize_columns": f"with {_ALIASES}, o as (select o_orderkey, 'CUSTOMER#' || lpad(o_custkey::varchar, 9, '0') as player from orders) select o_orderkey, coalesce(alias, player) as player from o left join aliases on lower(player) = entity",
     "anonymize_records": """select event_id, 'lin=pn|' || array_to_string([case (event_id + i) % 5 when 0 then 'Amber' when 1 then 'Birch' when 2 then 'Cedar' else 'u' || ((event_id + i) % 5) end for i in [0, 1, 2, 3]], ',') || '|st||md|3|' as record from events""",
+    "aligned_replace": f"""with t as (select doc_id, unnest(range(len(x))) as line, unnest(x) as t from (select doc_id, string_split(text, chr(10)) as x from documents)),
+        g as (select doc_id, line, regexp_split_to_array(t, '(?i)({_alternation(list(TERMS))})') as g, regexp_extract_all(t, '(?i)({_alternation(list(TERMS))})') as m from t),
+        p as (select doc_id, line, list_transform(range(1, len(g) + 1), lambda i: {{'text': g[i], 'debt': 0::bigint, 'm': case when i = 1 then '' else m[i - 1] end, 'r': case when i = 1 then '' else {_cases(TERMS, 'lower(m[i - 1])')} end, 'gap': length(g[i]) - length(regexp_replace(g[i], '^\\s+', ''))}}) as p from g)
+        select doc_id, line::int as line, list_reduce(p, lambda a, b: {{'text': a.text || b.r || case when b.gap > 0 then repeat(' ', greatest(b.gap + a.debt + length(b.m) - length(b.r), 1)) || b.text[b.gap + 1:] else b.text end,
+            'debt': case when b.gap > 0 then 0 else a.debt + length(b.m) - length(b.r) end, 'm': '', 'r': '', 'gap': 0}}).text as t from p""",
+    "fuzzy_terms": r"""with w as (select distinct token from (select unnest(regexp_split_to_array(lower(text), '[^a-z]+')) as token from documents) where length(token) > 3),
+        t as (select distinct term from (select lower(r_name) as term from region union all select lower(n_name) from nation union all select lower(regexp_extract(text, '[A-Za-z]{6,}')) from benchmark) where term <> '')
+        select token, term from w join t on abs(length(token) - length(term)) <= 2
+        where token = term or (length(term) > 3 and list_sum(list_transform(range(1, least(length(token), length(term)) + 1), lambda i: (token[i] = term[i])::int)) / least(length(token), length(term)) >= 0.75)""",
     "replace_rules": _replaced("documents", "doc_id", "text", TEXT_RULES),
     "mask_fixed": _replaced("documents", "doc_id", "text", {k: v[: len(k)].ljust(len(k)) for k, v in TEXT_RULES.items()}),
     "redact_terms": r"select conv_id, turn, regexp_replace(regexp_replace(text, '[A-Za-z0-9._-]+@\S+', '[link]', 'g'), 'and|the', '', 'g') as text from conversations",
