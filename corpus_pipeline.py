@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id; of rows that repeat a doc_id with equal texts, one."""
+    """Of each group of linked documents the one with the smallest doc_id."""
     return ngram_join.representatives(docs)
 
 
