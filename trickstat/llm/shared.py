@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +44,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets(spark: SparkSession) -> int:
+    """How many groups packed rows are dealt out to: some for each shuffle partition, as a task holds one group at a time."""
+    return 4 * partitions(spark)
+
+
 def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only key (as long) and text, so that further columns of any name do no harm."""
     return df.select(df[key].cast("long").alias("doc_id"), df[text].cast("string").alias("text"))
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null as empty) and mark: a hash of the text if some doc_id occurs again, so that texts of one id stay apart; else 0."""
+    rows = texts(docs).withColumn("text", F.coalesce("text", F.lit("")))
+    again = rows.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return rows.withColumn("mark", F.xxhash64("text") if again else F.lit(0).cast("long"))

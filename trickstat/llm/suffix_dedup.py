@@ -29,11 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import _BYTE, by_bucket, mix, pack, powers, slices, spans_hash, unpack
-from .shared import partitions, stored, texts
+from .shared import buckets, marked, stored
 
 LEAST = 100
 KGRAM = 20
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 BLOOM_BITS = 1 << 27
 _POSITION = np.uint64(BLOCK * 2 - 1)
 NO_ID = -(1 << 63)
@@ -76,7 +76,7 @@ def _bucket(keys: np.ndarray, count: int) -> np.ndarray:
 
 def repeated_keys(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """bit: places in a Bloom filter of minimizer keys that occur at least twice in all documents."""
-    count = partitions(docs.sparkSession)
+    count = buckets(docs.sparkSession)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -154,7 +154,7 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 def contexts(docs: DataFrame, filter_: np.ndarray, least: int = LEAST) -> DataFrame:
     """bucket, payload: the contexts whose key passes the filter, and the runs of those that a task has seen before in itself."""
-    count = partitions(docs.sparkSession)
+    count = buckets(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(filter_)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +198,7 @@ def contexts(docs: DataFrame, filter_: np.ndarray, least: int = LEAST) -> DataFr
                 doc = part.column("doc_id").fill_null(NO_ID).to_numpy()[of]
                 held.append([key, doc, part.column("mark").to_numpy()[of], low - offsets[of], (high - low + 1).astype(np.uint8), data[_spread(low, high - low + least)]])
                 size += len(held[-1][5])
-                if size > 12_000_000:
+                if size > 5_000_000:
                     yield out()
                     held, size = [], 0
         if held:
@@ -305,7 +305,7 @@ def _met(table: pa.Table, least: int) -> tuple[list[np.ndarray], list[np.ndarray
     return merged[:6], merged[6:]
 
 
-def _by_key(fields: list[np.ndarray], least: int, limit: int = 1_500_000) -> Iterator[list[np.ndarray]]:
+def _by_key(fields: list[np.ndarray], least: int, limit: int = 600_000) -> Iterator[list[np.ndarray]]:
     """Contexts of keys that several have, whole keys together, up to limit bytes or one key."""
     key, doc, mark, start, windows, content = fields
     sizes = windows.astype(np.int64) + least - 1
@@ -373,10 +373,6 @@ def maximal_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return contexts(docs, filter_, least).groupBy("bucket").applyInArrow(meet, "repeat_id long, length long, doc_id long, start long")
 
 
-def marked(docs: DataFrame) -> DataFrame:
-    return texts(docs).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("mark", F.xxhash64("text"))
-
-
 def _place(doc_id: Column, mark: Column) -> Column:
     return F.pmod(F.xxhash64(doc_id, mark), F.lit(BLOOM_BITS))
 
