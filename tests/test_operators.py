@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trickstat.functions import hashing, links, stats, text
-from trickstat.operators import alias, keys, play, rates
+from trickstat.operators import alias, keys, play, rates, report
 from trickstat.sources import records
 from trickstat.streaming import incremental
 
@@ -191,3 +191,24 @@ def test_scorer_and_stream(spark, tmp_path):
         spark.createDataFrame([(i,) for i in part], "i long").write.mode("append").parquet(source)
         incremental.ingest_stream(spark, spark.read.parquet(source).schema, source, sink, str(tmp_path / "cp"))
     assert sorted(r.i for r in spark.read.parquet(sink).collect()) == list(range(5))
+
+
+def test_reports(spark):
+    links_ = spark.createDataFrame([("https://tinyurl.com/A", "d1"), ("x", "d2"), ("y", None)], "link string, deal string")
+    direct = spark.createDataFrame([("a", 7, "t7")], "link_key string, board int, target string")
+    by_deal = spark.createDataFrame([("d2", 8, "t8")], "deal string, board int, target string")
+    matched, index = report.link_tables(links_, direct, by_deal)
+    assert rows(index, "link", "board", "source") == [("https://tinyurl.com/A", 7, "key"), ("x", 8, "deal"), ("y", 0, "")] and matched.count() == 2
+    one = spark.range(1)
+    hands = {s: F.array(F.lit(s + "1"), F.lit(s + "2")) for s in "NESW"}
+    got = one.select(report.declarer_of(F.lit("S2"), hands).alias("d"), *(c.alias(s) for s, c in report.compass_hands(F.lit("S"), [F.lit("dec"), F.lit("lead"), F.lit("dummy"), F.lit("third")]).items()), report.commentary(Lead=F.lit("HK"), Bad_case=F.lit(None).cast("string"), n=F.lit(3)).alias("c"), report.trim_plays(F.lit("Lead"), F.array(F.lit("a"), F.lit("b"))).alias("t")).first()
+    assert (got.d, got.N, got.E, got.S, got.W, got.c, got.t) == ("E", "dummy", "third", "dec", "lead", "Lead: HK\nn: 3", ["a"])
+    seeded = report.seeded_aliases(spark, "s", 40).collect()
+    assert len({r.alias for r in seeded}) == 40 and sorted(r.position for r in seeded) == list(range(40))
+    boards = spark.createDataFrame([(1, 0, "")], "doc_board int, x int, y string").select("doc_board")
+    assert rows(report.mapping_table(boards, spark.createDataFrame([(2, 5, "l")], "doc_board int, dataset_board int, link string")), "dataset_board", "link") == [(0, "")]
+    table = spark.createDataFrame([(1, "Ann", "Bob"), (2, "bob", "")], "id int, n string, s string")
+    text_ = spark.createDataFrame([("Ann   12",)], "line string")
+    out, lines, aliases = report.anonymize_case(table, ["n", "s"], F.col("id"), "k", text_, "line", {"ann": "Q"})
+    got = {r.id: (r.n, r.s) for r in out.collect()}
+    assert got[1][0] == "Q" and got[1][1] == got[2][0] and got[2][1] == "" and lines.first().line == "Q     12" and aliases.count() == 2

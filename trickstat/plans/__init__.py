@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import keys, rates, sequences, texts
+from . import keys, rates, reports, sequences, texts
 
-MODULES = (rates, keys, sequences, texts)
+MODULES = (rates, keys, sequences, texts, reports)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
