@@ -1,22 +1,26 @@
 """Exact Jaccard self-join of documents on word shingles, by token-combination prefixes.
 
-All shingles have one global order: rare ones first, by hash; then those of frequent classes. Two sets with
+All shingles have one global order: those that fewer sets have first, then by hash. Two sets with
 Jaccard t or more differ in at most d = n - ceil(t n) of the n shingles of either. A prefix is extended until
-its credit is d + 1, where a rare shingle gives 1 and a class of frequent shingles, dealt into small
+its credit is d + e, where a rare shingle gives 1 and a class of frequent shingles, dealt into small
 subclasses, gives c - (k - 1) for c members of a subclass. Then the common part of two such prefixes still
-holds a rare shingle or k members of one subclass: rare shingles are indexed singly, frequent ones by their
-combinations of k. Candidates are verified on the whole texts.
+has the credit e: rare shingles are indexed singly, frequent ones by their combinations of k, and as c members
+have at least c - (k - 1) combinations, two sets that can link share at least e = 1 + d // 4 signatures.
+Candidates that do are verified on the whole texts.
 
-How frequent a shingle is comes from a count of all shingles of all documents. Which ones are frequent is
-broadcast; as F = max(64, all / TABLE), these are TABLE at most whatever the corpus holds. The class only
-decides how a shingle is indexed, never whether a pair is found.
+How many sets have a shingle is counted over all documents: shingles meet by key and the counts go back to the sets.
+A shingle that no other set has can't be common to two: such shingles are first in the order, give their credit and
+need no index. A set with more of them than d + e - 1 has no link at all. Nothing is broadcast for this.
 
 Subclasses are numbered within a size scheme: schemes grow by 1/t, a set takes part in its own and the next,
 so any two sets that can link share one.
 
+Two shingles of a set may have one key (a chance of n ** 2 in 2 ** 38 or less); prefixes are SLACK longer for that.
+
 A set is known by its fingerprint, so equal sets are one node and copies are never compared. Nodes that share
-a signature first try the one they share most with; groups that lie in one component by then are done. In the
-others every pair across components is verified. That finds the same components as all links would.
+a signature first try the one they share most with; groups that lie in one component by then are done. Of the
+others, large groups are compared in blocks, and what pairs across components remain are verified one by one.
+That finds the same components as all links would.
 
 Nulls and texts without words: no shingles, linked with nothing. Repeated rows share their node. A null doc_id
 takes part, and is never a component's smallest. An empty table gives no rows.
@@ -30,18 +34,25 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import by_bucket, mix, pack, shingle_sets, slices, unpack
 from .components import components
 from .shared import forget, partitions, stored, texts
 
-#: Most frequent shingles that may be broadcast, at 9 bytes each.
-TABLE = 4_000_000
-LEAST = 64
+#: Shingles that so many sets have are indexed by pairs, or by triples.
+FREQUENT = 1024
+VERY_FREQUENT = 1 << 20
+#: Groups of a signature from this size on are verified in blocks of BLOCK sets, which emit links only.
+LARGE = 64
+BLOCK = 512
 #: Sets smaller than this index frequent shingles singly too: combinations could not give the credit.
-SMALL = 32
+SMALL = 72
+#: A prefix is longer by one part in so many than it must be; in return candidates must share that many signatures.
+EXTRA = 4
+#: Shingles of a set that may have met in one key.
+SLACK = 1
 BLOOM_BITS = 1 << 26
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
@@ -53,70 +64,19 @@ def node_of(tokens: np.ndarray) -> int:
 
 
 def nodes(docs: DataFrame, n: int = 5) -> DataFrame:
-    """doc_id, n_shingles, node (null for an empty set)."""
+    """doc_id, mark (hash of the text), n_shingles, node (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in slices(batch):
                 sets = [(len(s), node_of(s) if len(s) else None) for s in shingle_sets(data, offsets, n)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.int64())], ["doc_id", "n_shingles", "node"])
-
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long")
-
-
-def _bucket(tokens: np.ndarray, count: int) -> np.ndarray:
-    return ((tokens >> np.uint64(32)) % np.uint64(count)).astype(np.int64)
-
-
-def frequent(docs: DataFrame, least: int, n: int = 5) -> DataFrame:
-    """Keys (bucket and lower 32 bits) and document counts of shingles that at least so many documents have."""
-    count = partitions(docs.sparkSession)
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            tokens, times = np.unique(np.concatenate(held), return_counts=True)
-            order, first = by_bucket(_bucket(tokens, count), count)
-            low, times = tokens[order].astype(np.uint32), times[order].astype(np.uint32)
-            full = [b for b in range(count) if first[b] < first[b + 1]]
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([_counts(low[first[b] : first[b + 1]], times[first[b] : first[b + 1]]) for b in full], pa.binary())], ["bucket", "payload"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.int64())], ["doc_id", "mark", "n_shingles", "node"])
 
-        for batch in batches:
-            for _, data, offsets in slices(batch):
-                for s in shingle_sets(data, offsets, n):
-                    held.append(s)
-                    size += len(s)
-                if size > 1_500_000:
-                    yield out()
-                    held, size = [], 0
-        if size:
-            yield out()
-
-    def _counts(low: np.ndarray, times: np.ndarray) -> bytes:
-        order = np.argsort(low)
-        low = low[order]
-        return pack(np.diff(low, prepend=np.uint32(0)).astype(np.uint32), times[order])
-
-    def add(table: pa.Table) -> pa.Table:
-        keys, times = [], []
-        for payload in table.column("payload").to_pylist():
-            gaps, c = unpack(payload, np.uint32, np.uint32)
-            keys.append(np.cumsum(gaps, dtype=np.uint32))
-            times.append(c)
-        key, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(at, np.concatenate(times)).astype(np.int64)
-        keep = total >= least
-        base = table.column("bucket")[0].as_py() << 32
-        return pa.table({"key": pa.array(key[keep].astype(np.int64) + base), "df": pa.array(total[keep])})
-
-    rows = docs.mapInArrow(gather, "bucket int, payload binary")
-    return rows.groupBy("bucket").applyInArrow(add, "key long, df long")
+    return docs.withColumn("mark", F.xxhash64("text")).mapInArrow(run, "doc_id long, mark long, n_shingles long, node long")
 
 
 class Scheme:
-    """Size schemes and what a set of n shingles is indexed by."""
+    """Size schemes, and what a set of n shingles is indexed by."""
 
     def __init__(self, num: int, den: int) -> None:
         self.num, self.den = num, den
@@ -128,22 +88,36 @@ class Scheme:
         """How many of n shingles a linked set may lack."""
         return n - -(-n * self.num // self.den)
 
-    def signatures(self, tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """tokens sorted; classes: how many of a token's class make a combination, 1 for rare tokens."""
-        n, need = len(tokens), self.missing(len(tokens)) + 1
-        rare = tokens[classes == 1]
-        if len(rare) >= need:
-            return rare[:need]
+    def shared(self, n: int) -> int:
+        """How many signatures a set of n shingles has in common with any that it links with (of the smaller such number of both)."""
+        return 1 + self.missing(n) // EXTRA
+
+    def shared_sql(self, n: Column) -> Column:
+        return 1 + F.floor((n - F.floor((n * self.num + self.den - 1) / self.den)) / EXTRA)
+
+    def may_link(self, n: np.ndarray, common: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Whether a set of n shingles, of which others have so many, can link with one of the other size: what both share is
+        at least t / (1 + t) of their sizes together."""
+        return (self.num + self.den) * common >= self.num * (n + other)
+
+    def signatures(self, n: int, keys: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """keys: what of the set other sets have too, times: how many sets have it, both in order of (times, key)."""
+        need = self.missing(n) + self.shared(n) + SLACK - (n - len(keys))
+        rare = int(np.searchsorted(times, FREQUENT))
+        if need <= 0:
+            return keys[:0]
+        if rare >= need:
+            return keys[:need]
         own = int(np.searchsorted(self.bounds, n, "right")) - 1
-        rest = [(k, t) for k in np.unique(classes[classes > 1]).tolist() for t in tokens[classes == k].tolist()]
+        rest = list(zip(np.where(times[rare:] < VERY_FREQUENT, 2, 3).tolist(), keys[rare:].tolist(), strict=True))
         out: list[int] = []
         for scheme in (own, own + 1):
             if self.bounds[scheme] < SMALL:
-                out += [t for _, t in rest[: need - len(rare)]]
+                out += [t for _, t in rest[: need - rare]]
                 continue
             share = self.missing(self.bounds[scheme]) + 1
             groups: dict[tuple[int, int], list[int]] = defaultdict(list)
-            credit = len(rare)
+            credit = rare
             for k, t in rest:
                 group = groups[k, (t >> 7) % max(1, share * 5 // 6 if k == 2 else share // 2)]
                 group.append(t)
@@ -157,91 +131,166 @@ class Scheme:
                 for j in range(k):
                     code = mix(code ^ got[:, j])
                 out += code.tolist()
-        return np.unique(np.concatenate((rare, np.array(out, np.uint64))))
+        return np.concatenate((keys[:rare], np.array(out, np.uint64)))
 
 
-def shared_signatures(docs: DataFrame, keys: np.ndarray, classes: np.ndarray, scheme: Scheme, n: int = 5) -> DataFrame:
-    """sig, node, n_shingles, leader: signatures that at least two nodes have, with the group's smallest node."""
-    spark = docs.sparkSession
-    count = partitions(spark)
-    table = spark.sparkContext.broadcast((keys, classes))
+def _owned(payloads: list[bytes], *kinds: type) -> tuple[np.ndarray, np.ndarray, list[list[np.ndarray]]]:
+    """Distinct (node, n) of packed rows, each entry's place among them, and the further columns in parts. A payload is nodes, sizes, places, ..."""
+    got = [unpack(p, np.int64, np.uint32, np.uint32, *kinds) for p in payloads]
+    node, size = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+    base = np.concatenate(([0], np.cumsum([len(g[0]) for g in got])))[:-1]
+    own, first, at = np.unique(node, return_index=True, return_inverse=True)
+    return np.stack((own, size[first].astype(np.int64)), 1), at[np.concatenate([g[2].astype(np.int64) + b for g, b in zip(got, base, strict=True)])], [[g[i] for g in got] for i in range(3, 3 + len(kinds))]
+
+
+def _packed(nodes_: np.ndarray, places: np.ndarray, *columns: np.ndarray) -> bytes:
+    who, at = np.unique(places, return_inverse=True)
+    return pack(nodes_[who, 0], nodes_[who, 1].astype(np.uint32), at.astype(np.uint32), *columns)
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, classes = table.value
-        ids: list[int] = []
-        sizes: list[int] = []
-        sigs: list[np.ndarray] = []
-        held = 0
+
+#: A batch: its name, and nodes and sizes where they travel.
+BATCH = (np.int64, np.int64, np.uint32)
+
+
+def _dealt(bucket: np.ndarray, count: int, nodes_: np.ndarray, places: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    order, first = by_bucket(bucket, count)
+    full = [b for b in range(count) if first[b] < first[b + 1]]
+    payloads = []
+    for b in full:
+        rows = order[first[b] : first[b + 1]]
+        payloads.append(_packed(nodes_, places[rows], *(c[rows] for c in columns)))
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(payloads, pa.binary())], ["bucket", "payload"])
+
+
+def shared_shingles(docs: DataFrame, n: int = 5) -> DataFrame:
+    """bucket, payload: for each batch of sets, dealt out by batch, the shingles that other sets have too and how many have them.
+
+    A shingle's key is its bucket and 32 more bits of its hash. Shingles that meet in a key only make candidates. A batch
+    is known by the node of its first set; its nodes and sizes travel once. Equal sets count once in a task, so an often
+    copied text seems shared by some at least: that costs an index entry, not a link.
+    """
+    count = partitions(docs.sparkSession)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        ids: list[tuple[int, int]] = []
+        seen: set[int] = set()
 
         def out() -> pa.RecordBatch:
-            every = np.concatenate(sigs)
-            owner = np.repeat(np.arange(len(ids), dtype=np.uint32), [len(s) for s in sigs])
-            order, first = by_bucket(_bucket(every, count), count)
-            every, owner = every[order], owner[order]
-            id_, size_ = np.array(ids, np.int64), np.array(sizes, np.uint32)
-            full = [b for b in range(count) if first[b] < first[b + 1]]
+            tokens, places = np.concatenate(held), np.repeat(np.arange(len(held), dtype=np.uint32), [len(h) for h in held])
+            bucket = (tokens >> np.uint64(32)) % np.uint64(count)
+            first = np.concatenate(([0], np.cumsum(np.bincount(bucket.astype(np.int64), minlength=count))))
+            order = np.argsort((bucket << np.uint64(32)) | (tokens & np.uint64(0xFFFFFFFF)))
+            tokens, places = tokens[order].astype(np.uint32), places[order]
+            nodes_ = np.array(ids, np.int64)
+            home = ids[0][0] % count
             payloads = []
-            for b in full:
-                own = owner[first[b] : first[b + 1]]
-                who, times = np.unique(own, return_counts=True)  # owners stand in order
-                payloads.append(pack(id_[who], size_[who], times.astype(np.uint32), every[first[b] : first[b + 1]]))
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(payloads, pa.binary())], ["bucket", "payload"])
+            for b in range(count):
+                own, part = nodes_[: len(nodes_) if b == home else 0], tokens[first[b] : first[b + 1]]
+                payloads.append(pack(nodes_[:1, 0], own[:, 0], own[:, 1].astype(np.uint32), places[first[b] : first[b + 1]], np.diff(part, prepend=np.uint32(0)).astype(np.uint32)))
+            return pa.RecordBatch.from_arrays([pa.array(range(count), pa.int32()), pa.array(payloads, pa.binary())], ["bucket", "payload"])
 
+        size = 0
         for batch in batches:
             for _, data, offsets in slices(batch):
-                sets = [s for s in shingle_sets(data, offsets, n) if len(s)]
-                if not sets:
-                    continue
-                flat = np.concatenate(sets)
-                kind = np.ones(len(flat), np.uint8)
-                if len(keys):
-                    key = (_bucket(flat, count) << 32) + (flat & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    hit = keys[at] == key
-                    kind[hit] = classes[at[hit]]
-                low = 0
-                for s in sets:
-                    got = scheme.signatures(s, kind[low : low + len(s)])
-                    low += len(s)
-                    ids.append(node_of(s))
-                    sizes.append(len(s))
-                    sigs.append(got)
-                    held += len(got)
-                if held > 500_000:
+                for s in shingle_sets(data, offsets, n):
+                    if len(s) and (node := node_of(s)) not in seen:  # equal sets of a task travel once
+                        seen.add(node)
+                        held.append(s)
+                        ids.append((node, len(s)))
+                        size += len(s)
+                if size > 1_500_000:
                     yield out()
-                    ids, sizes, sigs, held = [], [], [], 0
-        if held:
+                    held, ids, size = [], [], 0
+        if size:
             yield out()
 
     def meet(table: pa.Table) -> pa.Table:
-        got = [unpack(p, np.int64, np.uint32, np.uint32, np.uint64) for p in table.column("payload").to_pylist()]
-        times = np.concatenate([g[2] for g in got])
-        node, size = (np.repeat(np.concatenate([g[i] for g in got]), times) for i in (0, 1))
-        sig = np.concatenate([g[3] for g in got])
-        order = np.lexsort((node, sig))
-        sig, node, size = sig[order], node[order], size[order]
-        fresh = np.ones(len(sig), bool)
-        fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-        sig, node, size = sig[fresh], node[fresh], size[fresh]
-        starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-        lengths = np.diff(np.append(starts, len(sig)))
-        keep = np.repeat(lengths > 1, lengths)
-        leader = np.repeat(node[starts], lengths)
-        return pa.table({"sig": sig[keep].view(np.int64), "node": node[keep], "n": size[keep].astype(np.int64), "leader": leader[keep]})
-
-    rows = docs.mapInArrow(index, "bucket int, payload binary")
-    return rows.groupBy("bucket").applyInArrow(meet, "sig long, node long, n long, leader long")
+        got = [unpack(p, *BATCH, np.uint32, np.uint32) for p in table.column("payload").to_pylist()]
+        ends = np.cumsum([len(g[3]) for g in got])
+        keys = np.concatenate([np.cumsum(g[4], dtype=np.uint32) for g in got])
+        _, group, times = np.unique(keys, return_inverse=True, return_counts=True)
+        times = times[group].astype(np.uint32)
+        mine = table.column("bucket")[0].as_py()
+        to, payloads = [], []
+        for g, low, high in zip(got, np.concatenate(([0], ends[:-1])).tolist(), ends.tolist(), strict=True):
+            keep = np.flatnonzero(times[low:high] > 1)
+            if len(keep) or len(g[1]):
+                to.append(int(g[0][0]) % count)
+                key = keys[low:high][keep]
+                payloads.append(pack(*g[:3], np.full(int(len(keep) > 0), mine, np.uint32), g[3][keep], np.diff(key, prepend=np.uint32(0)).astype(np.uint32), times[low:high][keep]))
+        return pa.table({"bucket": pa.array(to, pa.int32()), "payload": pa.array(payloads, pa.binary())})
+
+    rows = docs.mapInArrow(gather, "bucket int, payload binary")
+    return rows.groupBy("bucket").applyInArrow(meet, "bucket int, payload binary")
+
+
+def shared_signatures(shingles: DataFrame, scheme: Scheme) -> DataFrame:
+    """sig, node, n, common, leader, size (of the group): signatures that at least two nodes have which may link. common: how many shingles of the
+    node other sets have too. leader: of the group, the node with the largest such part (an original rather than an edited copy)."""
+    count = partitions(shingles.sparkSession)
+
+    def index(table: pa.Table) -> pa.Table:
+        got = [unpack(p, *BATCH, np.uint32, np.uint32, np.uint32, np.uint32) for p in table.column("payload").to_pylist()]
+        start, total = {}, 0
+        for g in got:
+            if len(g[1]):
+                start[int(g[0][0])] = total
+                total += len(g[1])
+        nodes_ = np.stack((np.concatenate([g[1] for g in got]), np.concatenate([g[2] for g in got]).astype(np.int64)), 1)
+        places = np.concatenate([g[4].astype(np.int64) + start[int(g[0][0])] for g in got])
+        key = np.concatenate([np.cumsum(g[5], dtype=np.uint32).astype(np.uint64) | np.uint64(int(g[3][0]) << 32 if len(g[3]) else 0) for g in got])
+        times = np.concatenate([g[6] for g in got])
+        order = np.lexsort((key, times, places))
+        key, times, places = key[order], times[order], places[order]
+        first = np.searchsorted(places, np.arange(len(nodes_) + 1))
+        sigs, owner = [], []
+        for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+            got = scheme.signatures(int(nodes_[i, 1]), key[a:b], times[a:b])
+            if len(got):
+                sigs.append(np.unique(got))
+                owner.append(np.full(len(sigs[-1]), i))
+        if not sigs:
+            return pa.table({"bucket": pa.array([], pa.int32()), "payload": pa.array([], pa.binary())})
+        sig, place = np.concatenate(sigs), np.concatenate(owner)
+        common = np.diff(first).astype(np.uint32)
+        return pa.Table.from_batches([_dealt((mix(sig) % np.uint64(count)).astype(np.int64), count, nodes_, place, sig, common[place])])
+
+    def meet(table: pa.Table) -> pa.Table:
+        nodes_, place, parts = _owned(table.column("payload").to_pylist(), np.uint64, np.uint32)
+        sig, held = map(np.concatenate, parts)
+        common = np.zeros(len(nodes_), np.int64)
+        np.maximum.at(common, place, held)
+        size = nodes_[:, 1]
+        order = np.lexsort((place, -common[place] / size[place], sig))
+        sig, place = sig[order], place[order]
+        keep = np.concatenate(([True], (sig[1:] != sig[:-1]) | (place[1:] != place[:-1])))  # a set that two tasks have
+        for _ in range(3):  # what goes may leave others without a partner
+            sig, place = sig[keep], place[keep]
+            starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
+            lengths = np.diff(np.append(starts, len(sig)))
+            smallest = np.repeat(np.minimum.reduceat(size[place], starts), lengths) if len(sig) else size[place]
+            keep = (np.repeat(lengths, lengths) > 1) & scheme.may_link(size[place], common[place], np.maximum(smallest, -(-size[place] * scheme.num // scheme.den)))
+        leader = np.repeat(nodes_[place[starts], 0], lengths)
+        return pa.table({"sig": sig.view(np.int64), "node": nodes_[place, 0], "n": size[place], "common": common[place], "leader": leader, "size": np.repeat(lengths, lengths)})
+
+    return shingles.groupBy("bucket").applyInArrow(index, "bucket int, payload binary").groupBy("bucket").applyInArrow(meet, "sig long, node long, n long, common long, leader long, size long")
+
+
+def _filled(bits: DataFrame) -> np.ndarray:
+    """A Bloom filter of BLOOM_BITS from places that count from 1: BLOOM_BITS / 32768 rows at most, of 4 KB, come to the driver."""
+    rows = bits.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    out = np.zeros(BLOOM_BITS // 8, np.uint8)
+    for row in rows.toLocalIterator():
+        at = (row["bucket"] - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(row["bits"], np.uint8)
+    return out
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, n: int = 5) -> DataFrame:
     """node, text of the wanted nodes. A Bloom filter of fixed size keeps most other texts out of the shuffle; the join is exact."""
     spark = docs.sparkSession
-    bit = F.pmod(F.col("node"), F.lit(BLOOM_BITS)) + 1  # bitmap positions count from 1
-    bits = wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    bloom = np.zeros(BLOOM_BITS // 8 + 4096, np.uint8)
-    for row in bits.toLocalIterator():  # BLOOM_BITS / 32768 rows at most, of 4 KB
-        at = (row["bucket"] - 1) * 4096
-        bloom[at : at + 4096] = np.frombuffer(row["bits"], np.uint8)
+    bloom = _filled(wanted.select((F.pmod("node", F.lit(BLOOM_BITS)) + 1).alias("bit")))
     sent = spark.sparkContext.broadcast(bloom)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,40 +337,119 @@ def verified(pairs: DataFrame, known: DataFrame, num: int, den: int, n: int = 5)
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def block_links(groups: DataFrame, known: DataFrame, num: int, den: int, n: int = 5) -> DataFrame:
+    """Links (a, b) across components within each sig's group, found in pairs of blocks: a task has two blocks' texts at a time."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        batch = table.combine_chunks().to_batches()[0]
+        sets = [s for _, data, offsets in slices(batch) for s in shingle_sets(data, offsets, n)]
+        side, node, part = (batch.column(c).to_numpy() for c in ("side", "node", "component"))
+        own = batch.column("low")[0].as_py() == batch.column("high")[0].as_py()
+        rows, columns = np.flatnonzero(side == 0), np.flatnonzero(side == 0 if own else side == 1)
+        if not len(rows) or not len(columns):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        left, right = (np.concatenate([sets[i] for i in x]) for x in (rows, columns))
+        vocabulary = np.intersect1d(left, right)
+        counts = np.zeros((len(rows), len(columns)), np.float32)
+        for low in range(0, len(vocabulary), 8192):
+            words = vocabulary[low : low + 8192]
+            matrices = []
+            for x in (rows, columns):
+                m = np.zeros((len(x), len(words)), np.float32)
+                for k, i in enumerate(x):
+                    at = np.minimum(np.searchsorted(words, sets[i]), len(words) - 1)
+                    m[k, at[words[at] == sets[i]]] = 1
+                matrices.append(m)
+            counts += matrices[0] @ matrices[1].T
+        size = np.array([len(s) for s in sets], np.int64)
+        both = np.rint(counts).astype(np.int64)
+        hit = (den * both >= num * (size[rows][:, None] + size[columns][None, :] - both)) & (part[rows][:, None] != part[columns][None, :])
+        a, b = np.nonzero(hit)
+        return pa.table({"a": node[rows][a], "b": node[columns][b]})
+
+    blocks = groups.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
+    each = groups.join(blocks, "sig").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    each = each.select("sig", F.least("_own", "_other").alias("low"), F.greatest("_own", "_other").alias("high"), (F.col("_own") > F.col("_other")).cast("int").alias("side"), "node", "component")
+    return each.join(known, "node").groupBy("sig", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, n: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach). num / den is 0.75 or more."""
+    return grouped(docs, num, den, n).drop("mark")
+
+
+def grouped(docs: DataFrame, num: int = 75, den: int = 100, n: int = 5) -> DataFrame:
+    """near_duplicates() with mark, the hash of each row's text."""
     spark = docs.sparkSession
     docs = texts(docs)
     scheme = Scheme(num, den)
     listed = stored(nodes(docs, n), "nodes")
-    total = listed.agg(F.sum("n_shingles")).first()[0] or 0
-    least = max(LEAST, -(-total // TABLE))
-    found = frequent(docs, least, n).toArrow()
-    keys, df = found.column("key").to_numpy(), found.column("df").to_numpy()
-    order = np.argsort(keys)
-    keys, classes = keys[order], np.where(df[order] >= 32 * least, 3, 2).astype(np.uint8)
-    index = stored(shared_signatures(docs, keys, classes, scheme, n), "signatures")
-    fits = F.col("n") * den >= F.col("n_b") * num, F.col("n_b") * den >= F.col("n") * num
-
-    sized = index.select(F.col("node").alias("leader"), F.col("n").alias("n_b")).distinct()
-    tried = index.where("node <> leader").groupBy("node", "n", "leader").count().join(sized, "leader").where(fits[0] & fits[1])
-    first = tried.groupBy(F.col("node").alias("a")).agg(F.max_by("leader", F.struct("count", "leader")).alias("b"))
-    known = stored(texts_of(docs, index.select("node").distinct(), n), "texts")
+    every = stored(shared_signatures(shared_shingles(docs, n), scheme), "signatures")
+    least_n = F.floor((F.col("n") * num + den - 1) / den)
+    able = every.groupBy("node", "n").count().where(F.col("count") >= scheme.shared_sql(least_n)).select("node", "n")
+    index = stored(every.join(able.select("node"), "node", "left_semi"), "index")
+    forget(every)
+    fits = (F.col("n") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n") * num) & ((num + den) * F.least("common", "common_b") >= num * (F.col("n") + F.col("n_b")))
+    enough = F.col("count") >= F.least(scheme.shared_sql(F.col("n")), scheme.shared_sql(F.col("n_b")))
+
+    wanted = index.select("node", "n", "common").distinct()
+    known = stored(texts_of(docs, wanted.select("node"), n), "texts")
+    sized = wanted.select(F.col("node").alias("leader"), F.col("n").alias("n_b"), F.col("common").alias("common_b"))
+    tried = index.where("node <> leader").groupBy("node", "n", "common", "leader").count().join(sized, "leader")
+    first = tried.where(fits & enough).groupBy(F.col("node").alias("a")).agg(F.max_by("leader", F.struct("count", "leader")).alias("b"))
     links = stored(verified(first, known, num, den, n), "links")
 
     part = components(links)
-    members = index.select("sig", "node", "n").join(part, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("component"))
+    members = index.select("sig", "node", "n", "common", "size").join(part, "node", "left").select("sig", "node", "n", "common", "size", F.coalesce("component", "node").alias("component"))
     mixed = members.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
     open_ = stored(members.join(mixed, "sig", "left_semi"), "open")
     forget(index)
-    sides = open_.select("sig", "component").distinct()
-    across = open_.join(sides.select("sig", F.col("component").alias("other")), "sig").where("component < other")
-    right = open_.select("sig", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("other"))
-    pairs = across.join(right, ["sig", "other"]).where(fits[0] & fits[1]).select(F.col("node").alias("a"), "b").distinct()
+    homes = stored(open_.where(F.col("size") >= LARGE).groupBy("node").agg(F.max_by("sig", F.struct("size", "sig")).alias("home")), "homes")
+    chosen = homes.select(F.col("home").alias("sig")).distinct()
+    in_blocks = stored(open_.join(chosen, "sig", "left_semi"), "blocks")
+    links = links.unionByName(stored(block_links(in_blocks, known, num, den, n), "links"))
+
+    part = components(links)
+    member = in_blocks.groupBy("node").agg(F.collect_set("sig").alias("_met"))
+    rest = open_.drop("component").join(part, "node", "left").withColumn("component", F.coalesce("component", "node")).join(homes, "node", "left").join(member, "node", "left")
+    mixed = rest.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
+    rest = stored(rest.join(mixed, "sig", "left_semi").select("sig", "node", "n", "common", "component", "home", "_met"), "rest")
+    left, right = (rest.select("sig", *(F.col(c).alias(f"{c}{end}") for c in ("node", "n", "common", "component", "home", "_met"))) for end in ("", "_b"))
+    met = lambda a, b: F.coalesce(F.array_contains(a, b), F.lit(False))
+    apart = (F.col("component") < F.col("component_b")) & ~met("_met_b", F.col("home")) & ~met("_met", F.col("home_b"))
+    both = left.join(right, (left["sig"] == right["sig"]) & fits & apart)
+    pairs = both.groupBy(F.col("node").alias("a"), F.col("node_b").alias("b"), "n", "n_b").count().where(enough).select("a", "b")
     more = stored(verified(pairs, known, num, den, n), "links")
+    for table in (known, open_, homes, in_blocks, rest):
+        forget(table)
 
     part = components(links.unionByName(more))
     placed = listed.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least_id = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     spread = placed.join(least_id, "component", "left")
-    return spread.select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return spread.select("doc_id", "mark", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, num: int = 75, den: int = 100, n: int = 5) -> DataFrame:
+    """The rows of docs, all columns as they are, but those whose doc_id isn't their group's smallest. Rows without words
+    or doc_id stay, and so do repeated rows of a doc_id that stays. Only texts that a Bloom filter can't tell from dropped ones are shuffled."""
+    found = stored(grouped(docs, num, den, n), "groups")
+    drop = found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    place = lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(BLOOM_BITS)) + 1
+    sent = docs.sparkSession.sparkContext.broadcast(_filled(drop.select(place(F.col("__id"), F.col("__mark")).alias("bit"))))
+    id_, mark = docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string"))
+    marked = docs.withColumn("__bit", place(id_, mark))
+    columns = docs.columns
+
+    def part(hit: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bits = batch.column("__bit").to_numpy() - 1
+                inside = (sent.value[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1 == 1
+                yield batch.filter(pa.array(inside == hit)).select(columns)
+
+        return marked.mapInArrow(run, docs.schema)
+
+    may = part(True)
+    same = (may["doc_id"].cast("long") == F.col("__id")) & (F.xxhash64(may["text"].cast("string")) == F.col("__mark"))
+    return part(False).unionByName(may.join(drop, same, "left_anti"))
