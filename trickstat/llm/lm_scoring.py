@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import _STEP, by_bucket, mix, pack, slices, spans_hash, unpack, word_bounds
-from .shared import partitions, stored, texts
+from .shared import marked, partitions, stored
 
 ALPHA = 0.4
 MIN_COUNT = 2
 HOT = 1 / 2000
 START, END = np.uint64(1 << 40), np.uint64((1 << 40) + 1)
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 NO_ID = -(1 << 63)
 
 
@@ -203,7 +203,8 @@ def _resolved(pairs: DataFrame, counts: dict[int, int], alpha: float, min_count:
 
 
 def _summed(parts: DataFrame, alpha: float) -> DataFrame:
-    """doc_id, mark and partial sums."""
+    """id, mark and sums of each document; what a task adds up travels packed, dealt out by document."""
+    count = partitions(parts.sparkSession)
     kinds = (np.uint64, np.uint32, np.uint32, np.int64, np.int64, np.uint64, np.int64, np.int64, np.int64, *(np.float64,) * 4)
 
     def add(table: pa.Table) -> pa.Table:
@@ -222,17 +223,25 @@ def _summed(parts: DataFrame, alpha: float) -> DataFrame:
         columns = [np.concatenate([np.concatenate([g[i] for g in got]), now]) for i, now in zip(range(9, 13), (more, zero, zero, zero), strict=True)]
         id_, mark, at = _per_document(np.concatenate([*(g[7] for g in got), *(g[3] for g in got)]), np.concatenate([*(g[8] for g in got), *(g[4] for g in got)]))
         sums = [np.bincount(at, c, minlength=len(id_)) for c in columns]
-        return pa.table({"doc_id": id_, "mark": mark, **dict(zip(("gain", "n", "n_back", "n_rows"), sums, strict=True))})
+        order, first = by_bucket((mix(id_.view(np.uint64) ^ mix(mark.view(np.uint64))) % np.uint64(count)).astype(np.int64), count)
+        full = [b for b in range(count) if first[b] < first[b + 1]]
+        payloads = [pack(id_[rows], mark[rows], *(s[rows] for s in sums)) for rows in (order[first[b] : first[b + 1]] for b in full)]
+        return pa.table({"bucket": pa.array(full, pa.int32()), "payload": pa.array(payloads, pa.binary())})
+
+    def total(table: pa.Table) -> pa.Table:
+        got = [unpack(p, np.int64, np.int64, *(np.float64,) * 4) for p in table.column("payload").to_pylist()]
+        id_, mark, at = _per_document(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
+        return pa.table({"id": id_, "mark": mark, **{name: np.bincount(at, np.concatenate([g[i] for g in got])) for i, name in enumerate(("gain", "n", "n_back", "n_rows"), 2)}})
 
-    return parts.groupBy("bucket").applyInArrow(add, "doc_id long, mark long, gain double, n double, n_back double, n_rows double")
+    added = parts.groupBy("bucket").applyInArrow(add, "bucket int, payload binary")
+    return added.groupBy("bucket").applyInArrow(total, "id long, mark long, gain double, n double, n_back double, n_rows double")
 
 
 def scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> DataFrame:
     """doc_id, n_predictions, n_backoff, log_score, log_score_mean for each document."""
-    docs = texts(docs).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("mark", F.xxhash64("text"))
+    docs = marked(docs)
     counts = hot_words(docs)
-    parts = _summed(_resolved(_pairs(docs, counts), counts, alpha, min_count), alpha)
-    sums = stored(parts.groupBy(F.col("doc_id").alias("id"), "mark").agg(*(F.sum(c).alias(c) for c in ("gain", "n", "n_back", "n_rows"))), "sums")
+    sums = stored(_summed(_resolved(_pairs(docs, counts), counts, alpha, min_count), alpha), "sums")
     total = sums.agg(F.sum("n")).first()[0]
     rows = docs.select("doc_id", "mark", F.coalesce("doc_id", F.lit(NO_ID)).alias("id")).join(sums, ["id", "mark"], "left")
     whole = lambda c: F.coalesce(F.round(F.col(c) / F.col("n_rows")), F.lit(0)).cast("long")
