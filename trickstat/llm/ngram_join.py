@@ -411,12 +411,11 @@ def grouped(docs: DataFrame, num: int = 75, den: int = 100, n: int = 5) -> DataF
 
     part = components(links)
     member = in_blocks.groupBy("node").agg(F.collect_set("sig").alias("_met"))
-    rest = open_.drop("component").join(part, "node", "left").withColumn("component", F.coalesce("component", "node")).join(homes, "node", "left").join(member, "node", "left")
+    rest = open_.drop("component").join(part, "node", "left").withColumn("component", F.coalesce("component", "node")).join(member, "node", "left")
     mixed = rest.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
-    rest = stored(rest.join(mixed, "sig", "left_semi").select("sig", "node", "n", "common", "component", "home", "_met"), "rest")
-    left, right = (rest.select("sig", *(F.col(c).alias(f"{c}{end}") for c in ("node", "n", "common", "component", "home", "_met"))) for end in ("", "_b"))
-    met = lambda a, b: F.coalesce(F.array_contains(a, b), F.lit(False))
-    apart = (F.col("component") < F.col("component_b")) & ~met("_met_b", F.col("home")) & ~met("_met", F.col("home_b"))
+    rest = stored(rest.join(mixed, "sig", "left_semi").select("sig", "node", "n", "common", "component", "_met"), "rest")
+    left, right = (rest.select("sig", *(F.col(c).alias(f"{c}{end}") for c in ("node", "n", "common", "component", "_met"))) for end in ("", "_b"))
+    apart = (F.col("component") < F.col("component_b")) & ~F.coalesce(F.arrays_overlap("_met", "_met_b"), F.lit(False))  # else compared in a block
     both = left.join(right, (left["sig"] == right["sig"]) & fits & apart)
     pairs = both.groupBy(F.col("node").alias("a"), F.col("node_b").alias("b"), "n", "n_b").count().where(enough).select("a", "b")
     more = stored(verified(pairs, known, num, den, n), "links")
