@@ -322,6 +322,18 @@ def test_ngram_join(spark, docs, odd, nothing, monkeypatch, bounds):
         assert ngram_join.near_duplicates(nothing).count() == 0 and ngram_join.representatives(nothing).count() == 0
 
 
+def test_ngram_join_of_tasks_that_begin_alike(spark):
+    rnd = random.Random(9)
+    say = lambda: [f"v{rnd.randrange(5000)}" for _ in range(80)]
+    same, rows = " ".join(say()), []
+    originals = [say() for _ in range(10)]
+    for part in range(4):
+        rows.append((100 * part, same))
+        rows += [(100 * part + 1 + i, " ".join([*w[: 10 * part], "edit", *w[10 * part + 1 :]])) for i, w in enumerate(originals)]
+    got = ngram_join.near_duplicates(spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == linked(rows) and len({r.component_id for r in got}) == 11
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     """Each stage against a plain version of it on what the one before kept."""
     import corpus_pipeline

@@ -34,6 +34,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -166,7 +167,7 @@ def shared_shingles(docs: DataFrame, n: int = 5) -> DataFrame:
     """bucket, payload: for each batch of sets, dealt out by batch, the shingles that other sets have too and how many have them.
 
     A shingle's key is its bucket and 32 more bits of its hash. Shingles that meet in a key only make candidates. A batch
-    is known by the node of its first set; its nodes and sizes travel once. Equal sets count once in a task, so an often
+    is known by its task and number (tasks may begin with equal sets); its nodes and sizes travel once. Equal sets count once in a task, so an often
     copied text seems shared by some at least: that costs an index entry, not a link.
     """
     count = partitions(docs.sparkSession)
@@ -175,6 +176,7 @@ def shared_shingles(docs: DataFrame, n: int = 5) -> DataFrame:
         held: list[np.ndarray] = []
         ids: list[tuple[int, int]] = []
         seen: set[int] = set()
+        task, number = TaskContext.get().partitionId(), 0
 
         def out() -> pa.RecordBatch:
             tokens, places = np.concatenate(held), np.repeat(np.arange(len(held), dtype=np.uint32), [len(h) for h in held])
@@ -183,11 +185,12 @@ def shared_shingles(docs: DataFrame, n: int = 5) -> DataFrame:
             order = np.argsort((bucket << np.uint64(32)) | (tokens & np.uint64(0xFFFFFFFF)))
             tokens, places = tokens[order].astype(np.uint32), places[order]
             nodes_ = np.array(ids, np.int64)
-            home = ids[0][0] % count
+            name = mix(np.array([(task << 32) + number], np.uint64)).view(np.int64)
+            home = int(name[0]) % count
             payloads = []
             for b in range(count):
                 own, part = nodes_[: len(nodes_) if b == home else 0], tokens[first[b] : first[b + 1]]
-                payloads.append(pack(nodes_[:1, 0], own[:, 0], own[:, 1].astype(np.uint32), places[first[b] : first[b + 1]], np.diff(part, prepend=np.uint32(0)).astype(np.uint32)))
+                payloads.append(pack(name, own[:, 0], own[:, 1].astype(np.uint32), places[first[b] : first[b + 1]], np.diff(part, prepend=np.uint32(0)).astype(np.uint32)))
             return pa.RecordBatch.from_arrays([pa.array(range(count), pa.int32()), pa.array(payloads, pa.binary())], ["bucket", "payload"])
 
         size = 0
@@ -201,7 +204,7 @@ def shared_shingles(docs: DataFrame, n: int = 5) -> DataFrame:
                         size += len(s)
                 if size > 1_500_000:
                     yield out()
-                    held, ids, size = [], [], 0
+                    held, ids, size, number = [], [], 0, number + 1
         if size:
             yield out()
 
