@@ -102,6 +102,16 @@ def test_secrets_in_layers(spark, nothing):
     assert secret_scan.secret_spans(nothing).count() == 0
 
 
+def test_secrets_at_each_place():
+    token = base64.b64encode(b"password = hunter2hunter2").decode()
+    url = "".join(f"%{c:02X}" for c in token.encode())
+    text = f"{token} and {token}, {url} or {url}"
+    assert sorted({s for s, _, _ in secret_scan.secrets(text)[1]}) == [m.start() for m in re.finditer(r"\S{22,}", text.replace(",", " "))]
+    assert secret_scan.masked(text) == "[SECRET] and [SECRET], [SECRET] or [SECRET]"
+    wrapped = base64.b64encode(f"{token} and {token}".encode()).decode()
+    assert secret_scan.masked(f"{wrapped} {wrapped}") == "[SECRET] [SECRET]"
+
+
 def test_classifier_learns(spark, nothing):
     rnd = random.Random(2)
     rows = [(i, " ".join(rnd.choice(["good", "calm", "tree", "river"]) if i % 3 else rnd.choice(["BUY!!", "***", "NOW!!", "$$$"]) for _ in range(rnd.randint(3, 40))), i % 3 > 0) for i in range(300)]

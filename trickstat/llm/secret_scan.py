@@ -1,8 +1,8 @@
 """Secrets in texts, also under nested encodings.
 
 A worklist of layers per document: the text itself, then what URL escapes, Unicode escapes, base64 runs and
-compressed bytes in a layer decode to, until nothing new appears. A layer that was seen before (by its
-content) isn't entered again, so cycles end. Every layer is scanned by the same patterns, and what is
+compressed bytes in a layer decode to, until nothing new appears. A layer that was seen before at its place (by its
+content and where its code points come from) isn't entered again, so cycles end and each copy of a token is found. Every layer is scanned by the same patterns, and what is
 found there is mapped back to code points of the outermost text.
 
 Nulls and empty texts have no secrets; repeated rows give repeated results; an empty table gives no rows.
@@ -127,7 +127,7 @@ def secrets(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int,
     """Secrets of the text itself, and all with those of decoded layers: (start, end, kind) by start, then kind as in KINDS."""
     base = {(s, e, k) for k, s, e in scan(text)}
     every = set(base)
-    seen = {hashlib.sha1(text.encode("utf-8", "surrogatepass")).digest()}
+    seen: set[tuple] = set()
     work: list[tuple[str, list[int] | None, list[int] | None]] = [(text, None, None)]
     while work:
         layer, starts, ends = work.pop()
@@ -139,11 +139,12 @@ def secrets(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int,
             if plain := _base64(m[0]):
                 inner.append((plain, [m.start()] * len(plain), [m.end()] * len(plain)))
         for plain, first, last in inner:
-            if (digest := hashlib.sha1(plain.encode("utf-8", "surrogatepass")).digest()) in seen:
-                continue
-            seen.add(digest)
             if starts is not None:
                 first, last = [starts[i] for i in first], [ends[i - 1] for i in last]
+            key = tuple(hashlib.sha1(x).digest() for x in (plain.encode("utf-8", "surrogatepass"), np.array([first, last]).tobytes()))
+            if key in seen:
+                continue
+            seen.add(key)
             every |= {(first[s], last[e - 1], k) for k, s, e in scan(plain)}
             work.append((plain, first, last))
     by = lambda x: (x[0], KINDS.index(x[2]), x[1])
