@@ -112,6 +112,15 @@ def test_secrets_at_each_place():
     assert secret_scan.masked(f"{wrapped} {wrapped}") == "[SECRET] [SECRET]"
 
 
+def test_secrets_where_rows_meet(spark):
+    token = base64.b64encode(b"password = hunter2hunter2").decode()
+    rows = ["the end of a", "deadbeefdeadbeef is first", "", "0a" * 8, "0b" * 8, None, "ends in x", f"{token} is first"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.base_spans, r.n_layered) for r in secret_scan.secret_spans(df).collect()}
+    assert got == {0: ("", 0), 1: ("hex:0:16", 0), 2: ("", 0), 3: ("hex:0:16", 0), 4: ("hex:0:16", 0), 5: ("", 0), 6: ("", 0), 7: ("", 1)}
+    assert [r.text for r in secret_scan.redacted(df).orderBy("doc_id").collect()][3:5] == ["[SECRET]", "[SECRET]"]
+
+
 def test_classifier_learns(spark, nothing):
     rnd = random.Random(2)
     rows = [(i, " ".join(rnd.choice(["good", "calm", "tree", "river"]) if i % 3 else rnd.choice(["BUY!!", "***", "NOW!!", "$$$"]) for _ in range(rnd.randint(3, 40))), i % 3 > 0) for i in range(300)]

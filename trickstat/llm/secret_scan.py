@@ -152,9 +152,13 @@ def secrets(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int,
 
 
 def _runs(mask: np.ndarray, offsets: np.ndarray, least: int) -> set[int]:
-    """Rows with a run of that many true bytes."""
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
-    starts, ends = edge[::2], edge[1::2]
+    """Rows with a run of that many true bytes; a run ends where its row does."""
+    first, last = mask.copy(), mask.copy()
+    first[1:] &= ~mask[:-1]
+    last[:-1] &= ~mask[1:]
+    inner = offsets[(offsets > 0) & (offsets < len(mask))]
+    first[inner], last[inner - 1] = mask[inner], mask[inner - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     return set((np.searchsorted(offsets, starts[ends - starts >= least], "right") - 1).tolist())
 
 
