@@ -121,6 +121,23 @@ def test_secrets_where_rows_meet(spark):
     assert [r.text for r in secret_scan.redacted(df).orderBy("doc_id").collect()][3:5] == ["[SECRET]", "[SECRET]"]
 
 
+def test_secrets_in_whole_streams():
+    secret, b64 = b"password = hunter2hunter2", lambda x: base64.b64encode(x).decode()
+    long = ("é, " * (33 << 20)).encode() + secret
+    layered = [b64(gzip.compress(long, 1)), b64(gzip.compress(b"first, ") + gzip.compress(secret)), b64(gzip.compress(b"first") + secret)]
+    noise = b64(zlib.compress(random.Random(3).randbytes(300).hex(" ").encode() + b" " + secret))
+    for width in (20, 64, 76):
+        for end in ("\n", "\r\n"):
+            layered.append(end.join(noise[i : i + width] for i in range(0, len(noise), width)))
+    layered.append("\n".join(b64(secret)[i : i + 16] for i in range(0, 36, 16)))
+    for code in layered:
+        for before, after in (("é: ", " after"), ("so\n", "\n\nafter"), ("", "")):
+            assert (len(before), len(before + code), "assign") in secret_scan.secrets(before + code + after)[1]
+            assert secret_scan.masked(before + code + after) == before + "[SECRET]" + after or before == "so\n"
+    data = np.frombuffer(layered[-1].encode(), np.uint8)
+    assert secret_scan._suspects(data, np.array([0, len(data)]), [layered[-1]]) == {0}
+
+
 def test_classifier_learns(spark, nothing):
     rnd = random.Random(2)
     rows = [(i, " ".join(rnd.choice(["good", "calm", "tree", "river"]) if i % 3 else rnd.choice(["BUY!!", "***", "NOW!!", "$$$"]) for _ in range(rnd.randint(3, 40))), i % 3 > 0) for i in range(300)]

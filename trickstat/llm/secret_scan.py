@@ -3,7 +3,8 @@
 A worklist of layers per document: the text itself, then what URL escapes, Unicode escapes, base64 runs and
 compressed bytes in a layer decode to, until nothing new appears. A layer that was seen before at its place (by its
 content and where its code points come from) isn't entered again, so cycles end and each copy of a token is found. Every layer is scanned by the same patterns, and what is
-found there is mapped back to code points of the outermost text.
+found there is mapped back to code points of the outermost text. Base64 that is wrapped over lines is decoded as one,
+and compressed bytes are unfolded to their end, all members, in pieces cut where no pattern can span the cut.
 
 Nulls and empty texts have no secrets; repeated rows give repeated results; an empty table gives no rows.
 """
@@ -12,10 +13,12 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +35,17 @@ WORDS = ("passw", "secret", "token", "apikey", "api_key")
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{22,}={0,2}")
-#: What one compressed run may unfold to; what is beyond isn't looked at (a decompression bomb).
-UNFOLDED = 64 << 20
+LINES = re.compile(r"[A-Za-z0-9+/_-]+(?:\r?\n[A-Za-z0-9+/_-]+)+={0,2}")
+MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
+CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
+#: Unfolded bytes are held up to this size; beyond, they are unfolded anew when needed and scanned in pieces of about this size.
+PIECE = 1 << 20
+#: A text up to its last place that no pattern, nor a wrapped run, can span.
+CUT = re.compile(r"""(?s:.*)(?:[^A-Za-z0-9+/_.=\-"'\x20:%\\\r\n]|(?<=[A-Za-z0-9])\x20(?=[A-Za-z0-9])|\n\n)""")
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
 _B64 = np.zeros(256, bool)
-_B64[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")] = True
+_B64[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-\r\n")] = True
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -95,58 +103,162 @@ def _unicode(run: str) -> tuple[str, list[tuple[int, int]]] | None:
     return plain, places
 
 
-def _unfold(data: bytes) -> str | None:
-    """Text in these bytes, through any number of compressed layers; None if there is none."""
-    seen = set()
-    while data[:2] in (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda"):
-        if (mark := hashlib.sha1(data).digest()) in seen:
-            return None
-        seen.add(mark)
+def _members(source: Callable[[], Iterator[bytes]], rest: list[bytes]) -> Iterator[bytes]:
+    """What the compressed members in a row unfold to, in pieces; rest gets the bytes after the last of them."""
+    rest.clear()
+    chunks = (c[i : i + PIECE] for c in source() for i in range(0, len(c), PIECE))
+    unfold, data, whole = zlib.decompressobj(47), next(chunks, b""), False
+    while True:
         try:
-            data = zlib.decompressobj(47).decompress(data, UNFOLDED)
+            out = unfold.decompress(data, PIECE)
         except zlib.error:
-            return None
+            if whole:  # what the members before hold is good
+                return
+            raise
+        if out:
+            yield out
+        if unfold.eof:
+            whole, data = True, unfold.unused_data
+            while len(data) < 2 and (more := next(chunks, None)) is not None:
+                data += more
+            if data[:2] not in MAGIC:
+                rest += [data, *chunks]
+                return
+            unfold = zlib.decompressobj(47)
+        elif unfold.unconsumed_tail or len(out) == PIECE:
+            data = unfold.unconsumed_tail
+        elif (data := next(chunks, None)) is None:
+            return
+
+
+def _read(source: Callable[[], Iterator[bytes]]) -> tuple[bytes, bytes, bool, list[bytes] | None] | None:
+    """Digest, first bytes, whether all is text, and the bytes if they are few. None if they can't be unfolded."""
+    digest, size, head, text, held = hashlib.sha1(), 0, b"", True, []
+    decoder = codecs.getincrementaldecoder("utf-8")()
     try:
-        text = data.decode()
-    except UnicodeDecodeError:
+        for data in source():
+            digest.update(data)
+            size += len(data)
+            head += data[: 2 - len(head)]
+            held = [*held, data] if size <= PIECE else []
+            try:
+                text = text and not CONTROL.search(decoder.decode(data))
+            except UnicodeDecodeError:
+                text = False
+    except zlib.error:
         return None
-    return text if text and not any(c < " " and c not in "\t\n\r" for c in text) else None
-
-
-def _base64(run: str) -> str | None:
+    return digest.digest(), head, text and size > 0 and not decoder.getstate()[0], held if size <= PIECE else None
+
+
+def _pieces(source: Callable[[], Iterator[bytes]]) -> Iterator[str]:
+    decoder, held, size, limit = codecs.getincrementaldecoder("utf-8")(), [], 0, PIECE
+    for data in source():
+        held.append(decoder.decode(data))
+        size += len(held[-1])
+        if size > limit:
+            text = "".join(held)
+            if m := CUT.match(text):
+                yield m[0]
+            held = [text[m.end() if m else 0 :]]
+            size = len(held[0])
+            limit = max(PIECE, 2 * size)
+    yield "".join(held)
+
+
+def _unfold(data: bytes) -> Iterator[tuple[bytes, Iterator[str]]]:
+    """Texts in these bytes, through any number of compressed layers, and in what stands after them: digest and pieces."""
+    seen: set[bytes] = set()
+    work: list[tuple[Callable[[], Iterator[bytes]], list[bytes]]] = [(partial(iter, [data]), [])]
+    while work:
+        source, rest = work.pop()
+        got = _read(source)
+        if after := b"".join(rest).lstrip(b"\0"):
+            work.append((partial(iter, [after]), []))
+        if got is None or got[0] in seen:
+            continue
+        digest, head, text, held = got
+        seen.add(digest)
+        if held is not None:
+            source = partial(iter, held)
+        if text:
+            yield digest, _pieces(source)
+        if head in MAGIC:
+            more: list[bytes] = []
+            work.append((partial(_members, source, more), more))
+
+
+def _base64(run: str) -> bytes | None:
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
         return None
     try:
-        return _unfold(base64.b64decode(body + "=" * (-len(body) % 4)))
+        return base64.b64decode(body + "=" * (-len(body) % 4))
     except binascii.Error:
         return None
 
 
+def _encoded(layer: str) -> Iterator[tuple[int, int, str]]:
+    """Start, end and characters of what may be base64: unbroken runs, and runs over lines that are parted by single breaks.
+    As words before and after may look like lines of it, blocks of equally long lines are tried also, with a shorter last one
+    and, at the beginning, with a line that starts after other text."""
+    for m in BASE64.finditer(layer):
+        yield m.start(), m.end(), m[0]
+    for m in LINES.finditer(layer) if "\n" in layer else ():
+        if m.end() - m.start() < 22:
+            continue
+        lines = [(m.start() + x.start(), m.start() + x.end()) for x in re.finditer(r"[^\r\n]+", m[0])]
+        width = [len(layer[a:b].rstrip("=")) for a, b in lines]
+        n, blocks, i = len(lines), {(0, len(lines)), (1, len(lines))}, 0
+        while i < n:
+            j = i + 1
+            while j < n and width[j] == width[i]:
+                j += 1
+            for low in {i, 0 if i == 1 else i}:
+                blocks |= {(low, j), (low, j + 1 if j < n and width[j] < width[i] else j)}
+            i = j
+        for low, high in sorted(blocks):
+            if high - low > 1 and sum(width[low:high]) >= 22:
+                yield lines[low][0], lines[high - 1][1], "".join(layer[a:b] for a, b in lines[low:high])
+
+
+def _outer(place: tuple | None, start: int, end: int) -> tuple[int, int]:
+    """Where a range of a layer comes from: the layer is the text itself, or its code points have a place each, or all have one."""
+    if place is None:
+        return start, end
+    first, last = place
+    return place if isinstance(first, int) else (first[start], last[end - 1])
+
+
 def secrets(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Secrets of the text itself, and all with those of decoded layers: (start, end, kind) by start, then kind as in KINDS."""
     base = {(s, e, k) for k, s, e in scan(text)}
     every = set(base)
     seen: set[tuple] = set()
-    work: list[tuple[str, list[int] | None, list[int] | None]] = [(text, None, None)]
+    work: list[tuple[Iterator[str], tuple | None]] = [(iter([text]), None)]
     while work:
-        layer, starts, ends = work.pop()
-        inner: list[tuple[str, list[int], list[int]]] = []
+        pieces, place = work[-1]
+        if (layer := next(pieces, None)) is None:
+            work.pop()
+            continue
+        if place is not None:
+            every |= {(*_outer(place, s, e), k) for k, s, e in scan(layer)}
         for mark, pattern, decode in (("%", URL, _url), ("\\u", UNICODE, _unicode)):
             if mark in layer and (got := _escaped(layer, pattern, decode)):
-                inner.append(got)
-        for m in BASE64.finditer(layer):
-            if plain := _base64(m[0]):
-                inner.append((plain, [m.start()] * len(plain), [m.end()] * len(plain)))
-        for plain, first, last in inner:
-            if starts is not None:
-                first, last = [starts[i] for i in first], [ends[i - 1] for i in last]
-            key = tuple(hashlib.sha1(x).digest() for x in (plain.encode("utf-8", "surrogatepass"), np.array([first, last]).tobytes()))
-            if key in seen:
-                continue
-            seen.add(key)
-            every |= {(first[s], last[e - 1], k) for k, s, e in scan(plain)}
-            work.append((plain, first, last))
+                plain, first, last = got
+                if place is None:
+                    inner = (first, last)
+                else:
+                    inner = place if isinstance(place[0], int) else ([place[0][i] for i in first], [place[1][i - 1] for i in last])
+                key = tuple(hashlib.sha1(x).digest() for x in (plain.encode("utf-8", "surrogatepass"), np.array(inner).tobytes()))
+                if key not in seen:
+                    seen.add(key)
+                    work.append((iter([plain]), inner))
+        for start, end, run in _encoded(layer):
+            inner = _outer(place, start, end)
+            for digest, plain in _unfold(_base64(run) or b""):
+                if (digest, inner) not in seen:
+                    seen.add((digest, inner))
+                    work.append((plain, inner))
     by = lambda x: (x[0], KINDS.index(x[2]), x[1])
     return sorted(base, key=by), sorted(every, key=by)
 
