@@ -183,6 +183,13 @@ def test_mixing(spark, docs, odd, nothing):
     assert kept.columns == docs.columns and kept.subtract(docs).count() == 0
 
 
+def test_sample_has_the_target_shares(spark):
+    docs = spark.createDataFrame([(i, "a b c d e f g h i j", "en", "A" if i % 10 else "B") for i in range(2000)], "doc_id long, text string, lang string, source string")
+    targets = {"source": spark.createDataFrame([("A", 0.5), ("B", 0.5)], "value string, share double")}
+    n = {r.source: r["count"] for r in mixing.sampled(docs, targets).groupBy("source").count().collect()}
+    assert n["B"] == 1000 and n["A"] == pytest.approx(1000, rel=0.06)
+
+
 def test_packing(spark, docs, odd, nothing):
     import public_tokenizers
     from tokenizers import Tokenizer

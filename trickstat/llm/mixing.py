@@ -1,8 +1,9 @@
 """Mixing sources to target weights: raking of token weights, then sampling; DataFrame functions only.
 
 Iterative proportional fitting over cells (source, language, topic): each step scales the cells' token weights so
-that one of the three margins fits its targets. A document is kept with probability min(1, weight / tokens of
-its cell): a cell that should weigh more than it has is kept whole. Draws are a hash of doc_id and seed, so a
+that one of the three margins fits its targets. In mixed() a document is kept with probability min(1, weight / tokens of
+its cell). sampled() rakes until the weights are settled and takes a document weight / tokens times (the whole part, and one
+more with the fraction as probability), so that a cell that should weigh more than it has is repeated. Draws are a hash of doc_id and seed, so a
 document's fate doesn't depend on partitions or repeats.
 
 Topics are a column if the caller has one, else the form of the text: table, marked, short, medium or long.
@@ -25,6 +26,9 @@ MARGINS = ("source", "lang", "topic")
 TEMPER = 0.8
 ROUNDS = 8
 SEED = 17
+#: Raking for a sample ends when no cell moves by more than this share of all tokens in four rounds; LIMIT rounds without that are an error.
+SETTLED = 1e-5
+LIMIT = 1000
 #: Up to this many cells are broadcast (about 100 bytes each); more are joined by a shuffle of their keys.
 BROADCAST_CELLS = 200_000
 #: Cells that one task rakes; more are dealt out by the margin at hand.
@@ -54,8 +58,9 @@ def draw(doc_id: Column, seed: int = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, temper: float = TEMPER) -> DataFrame:
-    """cells (_source, _lang, _topic, tokens) with weight, whose margins approach the targets (value, share)."""
+def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, temper: float = TEMPER, settled: float | None = None) -> DataFrame:
+    """cells (_source, _lang, _topic, tokens) with weight, whose margins approach the targets (value, share). With settled, rounds
+    go on until no weight moves by more than that share of the total."""
     parts = -(-cells.count() // CELLS_PER_TASK) or 1
     now = cells.coalesce(1) if parts == 1 else cells.repartition(parts)
     total = cells.agg(F.sum("tokens").alias("total"))
@@ -71,22 +76,30 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
             now = now.join(share, f"_{margin}")
     now = now.withColumn("weight", F.col("tokens").cast("double"))
     now = stored(now.coalesce(1) if parts == 1 else now, "cells")
-    for step in range(rounds):
+    step, moving = 0, settled is not None
+    while step < rounds or moving:
+        if step >= LIMIT:
+            raise RuntimeError(f"weights aren't settled after {step} rounds")
+        if settled is not None and step % 4 == 0:
+            now = now.withColumn("before", F.col("weight"))
         now = now.coalesce(1) if parts == 1 else now  # a single partition needs no exchange for any margin
         for margin in MARGINS:
             held = F.sum("weight").over(Window.partitionBy(f"_{margin}"))
             now = now.withColumn("held", held).withColumn("weight", F.when(F.col("held") > 0, F.col("weight") * (F.col(f"share_{margin}") * F.col("total") / F.col("held"))).otherwise(0.0))
-        if step % 4 == 3 or step == rounds - 1:
+        step += 1
+        if step % 4 == 0 or step == rounds:
             now = stored(now.drop("held"), "cells")
+        if settled is not None and step % 4 == 0:
+            moving = (now.agg(F.max(F.abs(F.col("weight") - F.col("before")) / F.col("total"))).first()[0] or 0) > settled
     probability = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("weight") / F.col("tokens"))).otherwise(1.0)
     return now.select("_source", "_lang", "_topic", "tokens", "weight", probability.alias("probability"))
 
 
-def calibrated(rows: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, temper: float = TEMPER, columns: list[str] | None = None) -> DataFrame:
+def calibrated(rows: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, temper: float = TEMPER, columns: list[str] | None = None, settled: float | None = None) -> DataFrame:
     """celled() rows with tokens and weight of their cell, and probability."""
     keys = [f"_{m}" for m in MARGINS]
     cells = stored(rows.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")), "cells")
-    fitted = raked(cells, targets, rounds, temper)
+    fitted = raked(cells, targets, rounds, temper, settled)
     if fitted.count() <= BROADCAST_CELLS:
         fitted = F.broadcast(fitted)
     return rows.join(fitted, keys)
@@ -100,9 +113,11 @@ def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
 
 
 def sampled(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, temper: float = TEMPER, seed: int = SEED) -> DataFrame:
-    """The documents that mixed() keeps, all columns as they are."""
-    out = calibrated(celled(docs), targets, rounds, temper)
-    return out.where(draw(F.col("doc_id"), seed) < F.round("probability", 6)).select(*docs.columns)
+    """Documents, all columns as they are, each as often as its cell's weight asks for: the tokens' shares are near the targets."""
+    out = calibrated(celled(docs), targets, rounds, temper, settled=SETTLED)
+    times = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0)
+    copies = F.floor(times) + (draw(F.col("doc_id"), seed) < times - F.floor(times)).cast("long")
+    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*docs.columns)
 
 
 def mixed_sql(rounds: int = ROUNDS, temper: float = TEMPER, seed: int = SEED) -> str:
