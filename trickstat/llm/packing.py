@@ -12,6 +12,9 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import count
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -19,57 +22,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import SPACE, slices
 from .shared import stored, texts
 
 CAPACITY = 2048
 END_ID = 0
-_MEMO = 1_000_000
-_encoders: dict[str, Encoder] = {}
+#: A run of so many characters without a break, or of blanks only, goes to the tokenizer that merges in n log n steps.
+LONG_RUN = 1000
+#: The vocabulary's own way to part a text before merging: a fixed value of the file's format.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Encoder:
-    """Token ids as little-endian 32-bit bytes; remembers what words encode to.
+    """Token ids of a byte-level BPE vocabulary (tokenizers' JSON) as little-endian 32-bit bytes.
 
-    A text is cut before a blank or line break that follows a visible ASCII or Latin character. The
-    tokenizer's own pre-tokenization always has a boundary there, so the parts' ids make up the text's.
-    Texts where another character stands before a blank are encoded whole.
+    The same ranks are given to a merger that is faster on plain prose; texts with the string of an added token or with
+    very long runs (where that one takes quadratic time) go to the file's own tokenizer. Both give the same ids. Nothing
+    is remembered between texts, so a worker's memory is the vocabulary's and one text's.
     """
 
     def __init__(self, path: str) -> None:
-        import re
+        import json
 
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.odd = re.compile("[^!-~À-ɏ][ \n]")
-        self.memo: dict[str, bytes] = {}
-
-    def bytes_of(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in got]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts: list[list[str] | None] = []
-        for text in texts:
-            if self.odd.search(text):
-                parts.append(None)
-            else:
-                words = text.replace("\n", " \n").split(" ")
-                words[0] = "\r" + words[0]  # no blank before it; else "\r" can't start a part
-                parts.append(words if "\r" not in text else None)
-        if len(self.memo) > _MEMO:
-            self.memo.clear()
-        memo = self.memo
-        new = list(set().union(*(p for p in parts if p is not None)) - memo.keys())
-        memo.update(zip(new, self.bytes_of([w[1:] if w[:1] == "\r" else w if w[:1] == "\n" else " " + w for w in new]), strict=True))
-        whole = iter(self.bytes_of([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        return [next(whole) if p is None else b"".join(map(memo.__getitem__, p)) for p in parts]
+        vocabulary = json.loads(Path(path).read_text())
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in visible]
+        byte = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+        ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary["model"]["vocab"].items() if all(c in byte for c in token)}
+        self.merger = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.added = [x["content"] for x in vocabulary["added_tokens"]]
+
+    def encode(self, text: str, long_run: bool = True) -> bytes:
+        if long_run or any(x in text for x in self.added):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.merger.encode_ordinary(text)
+        return np.array(ids, "<u4").tobytes()
+
+
+def long_runs(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which texts have more than LONG_RUN bytes in a row with no change between ASCII blanks and other bytes."""
+    space = SPACE[data]
+    edges = np.unique(np.concatenate((np.flatnonzero(space[1:] != space[:-1]) + 1, offsets)))
+    long = edges[:-1][np.diff(edges) > LONG_RUN]
+    out = np.zeros(len(offsets) - 1, bool)
+    out[np.searchsorted(offsets, long, "right") - 1] = True
+    return out
 
 
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One vocabulary a worker: its size doesn't depend on what was encoded."""
+    return Encoder(path)
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -84,11 +92,10 @@ def tokenized(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> Dat
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         enc, end = encoder(vocabulary), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
+            for part, data, offsets in slices(batch):
                 rows: tuple[list, ...] = ([], [], [], [], [])
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), enc.encode([t or "" for t in part.column("text").to_pylist()]), strict=True):
-                    ids += end
+                for doc_id, text, long in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), long_runs(data, offsets).tolist(), strict=True):
+                    ids = enc.encode(text or "", long) + end
                     n = len(ids) // 4
                     at, piece = 0, 0
                     while at < n:
@@ -144,12 +151,12 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, np.array(fill, np.int64)
 
 
-def packed(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = 100_000, rounds: int = 4) -> DataFrame:
+def packed(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = 100_000) -> DataFrame:
     """pieces with sequence_id, offset and certified (its partition's count equals its lower bound).
 
     Pieces are dealt out by a hash, so every partition sees the same mix of lengths. Rounds shrink: only
-    pieces of unfilled bins of partitions with a gap take part again, in fewer partitions. After the last
-    round, or once a single partition is left, the bins found so far stand.
+    pieces of unfilled bins of partitions with a gap take part again, in half as many partitions or fewer, until no gap is
+    left or a single partition has had its turn: its bins stand, certified or not.
     """
     spark = pieces.sparkSession
     columns = pieces.columns
@@ -171,8 +178,8 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = 100
 
     left, done = pieces, []
     parts = max(1, -(-pieces.count() // per_partition))
-    for number in range(1, rounds + 1):
-        last = number == rounds or (number > 1 and parts == 1)
+    for number in count(1):
+        last = number > 1 and parts == 1
         dealt = left.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", F.lit(number)), F.lit(parts)))
         result = stored(dealt.groupBy("part").applyInPandas(place(number, last), schema), f"packed-{number}")
         done.append(result.where(~F.col("again")))
