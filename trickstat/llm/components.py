@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .shared import forget, stored
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges (a long, b long) -> (node, component), component the smallest node. Only nodes with an edge appear.
 
     Each step groups by a node with partial aggregation and joins the minimum back, so a node of very many
@@ -20,7 +20,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    while True:  # until a step changes nothing
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(least(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         large = large.where("u <> v").distinct()

@@ -15,15 +15,21 @@ need no index. A set with more of them than d + e - 1 has no link at all. Nothin
 Subclasses are numbered within a size scheme: schemes grow by 1/t, a set takes part in its own and the next,
 so any two sets that can link share one.
 
-Two shingles of a set may have one key (a chance of n ** 2 in 2 ** 38 or less); prefixes are SLACK longer for that.
-
-A set is known by its fingerprint, so equal sets are one node and copies are never compared. Nodes that share
-a signature first try the one they share most with; groups that lie in one component by then are done. Of the
-others, large groups are compared in blocks, and what pairs across components remain are verified one by one.
+Two shingles of a set may have one key. Prefixes are taken of a set's distinct keys: what two sets share loses no more
+keys that way than either set does, so a linked set still lacks d of them at most.
+
+A set is known by its fingerprint, so equal sets are one node and copies are never compared. Each signature has a leader,
+and from here on a node is in the groups of its signatures' leaders, with how many it shares: two nodes that share
+signatures share as many by their leaders, and a family of near copies, whose signatures mostly have one leader, is a few
+groups instead of one for each signature. Nodes first try the leader they share most with, then, in PIVOTS rounds, one that
+a hash picks in each group that still has several components. Groups that lie in one component by then are done. Of the others, large groups are compared in
+blocks of texts (which are shorter than their shingles' hashes), but never within a component, and a pair of blocks
+returns a forest over components, not its links. What pairs across components remain are verified one by one.
 That finds the same components as all links would.
 
 Nulls and texts without words: no shingles, linked with nothing. Repeated rows share their node. A null doc_id
-takes part, and is never a component's smallest. An empty table gives no rows.
+takes part, and is never a component's smallest. A very long text is a slice and a batch of its own. Further columns of
+any name do no harm. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -52,8 +58,8 @@ BLOCK = 512
 SMALL = 72
 #: A prefix is longer by one part in so many than it must be; in return candidates must share that many signatures.
 EXTRA = 4
-#: Shingles of a set that may have met in one key.
-SLACK = 1
+#: Rounds in which each group that isn't one component yet tries a member picked by a hash.
+PIVOTS = 3
 BLOOM_BITS = 1 << 26
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
@@ -81,6 +87,7 @@ class Scheme:
 
     def __init__(self, num: int, den: int) -> None:
         self.num, self.den = num, den
+        self.frequent, self.very_frequent, self.small = FREQUENT, VERY_FREQUENT, SMALL
         self.bounds = [1]
         while self.bounds[-1] < 1 << 40:
             self.bounds.append(-(-self.bounds[-1] * den // num))
@@ -103,17 +110,20 @@ class Scheme:
 
     def signatures(self, n: int, keys: np.ndarray, times: np.ndarray) -> np.ndarray:
         """keys: what of the set other sets have too, times: how many sets have it, both in order of (times, key)."""
-        need = self.missing(n) + self.shared(n) + SLACK - (n - len(keys))
-        rare = int(np.searchsorted(times, FREQUENT))
+        need = self.missing(n) + self.shared(n) - (n - len(keys))
+        if len(keys) > 1:
+            own = np.concatenate(([True], keys[1:] != keys[:-1]))
+            keys, times = keys[own], times[own]
+        rare = int(np.searchsorted(times, self.frequent))
         if need <= 0:
             return keys[:0]
         if rare >= need:
             return keys[:need]
         own = int(np.searchsorted(self.bounds, n, "right")) - 1
-        rest = list(zip(np.where(times[rare:] < VERY_FREQUENT, 2, 3).tolist(), keys[rare:].tolist(), strict=True))
+        rest = list(zip(np.where(times[rare:] < self.very_frequent, 2, 3).tolist(), keys[rare:].tolist(), strict=True))
         out: list[int] = []
         for scheme in (own, own + 1):
-            if self.bounds[scheme] < SMALL:
+            if self.bounds[scheme] < self.small:
                 out += [t for _, t in rest[: need - rare]]
                 continue
             share = self.missing(self.bounds[scheme]) + 1
@@ -340,8 +350,28 @@ def verified(pairs: DataFrame, known: DataFrame, num: int, den: int, n: int = 5)
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _forest(a: np.ndarray, b: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Of links between places a and b as many as join the same components, in order."""
+    _, first = np.unique(np.stack((np.minimum(part[a], part[b]), np.maximum(part[a], part[b])), 1), axis=0, return_index=True)
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    keep = []
+    for i, x, y in zip(first.tolist(), part[a[first]].tolist(), part[b[first]].tolist(), strict=True):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            keep.append(i)
+    return np.array(keep, np.int64)
+
+
 def block_links(groups: DataFrame, known: DataFrame, num: int, den: int, n: int = 5) -> DataFrame:
-    """Links (a, b) across components within each sig's group, found in pairs of blocks: a task has two blocks' texts at a time."""
+    """Links (a, b) that join the components within each leader's group as all its links do. A task has two blocks' texts at a
+    time; a component of BLOCK members or more has blocks of its own, which are not compared with one another."""
 
     def compare(table: pa.Table) -> pa.Table:
         batch = table.combine_chunks().to_batches()[0]
@@ -368,12 +398,22 @@ def block_links(groups: DataFrame, known: DataFrame, num: int, den: int, n: int
         both = np.rint(counts).astype(np.int64)
         hit = (den * both >= num * (size[rows][:, None] + size[columns][None, :] - both)) & (part[rows][:, None] != part[columns][None, :])
         a, b = np.nonzero(hit)
-        return pa.table({"a": node[rows][a], "b": node[columns][b]})
-
-    blocks = groups.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
-    each = groups.join(blocks, "sig").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    each = each.select("sig", F.least("_own", "_other").alias("low"), F.greatest("_own", "_other").alias("high"), (F.col("_own") > F.col("_other")).cast("int").alias("side"), "node", "component")
-    return each.join(known, "node").groupBy("sig", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+        a, b = rows[a], columns[b]
+        keep = _forest(a, b, part)
+        return pa.table({"a": node[a[keep]], "b": node[b[keep]]})
+
+    parts = groups.groupBy("leader", "component").agg(F.count("*").alias("members"))
+    loose = parts.where(F.col("members") < BLOCK).groupBy("leader").agg(F.sum("members").alias("loose"))
+    whole = F.col("members") >= BLOCK
+    among = lambda size: F.pmod(F.xxhash64("node"), F.ceil(size / BLOCK))
+    block = F.struct(whole.alias("whole"), F.when(whole, F.col("component")).otherwise(0).alias("of"), F.when(whole, among(F.col("members"))).otherwise(among(F.col("loose"))).alias("number"))
+    each = stored(groups.join(parts, ["leader", "component"]).join(loose, "leader", "left").select("leader", "node", "component", block.alias("block")), "blocked")
+    blocks = each.select("leader", "block").distinct()
+    pairs = blocks.withColumnRenamed("block", "low").join(blocks.withColumnRenamed("block", "high"), "leader")
+    pairs = pairs.where("low <= high and not (low.whole and high.whole and low.of = high.of)")
+    sides = pairs.select("leader", F.col("low").alias("block"), "low", "high", F.lit(0).alias("side")).unionByName(pairs.where("low <> high").select("leader", F.col("high").alias("block"), "low", "high", F.lit(1).alias("side")))
+    dealt = each.join(sides, ["leader", "block"]).join(known, "node")
+    return dealt.groupBy("leader", "low", "high").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, n: int = 5) -> DataFrame:
@@ -392,42 +432,69 @@ def grouped(docs: DataFrame, num: int = 75, den: int = 100, n: int = 5) -> DataF
     able = every.groupBy("node", "n").count().where(F.col("count") >= scheme.shared_sql(least_n)).select("node", "n")
     index = stored(every.join(able.select("node"), "node", "left_semi"), "index")
     forget(every)
+    led = stored(index.groupBy("leader", "node", "n", "common").agg(F.count("*").alias("shared")), "led")
+    forget(index)
     fits = (F.col("n") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n") * num) & ((num + den) * F.least("common", "common_b") >= num * (F.col("n") + F.col("n_b")))
-    enough = F.col("count") >= F.least(scheme.shared_sql(F.col("n")), scheme.shared_sql(F.col("n_b")))
+    enough = F.col("both") >= F.least(scheme.shared_sql(F.col("n")), scheme.shared_sql(F.col("n_b")))
 
-    wanted = index.select("node", "n", "common").distinct()
+    wanted = led.select("node", "n", "common").distinct()
     known = stored(texts_of(docs, wanted.select("node"), n), "texts")
     sized = wanted.select(F.col("node").alias("leader"), F.col("n").alias("n_b"), F.col("common").alias("common_b"))
-    tried = index.where("node <> leader").groupBy("node", "n", "common", "leader").count().join(sized, "leader")
-    first = tried.where(fits & enough).groupBy(F.col("node").alias("a")).agg(F.max_by("leader", F.struct("count", "leader")).alias("b"))
+    tried = led.where("node <> leader").withColumnRenamed("shared", "both").join(sized, "leader")
+    first = tried.where(fits & enough).groupBy(F.col("node").alias("a")).agg(F.max_by("leader", F.struct("both", "leader")).alias("b"))
     links = stored(verified(first, known, num, den, n), "links")
 
     part = components(links)
-    members = index.select("sig", "node", "n", "common", "size").join(part, "node", "left").select("sig", "node", "n", "common", "size", F.coalesce("component", "node").alias("component"))
-    mixed = members.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
-    open_ = stored(members.join(mixed, "sig", "left_semi"), "open")
-    forget(index)
-    homes = stored(open_.where(F.col("size") >= LARGE).groupBy("node").agg(F.max_by("sig", F.struct("size", "sig")).alias("home")), "homes")
-    chosen = homes.select(F.col("home").alias("sig")).distinct()
-    in_blocks = stored(open_.join(chosen, "sig", "left_semi"), "blocks")
-    links = links.unionByName(stored(block_links(in_blocks, known, num, den, n), "links"))
 
-    part = components(links)
-    member = in_blocks.groupBy("node").agg(F.collect_set("sig").alias("_met"))
-    rest = open_.drop("component").join(part, "node", "left").withColumn("component", F.coalesce("component", "node")).join(member, "node", "left")
-    mixed = rest.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
-    rest = stored(rest.join(mixed, "sig", "left_semi").select("sig", "node", "n", "common", "component", "_met"), "rest")
-    left, right = (rest.select("sig", *(F.col(c).alias(f"{c}{end}") for c in ("node", "n", "common", "component", "_met"))) for end in ("", "_b"))
-    apart = (F.col("component") < F.col("component_b")) & ~F.coalesce(F.arrays_overlap("_met", "_met_b"), F.lit(False))  # else compared in a block
-    both = left.join(right, (left["sig"] == right["sig"]) & fits & apart)
-    pairs = both.groupBy(F.col("node").alias("a"), F.col("node_b").alias("b"), "n", "n_b").count().where(enough).select("a", "b")
-    more = stored(verified(pairs, known, num, den, n), "links")
-    for table in (known, open_, homes, in_blocks, rest):
-        forget(table)
-
-    part = components(links.unionByName(more))
+    def joined(more: DataFrame) -> bool:
+        """Takes further links in; whether there were any."""
+        nonlocal links, part
+        more = stored(more, "links")
+        if more.isEmpty():
+            return False
+        links = links.unionByName(more)
+        part = components(links)
+        return True
+
+    def narrowed(rows: DataFrame) -> DataFrame:
+        """rows of the groups that have several components by now."""
+        placed = rows.select("leader", "node", "n", "common", "shared").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        several = placed.groupBy("leader").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("leader")
+        out = stored(placed.join(several, "leader", "left_semi"), "open")
+        forget(rows)
+        return out
+
+    open_ = narrowed(led)
+    for number in range(PIVOTS):
+        if open_.isEmpty():
+            break
+        pivot = F.min_by(F.struct("node", "n", "common", "component", "shared"), F.xxhash64("node", F.lit(number)))
+        tried = open_.join(open_.groupBy("leader").agg(pivot.alias("pivot")), "leader").where("component <> pivot.component")
+        tried = tried.groupBy("node", "n", "common", F.col("pivot.node").alias("node_b"), F.col("pivot.n").alias("n_b"), F.col("pivot.common").alias("common_b")).agg(F.sum(F.least("shared", "pivot.shared")).alias("both"))
+        best = tried.where(fits & enough).groupBy(F.col("node").alias("a")).agg(F.max_by("node_b", F.struct("both", "node_b")).alias("b"))
+        if joined(verified(best, known, num, den, n)):
+            open_ = narrowed(open_)
+
+    if not open_.isEmpty():
+        held = open_.groupBy("leader").agg(F.count("*").alias("size")).where(F.col("size") >= LARGE)
+        homes = stored(open_.join(held, "leader").groupBy("node").agg(F.max_by("leader", F.struct("size", "leader")).alias("home")), "homes")
+        in_blocks = stored(open_.join(homes.select(F.col("home").alias("leader")).distinct(), "leader", "left_semi"), "blocks")
+        member = in_blocks.groupBy("node").agg(F.collect_set("leader").alias("met"))
+        if not in_blocks.isEmpty() and joined(block_links(in_blocks, known, num, den, n)):
+            open_ = narrowed(open_)
+        rest = stored(open_.join(member, "node", "left"), "rest")
+        left, right = (rest.select("leader", *(F.col(c).alias(f"{c}{end}") for c in ("node", "n", "common", "shared", "component", "met"))) for end in ("", "_b"))
+        apart = (F.col("component") < F.col("component_b")) & ~F.coalesce(F.arrays_overlap("met", "met_b"), F.lit(False))  # else compared in a block
+        both = left.join(right, (left["leader"] == right["leader"]) & fits & apart)
+        pairs = both.groupBy(F.col("node").alias("a"), F.col("node_b").alias("b"), "n", "n_b").agg(F.sum(F.least("shared", "shared_b")).alias("both")).where(enough).select("a", "b")
+        joined(verified(pairs, known, num, den, n))
+        for table in (homes, in_blocks, rest):
+            forget(table)
+    forget(known)
+    forget(open_)
+
     placed = listed.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least_id = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    least_id = stored(placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     spread = placed.join(least_id, "component", "left")
     return spread.select("doc_id", "mark", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -436,22 +503,20 @@ def representatives(docs: DataFrame, num: int = 75, den: int = 100, n: int = 5)
     """The rows of docs, all columns as they are, but those whose doc_id isn't their group's smallest. Rows without words
     or doc_id stay, and so do repeated rows of a doc_id that stays. Only texts that a Bloom filter can't tell from dropped ones are shuffled."""
     found = stored(grouped(docs, num, den, n), "groups")
-    drop = found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    drop = found.where("n_shingles > 0 and doc_id <> component_id").select("doc_id", "mark").distinct()
     place = lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(BLOOM_BITS)) + 1
-    sent = docs.sparkSession.sparkContext.broadcast(_filled(drop.select(place(F.col("__id"), F.col("__mark")).alias("bit"))))
+    sent = docs.sparkSession.sparkContext.broadcast(_filled(drop.select(place(F.col("doc_id"), F.col("mark")).alias("bit"))))
     id_, mark = docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string"))
-    marked = docs.withColumn("__bit", place(id_, mark))
-    columns = docs.columns
+    rows = docs.select(id_.alias("doc_id"), mark.alias("mark"), place(id_, mark).alias("bit"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
 
     def part(hit: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                bits = batch.column("__bit").to_numpy() - 1
+                bits = batch.column("bit").to_numpy() - 1
                 inside = (sent.value[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1 == 1
-                yield batch.filter(pa.array(inside == hit)).select(columns)
+                yield batch.filter(pa.array(inside == hit))
 
-        return marked.mapInArrow(run, docs.schema)
+        return rows.mapInArrow(run, rows.schema)
 
-    may = part(True)
-    same = (may["doc_id"].cast("long") == F.col("__id")) & (F.xxhash64(may["text"].cast("string")) == F.col("__mark"))
-    return part(False).unionByName(may.join(drop, same, "left_anti"))
+    kept = part(False).unionByName(part(True).join(drop, ["doc_id", "mark"], "left_anti").select(*rows.columns))
+    return kept.select("row.*")
