@@ -1,17 +1,20 @@
 """Quality rules: counts per document, and perplexity under a character n-gram model of its language.
 
-The model is a modified Kneser-Ney trigram model over 64 symbol classes of UTF-8 bytes, counted by Spark over
-all documents. A language's model is a sorted array of the trigrams seen with their log probabilities, and
-the lower orders that unseen ones back off to. Languages share SLOTS models by a hash of their name, so all
-models together are SLOTS * 64**3 entries at most, whatever the corpus holds: that is what is broadcast.
+The model is a modified Kneser-Ney trigram model over code points (digits count as one), one for each language. Spark
+counts the trigrams of all documents and derives the lower orders, discounts and back-off weights by grouping and joins. A
+trigram of code points is a 63-bit number, so n-grams are never confused. A language's model is arrays of hashes,
+sorted, with log probabilities and back-off weights, looked up by binary search from the longest n-gram down.
+
+Models of up to BROADCAST_ENTRIES entries together (12 bytes each) are broadcast. Beyond, the documents' trigrams are joined
+to the model's table by (language, trigram): as it is counted on the same documents, it has all of them.
 
 A document's log perplexity is the weighted median over its lines (a quoted line in another language doesn't
 move it). Each language has a band around its median: WIDTH robust deviations, widened for short lines,
 down for text that is too predictable, up for text that is too odd. Medians and deviations come from
 histograms over all documents.
 
-Nulls and empty texts count nothing and fail the base rule (no words); a null lang is a language of its own;
-repeated rows are judged alike; an empty table gives no rows.
+Nulls and empty texts count nothing and fail the base rule (no words); a null lang is the language ''; repeated rows
+are judged alike; a very long text is a slice of its own; further columns of any name do no harm; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,125 +22,184 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import mix, ngrams, slices, spans_hash, word_bounds
 from .shared import stored
 
-SLOTS = 64
-CODES = 64**3
 WIDTH = 3.5
 BIN = 0.001
+BROADCAST_ENTRIES = 4_000_000
+#: A task passes on what it has counted when it has so many entries.
+HELD = 1_000_000
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
+BREAK, BITS = 10, 21
+LOW, PAIR = (1 << BITS) - 1, (1 << 2 * BITS) - 1
+#: Entries of a model: log probabilities of 3, 2 and 1 code points, log back-off weights after two and one, log probability of a code point not seen.
+TRIPLE, DOUBLE, SINGLE, AFTER_TWO, AFTER_ONE, UNKNOWN = range(6)
+
+
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of valid UTF-8, digits as 0, and each text's offset in them."""
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
+    points[(points >= 48) & (points <= 57)] = 48
+    before = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    return points, before[offsets]
+
+
+def trigrams(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct trigrams, and which of them ends at each code point; two line breaks stand before each text."""
+    if not len(points):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    used = np.zeros(0x110000, bool)
+    used[points] = used[BREAK] = True
+    symbols = np.flatnonzero(used)
+    place = np.zeros(0x110000, np.int64)
+    place[symbols] = np.arange(len(symbols))
+    now = place[points]
+    one, two = np.roll(now, 1), np.roll(now, 2)
+    starts, sizes = offsets[:-1], np.diff(offsets)
+    one[starts[sizes > 0]] = two[starts[sizes > 0]] = two[starts[sizes > 1] + 1] = place[BREAK]
+    k = len(symbols)
+    code = (two * k + one) * k + now
+    if k**3 <= 16 * len(points) + 4_000_000:
+        found = np.flatnonzero(np.bincount(code, minlength=k**3))
+        rank = np.zeros(k**3, np.int32)
+        rank[found] = np.arange(len(found))
+        at = rank[code]
+    else:
+        found, at = np.unique(code, return_inverse=True)
+    a, b, c = (symbols[x].astype(np.uint64) for x in (found // (k * k), found // k % k, found % k))
+    return a << np.uint64(2 * BITS) | b << np.uint64(BITS) | c, at
 
 
-def _classes() -> np.ndarray:
-    """Each letter is a class; so is each usual mark; capitals, digits and the bytes of other scripts share some."""
-    out = np.full(256, 63, np.uint8)
-    for i in range(26):
-        out[97 + i], out[65 + i] = i, 26 + i % 5
-    for i, marks in enumerate((b" ", b"\n", b"\t\x0b\x0c\r", b"0123456789", b".", b",", b"'\"`", b"-_", b"!?", b":;", b"()[]{}", b"#", b"*", b"$", b"%", b"&", b"|", b"<>", b"/\\", b"@+=^~")):
-        out[list(marks)] = 31 + i
-    out[0x80:0xC0] = 51 + np.arange(64) % 8
-    out[0xC0:] = 59 + np.arange(64) % 4
-    return out
-
+def _lang(docs: DataFrame) -> Column:
+    return F.coalesce(docs["lang"].cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
 
-CLASS = _classes()
-BREAK = int(CLASS[10])
 
+def _input(docs: DataFrame) -> DataFrame:
+    text = docs["text"].cast("string")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), _lang(docs).alias("lang"))
 
-def slot(lang: Column) -> Column:
-    return F.pmod(F.crc32(F.coalesce(lang.cast("string"), F.lit("")).cast("binary")), F.lit(SLOTS)).cast("int")
 
+def _by_language(lang: pa.Array, offsets: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
+    """Each language of a slice, and which code points are in it (None: all)."""
+    values = lang.to_pylist()
+    names = sorted(set(values))
+    if len(names) == 1:
+        yield names[0], None
+        return
+    number = {name: i for i, name in enumerate(names)}
+    each = np.repeat([number[v] for v in values], np.diff(offsets))
+    for i, name in enumerate(names):
+        yield name, np.flatnonzero(each == i)
 
-def trigrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The trigram that ends at each byte; two line breaks stand before each text."""
-    now = CLASS[data].astype(np.int32)
-    if not len(now):
-        return now
-    one, two = np.roll(now, 1), np.roll(now, 2)
-    starts, sizes = offsets[:-1], np.diff(offsets)
-    one[starts[sizes > 0]] = two[starts[sizes > 0]] = two[starts[sizes > 1] + 1] = BREAK
-    return two << 12 | one << 6 | now
 
+def counted(docs: DataFrame) -> DataFrame:
+    """lang, code, n: how often each trigram occurs in a language's documents, over all of them."""
 
-def _input(docs: DataFrame) -> DataFrame:
-    lang = docs["lang"] if "lang" in docs.columns else F.lit(None)
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), slot(lang).alias("slot"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
 
+        def compact() -> int:
+            for name, parts in held.items():
+                codes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+                held[name] = [(codes, np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64))]
+            return sum(len(parts[0][0]) for parts in held.values())
 
-def counted(docs: DataFrame) -> DataFrame:
-    """slot, code, n: how often each trigram occurs in each slot's documents, over all of them."""
+        def out() -> Iterator[pa.RecordBatch]:
+            for name, [(codes, n)] in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(n)], ["lang", "code", "n"])
+            held.clear()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, data, offsets in slices(batch):
-                codes = trigrams(data, offsets)
-                own = np.asarray(part.column("slot").to_numpy())
-                each = np.repeat(own, np.diff(offsets))
-                for s in np.unique(own).tolist():
-                    counts.setdefault(s, np.zeros(CODES, np.int64))
-                    counts[s] += np.bincount(codes[each == s], minlength=CODES)
-        for s, n in counts.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), s, np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at])], ["slot", "code", "n"])
-
-    return docs.select("slot", "text").mapInArrow(run, "slot int, code int, n long").groupBy("slot", "code").agg(F.sum("n").alias("n"))
-
-
-def _level(counts: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Modified Kneser-Ney: counts discounted by D1, D2, D3+ over the last axis, the mass taken spread as lower.
-    Returns the probabilities and the mass taken per context."""
-    n1, n2, n3, n4 = (max(1, int((counts == k).sum())) for k in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2)
-    d1, d2, d3 = (min(max(d, 0.1), top) for d, top in ((1 - 2 * y * n2 / n1, 0.9), (2 - 3 * y * n3 / n2, 1.9), (3 - 4 * y * n4 / n3, 2.9)))
-    taken = np.select([counts == 0, counts == 1, counts == 2], [0, d1, d2], d3)
-    total = counts.sum(-1, keepdims=True)
-    mass = np.where(total > 0, taken.sum(-1, keepdims=True) / np.maximum(total, 1), 1)
-    return (counts - taken) / np.maximum(total, 1) + mass * lower, mass
-
-
-def kneser_ney(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted codes of seen trigrams and their log probabilities; bigram probabilities and trigram back-off mass for the rest."""
-    full = np.zeros(CODES)
-    full[codes] = counts
-    full = full.reshape(64, 64, 64)
-    pairs = (full > 0).sum(0).astype(float)
-    single, _ = _level((pairs > 0).sum(0).astype(float), np.full(64, 1 / 64))
-    double, _ = _level(pairs, single)
-    triple, mass = _level(full, double)
-    codes = np.sort(codes)
-    return codes.astype(np.int32), np.log(triple.ravel()[codes]).astype(np.float32), double.astype(np.float32), mass[..., 0].astype(np.float32)
-
-
-def models(counts: DataFrame) -> DataFrame:
-    """slot and its model's arrays as binaries."""
-
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("code")
-        return pd.DataFrame([[int(rows["slot"].iloc[0]), *(x.tobytes() for x in kneser_ney(rows["code"].to_numpy(), rows["n"].to_numpy()))]], columns=["slot", "codes", "seen", "lower", "mass"])
-
-    return counts.groupBy("slot").applyInPandas(build, "slot int, codes binary, seen binary, lower binary, mass binary")
+                points, places = code_points(data, offsets)
+                codes, at = trigrams(points, places)
+                for name, own in _by_language(part.column("lang"), places):
+                    n = np.bincount(at if own is None else at[own], minlength=len(codes))
+                    some = np.flatnonzero(n)
+                    held.setdefault(name, []).append((codes[some], n[some]))
+                    size += len(some)
+                if size > HELD and (size := compact()) > HELD // 2:
+                    yield from out()
+                    size = 0
+        compact()
+        yield from out()
+
+    return docs.select("lang", "text").mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+
+
+def _level(rows: DataFrame) -> DataFrame:
+    """rows (lang, key, context, n, lower) with p, the modified Kneser-Ney probability, and mass, the share its context leaves to lower."""
+    of = {k: F.greatest(F.count(F.when(F.col("n") == k, 1)), F.lit(1)).alias(f"n{k}") for k in (1, 2, 3, 4)}
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    within = lambda d, top: F.least(F.greatest(d, F.lit(0.1)), F.lit(top))
+    cuts = rows.groupBy("lang").agg(*of.values()).select("lang", *(within(k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"), k - 0.1).alias(f"d{k}") for k in (1, 2, 3)))
+    rows = rows.join(cuts, "lang").withColumn("taken", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
+    same = Window.partitionBy("lang", "context")
+    rows = rows.withColumns({"total": F.sum("n").over(same), "mass": F.sum("taken").over(same) / F.sum("n").over(same)})
+    return rows.withColumn("p", (F.col("n") - F.col("taken")) / F.col("total") + F.col("mass") * F.col("lower"))
+
+
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """lang, kind, key, value: the entries of each language's model. counts has lang, code and n."""
+    low = lambda c: c.bitwiseAND(F.lit(LOW))
+    pairs = counts.groupBy("lang", F.col("code").bitwiseAND(F.lit(PAIR)).alias("key")).agg(F.count("*").alias("n"))
+    pairs = stored(pairs, "pairs")
+    singles = pairs.groupBy("lang", low(F.col("key")).alias("key")).agg(F.count("*").alias("n"))
+    known = singles.groupBy("lang").agg((1 / (F.count("*") + 1)).alias("lower"))
+    one = _level(singles.join(known, "lang").withColumn("context", F.lit(0)))
+    one = stored(one.select("lang", "key", "p", (F.col("mass") * F.col("lower")).alias("unknown")), "singles")
+    lower = one.select("lang", F.col("key").alias("last"), F.col("p").alias("lower"))
+    two = pairs.withColumns({"last": low(F.col("key")), "context": F.shiftright("key", BITS)}).join(lower, ["lang", "last"])
+    two = stored(_level(two).select("lang", "key", "p", "context", "mass"), "doubles")
+    lower = two.select("lang", F.col("key").alias("last"), F.col("p").alias("lower"))
+    three = counts.select("lang", F.col("code").alias("key"), "n", F.col("code").bitwiseAND(F.lit(PAIR)).alias("last"), F.shiftright("code", BITS).alias("context")).join(lower, ["lang", "last"])
+    three = stored(_level(three).select("lang", "key", "p", "context", "mass"), "triples")
+    entry = lambda rows, kind, key, value: rows.select("lang", F.lit(kind).alias("kind"), F.col(key).cast("long").alias("key"), F.log(value).cast("float").alias("value"))
+    out = entry(three, TRIPLE, "key", "p").unionByName(entry(two, DOUBLE, "key", "p")).unionByName(entry(one, SINGLE, "key", "p"))
+    out = out.unionByName(entry(three.select("lang", "context", "mass").distinct(), AFTER_TWO, "context", "mass"))
+    out = out.unionByName(entry(two.select("lang", "context", "mass").distinct(), AFTER_ONE, "context", "mass"))
+    return out.unionByName(entry(one.groupBy("lang").agg(F.first("unknown").alias("unknown")).withColumn("key", F.lit(0)), UNKNOWN, "key", "unknown"))
 
 
 class Model:
-    def __init__(self, codes: bytes, seen: bytes, lower: bytes, mass: bytes) -> None:
-        self.codes, self.seen = np.frombuffer(codes, np.int32), np.frombuffer(seen, np.float32)
-        self.lower, self.mass = np.frombuffer(lower, np.float32), np.frombuffer(mass, np.float32)
-        self.table: np.ndarray | None = None
+    """One language's entries: for each kind hashes, sorted, and their values."""
+
+    def __init__(self, kind: np.ndarray, key: np.ndarray, value: np.ndarray) -> None:
+        self.kinds = []
+        for k in range(6):
+            hashes, own = mix(key[kind == k].astype(np.uint64)), value[kind == k]
+            order = np.argsort(hashes)
+            self.kinds.append((hashes[order], own[order]))
+
+    def find(self, kind: int, keys: np.ndarray) -> np.ndarray:
+        """Values by binary search, NaN for what isn't there."""
+        hashes, values = self.kinds[kind]
+        if not len(hashes):
+            return np.full(len(keys), np.nan)
+        wanted = mix(keys)
+        at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
+        return np.where(hashes[at] == wanted, values[at].astype(float), np.nan)
 
     def log_probability(self, codes: np.ndarray) -> np.ndarray:
-        if self.table is None:  # one lookup for each byte of text: worth laying out all of this slot's trigrams
-            every = np.arange(CODES)
-            self.table = np.log(self.mass[every >> 6] * self.lower[every & 4095])
-            self.table[self.codes] = self.seen
-        return self.table[codes]
+        out = self.find(TRIPLE, codes)
+        for keys, weights, shorter in ((np.uint64(PAIR), AFTER_TWO, DOUBLE), (np.uint64(LOW), AFTER_ONE, SINGLE)):
+            rest = np.flatnonzero(np.isnan(out))
+            if not len(rest):
+                return out
+            if shorter == DOUBLE:
+                back, context = self.find(DOUBLE, codes[rest] & keys), codes[rest] >> np.uint64(BITS)
+            else:
+                back, context = self.find(SINGLE, codes[rest] & keys), codes[rest] >> np.uint64(BITS) & np.uint64(LOW)
+                back = np.where(np.isnan(back), self.kinds[UNKNOWN][1][0] if len(self.kinds[UNKNOWN][1]) else 0.0, back) + np.nan_to_num(self.find(AFTER_TWO, codes[rest] >> np.uint64(BITS)))
+            out[rest] = back + np.nan_to_num(self.find(weights, context))
+        return out
 
 
 def _per_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -154,27 +216,8 @@ def _repeated(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-
-
-def measured(docs: DataFrame, found: dict[int, tuple]) -> DataFrame:
-    """doc_id, slot, the five counts, log_ppl (null without text) and line_bytes (length of its median line)."""
-    sent = docs.sparkSession.sparkContext.broadcast(found)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {s: Model(*m) for s, m in sent.value.items()}
-        for batch in batches:
-            for part, data, offsets in slices(batch):
-                own = np.asarray(part.column("slot").to_numpy())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("slot"), *_measure(data, offsets, own, known)], NAMES)
-
-    return docs.mapInArrow(run, f"doc_id long, slot int, {COUNTS}, log_ppl double, line_bytes long")
-
-
-NAMES = ["doc_id", "slot", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl", "line_bytes"]
-
-
-def _measure(data: np.ndarray, offsets: np.ndarray, own: np.ndarray, known: dict[int, Model]) -> list[pa.Array]:
+def _measure(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text."""
     n = len(offsets) - 1
     starts, ends, first = word_bounds(data, offsets)
     n_words = np.diff(first)
@@ -202,81 +245,132 @@ def _measure(data: np.ndarray, offsets: np.ndarray, own: np.ndarray, known: dict
     np.add.at(cover, at + 8, -1)
     n_repeat = _per_text(np.cumsum(cover[:-1]) > 0, first)
 
-    codes = trigrams(data, offsets)
-    each = np.repeat(own, np.diff(offsets))
-    value = np.zeros(len(codes))
-    for s in np.unique(own).tolist():
-        value[each == s] = known[s].log_probability(codes[each == s])
-    sizes = line_ends - line_starts
-    full = np.flatnonzero(sizes > 0)
-    total = np.concatenate(([0], np.cumsum(value)))
-    each_line = -(total[line_ends[full]] - total[line_starts[full]]) / sizes[full]
-    order = np.lexsort((each_line, of_line[full]))
-    weight = np.concatenate(([0], np.cumsum(sizes[full][order])))
-    middle = (offsets[:-1] + offsets[1:]) / 2  # in each text half of its bytes are in lines up to the median line
-    pick = order[np.minimum(np.searchsorted(weight, middle, "left") - 1, len(order) - 1).clip(0)] if len(order) else np.zeros(n, np.int64)
-    empty = np.diff(offsets) == 0
-    ppl = each_line[pick] if len(order) else np.zeros(n)
-    size = sizes[full][pick] if len(order) else np.zeros(n, np.int64)
-    return [pa.array(x.astype(np.int64)) for x in (n_words, word_chars, n_symbols, n_dup, n_repeat)] + [pa.array(ppl, mask=empty), pa.array(size.astype(np.int64), mask=empty)]
-
-
-def bands(documents: DataFrame, name: str = "log_ppl", by: str = "slot") -> dict[int, tuple[float, float]]:
-    """Median and robust deviation of each slot, from a histogram: its size depends on the range, not on the rows."""
-    rows = documents.where(F.col(name).isNotNull()).groupBy(by, F.round(F.col(name) / BIN).cast("long").alias("bin")).count().toPandas()
-    out = {}
-    for s, own in rows.groupby(by):
-        value, weight = own["bin"].to_numpy() * BIN, own["count"].to_numpy()
-
-        def middle(x: np.ndarray, weight: np.ndarray = weight) -> float:
-            order = np.argsort(x, kind="stable")
-            total = np.cumsum(weight[order])
-            return float(x[order][np.searchsorted(total, total[-1] / 2)])
-
-        center = middle(value)
-        out[int(s)] = (center, max(1.4826 * middle(np.abs(value - center)), 0.02))
-    return out
+    return [x.astype(np.int64) for x in (n_words, word_chars, n_symbols, n_dup, n_repeat)]
+
+
+def _lines(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of lines, breaks with the line they end, and the text of each."""
+    starts = np.sort(np.concatenate((offsets[:-1], np.flatnonzero(points == BREAK) + 1)), kind="stable")
+    ends = np.append(starts[1:], len(points))
+    full = ends > starts
+    starts, ends = starts[full], ends[full]
+    return starts, ends, np.searchsorted(offsets, starts, "right") - 1
+
+
+def _perplexity(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, known: dict[str, Model]) -> tuple[np.ndarray, np.ndarray]:
+    """Log perplexity of each text's median line and that line's length; NaN and 0 without text."""
+    points, places = code_points(data, offsets)
+    codes, at = trigrams(points, places)
+    value = np.zeros(len(points))
+    for name, own in _by_language(part.column("lang"), places):
+        mine = at if own is None else at[own]
+        some = np.flatnonzero(np.bincount(mine, minlength=len(codes)))
+        found = np.zeros(len(codes))
+        if len(some):
+            found[some] = known[name].log_probability(codes[some])
+        value[slice(None) if own is None else own] = found[mine]
+    starts, ends, of = _lines(points, places)
+    n = len(offsets) - 1
+    ppl, size = np.full(n, np.nan), np.zeros(n, np.int64)
+    if len(starts):
+        total = np.concatenate(([0], np.cumsum(value)))
+        each = -(total[ends] - total[starts]) / (ends - starts)
+        order = np.lexsort((ends - starts, each, of))
+        weight = np.cumsum((ends - starts)[order])
+        some = np.flatnonzero(np.diff(places))
+        pick = order[np.searchsorted(weight, (places[some] + places[some + 1]) / 2)]  # half of a text is in lines up to this one
+        ppl[some], size[some] = each[pick], (ends - starts)[pick]
+    return ppl, size
+
+
+NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def fitted(rows: DataFrame) -> DataFrame | dict[str, tuple[bytes, bytes, bytes]]:
+    """The models: a table, or each language's kinds, keys and values where BROADCAST_ENTRIES isn't exceeded."""
+    table = stored(kneser_ney(stored(counted(rows), "trigrams")), "model")
+    if table.count() > BROADCAST_ENTRIES:
+        return table
+    got = table.toArrow()
+    kind, key, value = (got.column(c).to_numpy() for c in ("kind", "key", "value"))
+    names, each = np.unique(np.array(got.column("lang").to_pylist(), object), return_inverse=True)
+    return {name: tuple(x[each == i].tobytes() for x in (kind, key, value)) for i, name in enumerate(names.tolist())}
+
+
+def measured(rows: DataFrame, found: DataFrame | dict) -> DataFrame:
+    """rows (text, lang and any others) with the five counts, log_ppl (null without text) and line_chars (length of the median line)."""
+    table = found if isinstance(found, DataFrame) else None
+    sent = rows.sparkSession.sparkContext.broadcast({} if table is not None else found)
+    plain = table is not None
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {name: Model(*(np.frombuffer(x, t) for x, t in zip(arrays, (np.int32, np.int64, np.float32), strict=True))) for name, arrays in sent.value.items()}
+        for batch in batches:
+            for part, data, offsets in slices(batch):
+                ppl, size = (np.full(part.num_rows, np.nan), np.zeros(part.num_rows, np.int64)) if plain else _perplexity(part, data, offsets, known)
+                extra = [pa.array(x) for x in _measure(data, offsets)] + [pa.array(ppl, mask=np.isnan(ppl)), pa.array(size)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *extra], [*part.schema.names, *NAMES, "log_ppl", "line_chars"])
 
-def fitted(rows: DataFrame) -> dict[int, tuple]:
-    """Each slot's model arrays; at most SLOTS * CODES entries."""
-    return {r["slot"]: (bytes(r["codes"]), bytes(r["seen"]), bytes(r["lower"]), bytes(r["mass"])) for r in models(counted(rows)).collect()}
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, {', '.join(f'{n} long' for n in NAMES)}, log_ppl double, line_chars long"
+    if table is None:
+        return rows.mapInArrow(run, schema)
+    marked = rows.withColumn("text_hash", F.xxhash64("text"))
+    out = rows.mapInArrow(run, schema).drop("log_ppl", "line_chars").withColumn("text_hash", F.xxhash64("text"))
+    return out.join(_joined_perplexity(marked, table), ["lang", "text_hash"], "left").drop("text_hash")
+
+
+def _joined_perplexity(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """lang, text_hash, log_ppl, line_chars by a join of all lines' trigrams to the model's table. Equal texts of a language count once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in slices(batch, limit=1 << 18):
+                points, places = code_points(data, offsets)
+                codes, at = trigrams(points, places)
+                starts, ends, of = _lines(points, places)
+                line = np.repeat(np.arange(len(starts)), ends - starts)
+                pair, n = np.unique(line * max(1, len(codes)) + at, return_counts=True)
+                line, code = pair // max(1, len(codes)), pair % max(1, len(codes))
+                row = pa.array(of[line])
+                yield pa.RecordBatch.from_arrays([part.column("lang").take(row), part.column("text_hash").take(row), pa.array(line - np.searchsorted(of, of[line])), pa.array(codes[code].astype(np.int64)), pa.array(n)], ["lang", "text_hash", "line", "key", "n"])
+
+    each = rows.select("lang", "text_hash", "text").dropDuplicates(["lang", "text_hash"]).mapInArrow(run, "lang string, text_hash long, line long, key long, n long")
+    lines = each.join(table.where(F.col("kind") == TRIPLE).select("lang", "key", "value"), ["lang", "key"]).groupBy("lang", "text_hash", "line").agg((-F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("log_ppl"), F.sum("n").alias("line_chars"))
+    by = Window.partitionBy("lang", "text_hash")
+    upto = F.sum("line_chars").over(by.orderBy("log_ppl", "line_chars", "line").rowsBetween(Window.unboundedPreceding, 0))
+    lines = lines.withColumns({"upto": upto, "whole": F.sum("line_chars").over(by)})
+    return lines.where("2 * upto >= whole and 2 * (upto - line_chars) < whole").select("lang", "text_hash", "log_ppl", "line_chars")
+
+
+def bands(rows: DataFrame) -> DataFrame:
+    """lang, center, spread: median and robust deviation of log_ppl, from a histogram: its size depends on the range, not on the rows."""
+    bins = rows.where("log_ppl is not null").groupBy("lang", F.round(F.col("log_ppl") / BIN).cast("long").alias("bin")).count()
+    bins = stored(bins, "histogram")
+    center = bins.groupBy("lang").agg(F.expr("percentile(bin, 0.5, count)").alias("middle"))
+    off = bins.join(center, "lang").groupBy("lang").agg(F.first("middle").alias("middle"), F.expr("percentile(abs(bin - middle), 0.5, count)").alias("off"))
+    return off.select("lang", (F.col("middle") * BIN).alias("center"), F.greatest(1.4826 * BIN * F.col("off"), F.lit(0.02)).alias("spread"))
+
+
+def _decided(rows: DataFrame, bands_: DataFrame, width: float) -> DataFrame:
+    """measured() rows with base_failed, lower, upper and kept."""
+    rows = rows.join(bands_, "lang", "left")
+    reach = F.sqrt(F.col("spread") * F.col("spread") + 1 / F.col("line_chars")) * width
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    rows = rows.withColumns({"base_failed": failed, "lower": F.when(F.col("log_ppl").isNotNull(), F.col("center") - reach), "upper": F.when(F.col("log_ppl").isNotNull(), F.col("center") + reach)})
+    return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(True)))
 
 
 def judged(docs: DataFrame, width: float = WIDTH) -> DataFrame:
-    """doc_id, the counts, base_failed, log_ppl, lower and upper (its band), kept. The counts and rules are exact."""
+    """doc_id, the counts, base_failed, kept, log_ppl, lower and upper (its band). The counts and rules are exact."""
     rows = _input(docs)
-    all_ = stored(measured(rows, fitted(rows)), "measured")
-    at = bands(all_)
-    if at:
-        center, spread = (F.create_map(*(x for s, v in at.items() for x in (F.lit(s), F.lit(v[i]))))[F.col("slot")] for i in (0, 1))
-    else:
-        center = spread = F.lit(None).cast("double")
-    reach = F.sqrt(spread * spread + 1 / F.col("line_bytes")) * width
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    inside = F.coalesce(F.col("log_ppl").between(center - reach, center + reach), F.lit(True))
-    return all_.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & inside).alias("kept"), "log_ppl", (center - reach).alias("lower"), (center + reach).alias("upper"))
+    all_ = stored(measured(rows, fitted(rows)).drop("text"), "measured")
+    return _decided(all_, bands(all_), width).select("doc_id", *NAMES, "base_failed", "kept", "log_ppl", "lower", "upper")
 
 
 def passing(docs: DataFrame, width: float = WIDTH) -> DataFrame:
-    """The documents, all columns as they are, that judged() keeps. Each row is judged by itself, without a shuffle of texts."""
+    """The documents, all columns as they are, that judged() keeps. While models are broadcast, texts aren't shuffled."""
     rows = _input(docs)
     found = fitted(rows)
-    at = bands(measured(rows, found))
-    sent = docs.sparkSession.sparkContext.broadcast((found, at))
-    columns = docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, at = sent.value
-        known = {s: Model(*m) for s, m in found.items()}
-        for batch in batches:
-            for part, data, offsets in slices(batch):
-                own = np.asarray(part.column("__slot").to_numpy())
-                n_words, _, _, _, n_repeat, ppl, size = (x.to_numpy(zero_copy_only=False) for x in _measure(data, offsets, own, known))
-                center, spread = (np.array([at.get(s, (0, 0))[i] for s in own.tolist()]) for i in (0, 1))
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    inside = ~(np.abs(ppl - center) > np.sqrt(spread * spread + 1 / size) * width)
-                keep = (n_words >= 20) & (100 * n_repeat <= 30 * n_words) & inside
-                yield part.filter(pa.array(keep)).select(columns)
-
-    return docs.withColumn("__slot", slot(docs["lang"])).mapInArrow(run, docs.schema)
+    at = stored(bands(measured(rows, found)), "bands")
+    whole = docs.select(docs["text"].cast("string").alias("text"), _lang(docs).alias("lang"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    return _decided(measured(whole, found), at, width).where("kept").select("row.*")
