@@ -1,18 +1,20 @@
 """Mixing sources to target weights: raking of token weights, then sampling; DataFrame functions only.
 
 Iterative proportional fitting over cells (source, language, topic): each step scales the cells' token weights so
-that one of the three margins fits its targets. In mixed() a document is kept with probability min(1, weight / tokens of
-its cell). sampled() rakes until the weights are settled and takes a document weight / tokens times (the whole part, and one
-more with the fraction as probability), so that a cell that should weigh more than it has is repeated. Draws are a hash of doc_id and seed, so a
-document's fate doesn't depend on partitions or repeats.
+that one of the three margins fits its targets. Rounds of three steps go on until no cell moves any more; LIMIT rounds
+without that are an error. A cell's rate is its weight by its tokens: how often each of its documents is expected in the
+mix. A document is taken rate times: the whole part, and once more with the fraction as probability. So no probability
+is cut off, and the shares of the sample's tokens are the targets but for the draws' chance. Draws are a hash of doc_id
+and seed, so a document's fate doesn't depend on partitions or repeats.
 
 Topics are a column if the caller has one, else the form of the text: table, marked, short, medium or long.
 Targets are shares per value of each margin; those not given are the margin's own token shares, tempered:
-tokens ** TEMPER, normalised.
+tokens ** TEMPER, normalised. Where no weights meet all targets, the later margins' are met.
 
 Nulls: a null source, lang or topic is the value ''; a null or empty text has no tokens and its cell weighs
-nothing by itself, such documents have the probability of their cell, 1 if the cell has no tokens. Repeated rows
-share one draw. An empty table gives no rows.
+nothing by itself, such documents have the rate of their cell, 1 if the cell has no tokens. Repeated rows
+share one draw. A very long text is one row like any other. Further columns of any name do no harm. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ from .shared import stored
 
 MARGINS = ("source", "lang", "topic")
 TEMPER = 0.8
-ROUNDS = 8
 SEED = 17
-#: Raking for a sample ends when no cell moves by more than this share of all tokens in four rounds; LIMIT rounds without that are an error.
-SETTLED = 1e-5
+#: Raking ends when no cell moves by more than this share of all tokens in STEP rounds.
+SETTLED = 1e-10
+STEP = 4
 LIMIT = 1000
 #: Up to this many cells are broadcast (about 100 bytes each); more are joined by a shuffle of their keys.
 BROADCAST_CELLS = 200_000
@@ -46,11 +48,11 @@ def form(text: Column, tokens: Column) -> Column:
 
 
 def celled(docs: DataFrame, topic: Column | None = None) -> DataFrame:
-    """docs with n_tokens and the three margins' values, under names of their own (_source, _lang, _topic)."""
+    """doc_id, n_tokens, source, lang, topic and row, the caller's columns, for each of docs."""
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    rows = docs.withColumn("_tokens", token_count(text))
-    kind = form(text, F.col("_tokens")) if topic is None else topic
-    return rows.withColumns({"_source": F.coalesce(docs["source"].cast("string"), F.lit("")), "_lang": F.coalesce(docs["lang"].cast("string"), F.lit("")), "_topic": F.coalesce(kind, F.lit(""))})
+    value = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), token_count(text).alias("n_tokens"), value(docs["source"]).alias("source"), value(docs["lang"]).alias("lang"), text.alias("text"), (F.lit("") if topic is None else value(topic)).alias("topic"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    return rows.withColumn("topic", form(F.col("text"), F.col("n_tokens")) if topic is None else F.col("topic")).drop("text")
 
 
 def draw(doc_id: Column, seed: int = SEED) -> Column:
@@ -58,70 +60,67 @@ def draw(doc_id: Column, seed: int = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, temper: float = TEMPER, settled: float | None = None) -> DataFrame:
-    """cells (_source, _lang, _topic, tokens) with weight, whose margins approach the targets (value, share). With settled, rounds
-    go on until no weight moves by more than that share of the total."""
+def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER) -> DataFrame:
+    """cells (source, lang, topic, tokens) with weight, whose margins meet the targets (value, share), and rate."""
     parts = -(-cells.count() // CELLS_PER_TASK) or 1
     now = cells.coalesce(1) if parts == 1 else cells.repartition(parts)
     total = cells.agg(F.sum("tokens").alias("total"))
     now = now.crossJoin(F.broadcast(total))  # one row
     for margin in MARGINS:
         if targets and margin in targets:
-            share = targets[margin].select(F.col("value").alias(f"_{margin}"), F.col("share").cast("double").alias(f"share_{margin}"))
-            now = now.join(share, f"_{margin}", "left").fillna(0.0, [f"share_{margin}"])
+            share = targets[margin].select(F.col("value").alias(margin), F.col("share").cast("double").alias(f"share_{margin}"))
+            now = now.join(share, margin, "left").fillna(0.0, [f"share_{margin}"])
         else:
-            by = cells.groupBy(f"_{margin}").agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper)).alias("part"))
+            by = cells.groupBy(margin).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper)).alias("part"))
             norm = by.agg(F.sum("part").alias("norm"))
-            share = by.crossJoin(F.broadcast(norm)).select(f"_{margin}", F.when(F.col("norm") > 0, F.col("part") / F.col("norm")).otherwise(0.0).alias(f"share_{margin}"))
-            now = now.join(share, f"_{margin}")
+            share = by.crossJoin(F.broadcast(norm)).select(margin, F.when(F.col("norm") > 0, F.col("part") / F.col("norm")).otherwise(0.0).alias(f"share_{margin}"))
+            now = now.join(share, margin)
     now = now.withColumn("weight", F.col("tokens").cast("double"))
     now = stored(now.coalesce(1) if parts == 1 else now, "cells")
-    step, moving = 0, settled is not None
-    while step < rounds or moving:
-        if step >= LIMIT:
-            raise RuntimeError(f"weights aren't settled after {step} rounds")
-        if settled is not None and step % 4 == 0:
-            now = now.withColumn("before", F.col("weight"))
+    for _ in range(0, LIMIT, STEP):
+        now = now.withColumn("before", F.col("weight"))
         now = now.coalesce(1) if parts == 1 else now  # a single partition needs no exchange for any margin
-        for margin in MARGINS:
-            held = F.sum("weight").over(Window.partitionBy(f"_{margin}"))
+        for margin in MARGINS * STEP:
+            held = F.sum("weight").over(Window.partitionBy(margin))
             now = now.withColumn("held", held).withColumn("weight", F.when(F.col("held") > 0, F.col("weight") * (F.col(f"share_{margin}") * F.col("total") / F.col("held"))).otherwise(0.0))
-        step += 1
-        if step % 4 == 0 or step == rounds:
-            now = stored(now.drop("held"), "cells")
-        if settled is not None and step % 4 == 0:
-            moving = (now.agg(F.max(F.abs(F.col("weight") - F.col("before")) / F.col("total"))).first()[0] or 0) > settled
-    probability = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("weight") / F.col("tokens"))).otherwise(1.0)
-    return now.select("_source", "_lang", "_topic", "tokens", "weight", probability.alias("probability"))
-
-
-def calibrated(rows: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, temper: float = TEMPER, columns: list[str] | None = None, settled: float | None = None) -> DataFrame:
-    """celled() rows with tokens and weight of their cell, and probability."""
-    keys = [f"_{m}" for m in MARGINS]
-    cells = stored(rows.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")), "cells")
-    fitted = raked(cells, targets, rounds, temper, settled)
+        now = stored(now.drop("held"), "cells")
+        if (now.agg(F.max(F.abs(F.col("weight") - F.col("before")) / F.col("total"))).first()[0] or 0) <= SETTLED:
+            break
+    else:
+        raise RuntimeError(f"weights aren't settled after {LIMIT} rounds")
+    rate = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0)
+    return now.select(*MARGINS, "tokens", "weight", F.round(rate, 6).alias("rate"))
+
+
+def calibrated(rows: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER) -> DataFrame:
+    """celled() rows with tokens, weight and rate of their cell."""
+    cells = stored(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "cells")
+    fitted = raked(cells, targets, temper)
     if fitted.count() <= BROADCAST_CELLS:
         fitted = F.broadcast(fitted)
-    return rows.join(fitted, keys)
+    return rows.join(fitted, list(MARGINS))
 
 
-def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, temper: float = TEMPER, seed: int = SEED) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, weight (of the cell), probability and kept, for every document."""
-    rows = celled(docs).select(docs["doc_id"].cast("long").alias("doc_id"), "_tokens", *(f"_{m}" for m in MARGINS))
-    out = calibrated(stored(rows, "celled"), targets, rounds, temper)
-    return out.select("doc_id", *(F.col(f"_{m}").alias(m) for m in MARGINS), F.col("_tokens").alias("n_tokens"), F.round("weight", 3).alias("weight"), F.round("probability", 6).alias("probability"), (draw(F.col("doc_id"), seed) < F.round("probability", 6)).alias("kept"))
+def copies(rate: Column, doc_id: Column, seed: int = SEED) -> Column:
+    """How often a document is taken: rate is what to expect."""
+    return (F.floor(rate) + (draw(doc_id, seed) < rate - F.floor(rate)).cast("long")).cast("long")
 
 
-def sampled(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, temper: float = TEMPER, seed: int = SEED) -> DataFrame:
-    """Documents, all columns as they are, each as often as its cell's weight asks for: the tokens' shares are near the targets."""
-    out = calibrated(celled(docs), targets, rounds, temper, settled=SETTLED)
-    times = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0)
-    copies = F.floor(times) + (draw(F.col("doc_id"), seed) < times - F.floor(times)).cast("long")
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*docs.columns)
+def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, seed: int = SEED) -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens, weight (of the cell), rate and copies, for every document."""
+    rows = stored(celled(docs).drop("row"), "celled")
+    out = calibrated(rows, targets, temper)
+    return out.select("doc_id", *MARGINS, "n_tokens", F.round("weight", 3).alias("weight"), "rate", copies(F.col("rate"), F.col("doc_id"), seed).alias("copies"))
 
 
-def mixed_sql(rounds: int = ROUNDS, temper: float = TEMPER, seed: int = SEED) -> str:
-    """mixed() over the table documents, as SQL of one expression per raking step."""
+def sampled(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, seed: int = SEED) -> DataFrame:
+    """Documents, all columns as they are, each as often as copies() says: the tokens' shares are near the targets."""
+    out = calibrated(celled(docs), targets, temper).where(copies(F.col("rate"), F.col("doc_id"), seed) > 0)
+    return out.select(F.explode(F.array_repeat("row", copies(F.col("rate"), F.col("doc_id"), seed).cast("int"))).alias("row")).select("row.*")
+
+
+def mixed_sql(rounds: int = 40, temper: float = TEMPER, seed: int = SEED) -> str:
+    """mixed() over the table documents, as SQL whose recursion takes one raking step at a time, more than any fit needs."""
     bars, marks = "length(t) - length(replace(t, '|', ''))", "length(t) - length(translate(t, '#*$%&<>', ''))"
     steps = ["""docs as (select doc_id, coalesce(source, '') as source, coalesce(lang, '') as lang, coalesce(text, '') as t,
         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as n_tokens from documents)""",
@@ -129,15 +128,13 @@ def mixed_sql(rounds: int = ROUNDS, temper: float = TEMPER, seed: int = SEED) ->
         "cells as (select source, lang, topic, sum(n_tokens)::double as tokens from rows group by all)"]
     for m in MARGINS:
         steps.append(f"part_{m} as (select {m}, pow(sum(tokens), {temper}) as part from cells group by all)")
-        steps.append(f"share_{m} as (select {m}, part / (select sum(part) from part_{m}) as share from part_{m})")
-    steps.append("w0 as (select *, tokens as weight, (select sum(tokens) from cells) as total from cells)")
-    n = 0
-    for _ in range(rounds):
-        for m in MARGINS:
-            steps.append(f"w{n + 1} as (select w.source, w.lang, w.topic, w.tokens, w.total, case when sum(w.weight) over (partition by w.{m}) > 0 then w.weight * (s.share * w.total / sum(w.weight) over (partition by w.{m})) else 0 end as weight from w{n} w join share_{m} s using ({m}))")
-            n += 1
-    steps.append(f"p as (select *, round(case when tokens > 0 then least(1.0, weight / tokens) else 1.0 end, 6) as probability from w{n})")
-    return "with " + ",\n".join(steps) + f"""
-        select doc_id, source, lang, topic, n_tokens::bigint as n_tokens, round(weight, 3) as weight, probability,
-        ('0x' || substr(md5('{seed}:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint::double / 4294967296.0 < probability as kept
+        steps.append(f"share_{m} as (select {m}, part / (select sum(part) from part_{m}) as s_{m} from part_{m})")
+    shares = " ".join(f"join share_{m} using ({m})" for m in MARGINS)
+    steps.append(f"""w as (select 0 as step, source, lang, topic, tokens, tokens as weight, s_source, s_lang, s_topic, (select sum(tokens) from cells) as total from cells {shares}
+        union all select step + 1, source, lang, topic, tokens, case when held > 0 then weight * (case step % 3 when 0 then s_source when 1 then s_lang else s_topic end * total / held) else 0 end, s_source, s_lang, s_topic, total
+        from (select *, sum(weight) over (partition by case step % 3 when 0 then source when 1 then lang else topic end) as held from w) where step < {3 * rounds})""")
+    steps.append(f"p as (select *, round(case when tokens > 0 then weight / tokens else 1.0 end, 6) as rate from w where step = {3 * rounds})")
+    return "with recursive " + ",\n".join(steps) + f"""
+        select doc_id, source, lang, topic, n_tokens::bigint as n_tokens, round(weight, 3) as weight, rate,
+        (floor(rate) + case when ('0x' || substr(md5('{seed}:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint::double / 4294967296.0 < rate - floor(rate) then 1 else 0 end)::bigint as copies
         from rows join p using (source, lang, topic)"""
