@@ -8,8 +8,8 @@ stored_texts() makes media of texts: UTF-8 bytes, padded with zero bytes to a po
 samples of an 8-bit grey PNG of width 64.
 
 Nulls: a null text is an empty one (64 zero bytes), a null html has no items, a reference to an unknown digest
-has null columns. Equal payloads have one digest, and one row each time they are referred to. An empty table
-gives no rows.
+has null columns. Equal payloads have one digest, and one row each time they are referred to. A very long text is
+worked on by itself. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from html import escape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -25,23 +26,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import slices
 from .shared import stored, texts
 
 WIDTH = 64
 ITEMS = "array<struct<position int, kind string, text string, digest string, caption string>>"
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
-_VOID = {"script", "style", "template", "noscript"}
+_HIDDEN = {"script", "style", "template", "noscript"}
 
 
 class _Items(HTMLParser):
-    """Text runs and media in document order; the caption of a figure goes to the media in it."""
+    """Text runs and media in document order. A figure's caption goes to the media in it that no inner figure captions; a caption
+    without media, or without a figure, is text where it stands. What isn't closed ends with its figure or the page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.words: list[str] = []
         self.hidden = 0
-        self.figure: list[dict] | None = None
+        self.figures: list[dict] = []
         self.caption: list[str] | None = None
 
     def flush(self) -> None:
@@ -50,49 +53,84 @@ class _Items(HTMLParser):
             self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
         self.words = []
 
+    def end_caption(self) -> None:
+        if self.caption is None:
+            return
+        if self.figures:
+            self.figures[-1]["captions"].append((len(self.items), "".join(self.caption)))
+        else:
+            self.words += [" ", *self.caption, " "]
+        self.caption = None
+
+    def end_figure(self) -> None:
+        self.end_caption()
+        self.flush()
+        figure = self.figures.pop()
+        text = " ".join(" ".join(t for _, t in figure["captions"]).split())
+        if text and figure["media"]:
+            done = {id(item) for item in figure["done"]}
+            for item in figure["media"]:
+                if id(item) not in done:
+                    item["caption"] = text
+            done = figure["media"]
+        else:
+            done = figure["done"]
+            if text:
+                self.items.insert(figure["captions"][0][0], {"kind": "text", "text": text, "digest": None, "caption": None})
+        if self.figures:
+            self.figures[-1]["media"] += figure["media"]
+            self.figures[-1]["done"] += done
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in _VOID:
+        if tag in _HIDDEN:
             self.hidden += 1
         elif tag in ("img", "audio", "video", "source"):
             at = dict(attrs)
-            if source := at.get("src"):
+            several = at.get("srcset") or at.get("data-srcset") or ""
+            if source := at.get("src") or at.get("data-src") or several.strip().split(",")[0].split(" ")[0]:
                 self.flush()
                 self.items.append({"kind": "media", "text": None, "digest": source.removeprefix("sha256:"), "caption": at.get("alt") or None})
-                if self.figure is not None:
-                    self.figure.append(self.items[-1])
+                if self.figures:
+                    self.figures[-1]["media"].append(self.items[-1])
         elif tag == "figure":
-            self.figure = []
+            self.end_caption()
+            self.flush()
+            self.figures.append({"media": [], "done": [], "captions": []})
         elif tag == "figcaption":
+            self.end_caption()
             self.flush()
             self.caption = []
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in _VOID:
+        if tag in _HIDDEN:
             self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            for item in self.figure or ():
-                item["caption"] = text or item["caption"]
-            self.caption = None
-        elif tag == "figure":
-            self.figure = None
+        elif tag == "figcaption":
+            self.end_caption()
+        elif tag == "figure" and self.figures:
+            self.end_figure()
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
             (self.words if self.caption is None else self.caption).append(data)
 
+    def ended(self) -> list[dict]:
+        self.close()
+        while self.figures:
+            self.end_figure()
+        self.end_caption()
+        self.flush()
+        return self.items
+
 
 def items_of(html: str | None) -> list[dict]:
     parser = _Items()
     parser.feed(html or "")
-    parser.close()
-    parser.flush()
-    return [{"position": i, **item} for i, item in enumerate(parser.items)]
+    return [{"position": i, **item} for i, item in enumerate(parser.ended())]
 
 
 def sequences(pages: DataFrame, html: str = "html") -> DataFrame:
-    """pages, all other columns as they are, with items in place of html."""
-    rest = [c for c in pages.columns if c != html]
+    """pages, all other columns as they are (but for one named items), with items in place of html."""
+    rest = [c for c in pages.columns if c not in (html, "items")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("position", pa.int32()), *((n, pa.string()) for n in ("kind", "text", "digest", "caption"))]))
@@ -100,14 +138,16 @@ def sequences(pages: DataFrame, html: str = "html") -> DataFrame:
             found = pa.array([items_of(x) for x in batch.column(html).to_pylist()], kind)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), found], [*rest, "items"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != html]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name in rest]
     return pages.select(*rest, html).mapInArrow(run, ", ".join([*fields, f"items {ITEMS}"]))
 
 
 def resolved(items: DataFrame, media: DataFrame) -> DataFrame:
-    """A row per media reference, with the columns that media has for its digest; digest is media's key."""
-    each = items.select(*(c for c in items.columns if c != "items"), F.explode("items").alias("item")).where("item.kind = 'media'")
-    each = each.select(*(c for c in items.columns if c != "items"), F.col("item.position").alias("position"), F.col("item.digest").alias("digest"), F.col("item.caption").alias("caption"))
+    """A row per media reference: the caller's columns (but for those named here), position, digest, caption, and what media has
+    for its digest. media has a row for each digest; a digest that very many refer to is split as any skewed join."""
+    own = [c for c in items.columns if c not in ("items", "position", "digest", "caption", *media.columns)]
+    each = items.select(*own, F.explode(F.filter("items", lambda i: i["kind"] == "media")).alias("item"))
+    each = each.select(*own, F.col("item.position").alias("position"), F.col("item.digest").alias("digest"), F.col("item.caption").alias("caption"))
     return each.join(media, "digest", "left")
 
 
@@ -148,22 +188,35 @@ def samples(image: bytes) -> bytes:
 
 
 def stored_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, html (a page that refers to the text's media), digest, media; written and read back."""
+    """digest and media of each document's text; written and read back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, _, _ in slices(batch):
+                payloads = [padded((text or "").encode()) for text in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(p).hexdigest() for p in payloads], pa.string()), pa.array([png(p) for p in payloads], pa.binary())], ["digest", "media"])
+
+    return stored(texts(docs).select("text").mapInArrow(run, "digest string, media binary"), "media")
+
+
+def page_of(text: str) -> tuple[int, str]:
+    """Bytes of a text, and a page that has the text in two paragraphs and between them a figure with the text's media."""
+    raw = text.encode()
+    middle = text.find(" ", len(text) // 2) + 1 or len(text)
+    figure = f'<figure><img src="sha256:{hashlib.sha256(padded(raw)).hexdigest()}"><figcaption>{len(raw)} bytes</figcaption></figure>'
+    return len(raw), f"<article><p>{escape(text[:middle])}</p>{figure}<p>{escape(text[middle:])}</p></article>"
+
+
+def text_pages(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and html for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 200):
-                part = batch.slice(low, 200)
-                rows = []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    raw = (text or "").encode()
-                    payload = padded(raw)
-                    digest = hashlib.sha256(payload).hexdigest()
-                    rows.append((doc_id, len(raw), f'<figure><img src="sha256:{digest}"><figcaption>{len(raw)} bytes</figcaption></figure>', digest, png(payload)))
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "n_bytes", "html", "digest", "media"])
+            for part, _, _ in slices(batch):
+                made = [page_of(text or "") for text in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.string())], ["doc_id", "n_bytes", "html"])
 
-    return stored(texts(docs).mapInArrow(run, "doc_id long, n_bytes long, html string, digest string, media binary"), "media")
+    return texts(docs).mapInArrow(run, "doc_id long, n_bytes long, html string")
 
 
 FEATURES = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -192,5 +245,5 @@ def features(media: DataFrame) -> DataFrame:
 
 def text_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, position, digest, caption and the features of each document's stored text."""
-    made = stored_texts(docs)
-    return resolved(sequences(made.select("doc_id", "n_bytes", "html")), features(made))
+    found = stored(features(stored_texts(docs)), "features")
+    return resolved(sequences(text_pages(docs)), found)
