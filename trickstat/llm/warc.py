@@ -1,19 +1,22 @@
 """WARC archives of pages, and the capture index of what was written.
 
 archived() writes response and revisit records into WARC files through Spark's writers; each task's file is a
-run sorted by URL key and time. captures() reads archives back record by record. merged() brings the runs
-into one global order: captures are dealt out by ranges of (URL key, time, page_id), and each range merges
-its part of every run with a loser tree.
+run sorted by URL key and time. captures() reads archives back record by record, with each record's place and length in
+its (unzipped) archive, from which record_at() fetches it. merged() brings the runs into one global order: captures are
+dealt out by ranges of (URL key, time, page_id), each run's part of a range is cut into blocks, and blocks are read in the
+order of their first captures. A loser tree merges the runs; a block joins it when the merge has come to its first
+capture, so that about one block of each run is open at a time, however long the runs are.
 
 Nulls: a null html is an empty payload, a null url is written as "-"; a page with a null page_id never is
-what others refer to. Rows that repeat a page_id with the same payload are all responses. An empty table
-gives no rows.
+what others refer to. Rows that repeat a page_id with the same payload are all responses. A very long page makes its file as
+long. Further columns do no harm. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,7 +28,10 @@ from .shared import shared_path, stored
 #: Payloads of fewer bytes are never revisits.
 LEAST = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-CAPTURE = "run string, url_key string, captured_at string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+#: A file takes so many bytes of pages of average length, and a block of a run so many captures.
+FILE_BYTES = 64 << 20
+BLOCK = 1000
+CAPTURE = "run string, url_key string, captured_at string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, offset long, length long"
 
 
 def url_key(url: Column) -> Column:
@@ -71,8 +77,9 @@ def records(pages: DataFrame) -> DataFrame:
 
 def archived(pages: DataFrame, path: str, records_per_file: int = 5_000) -> str:
     """Writes gzipped WARC files under path: a sorted run each."""
+    size = pages.agg(F.avg(F.octet_length(pages["html"].cast("string")))).first()[0] or 0
     run = records(pages).sortWithinPartitions("url_key", "captured_at", "page_id").select("record")
-    run.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    run.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, min(records_per_file, int(FILE_BYTES // (size + 1000))))).text(path)
     return path
 
 
@@ -89,9 +96,9 @@ def _unzipped(content: bytes, step: int = 1 << 20) -> Iterator[bytes]:
         content = member.unused_data
 
 
-def parsed(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each record of an archive; Content-Length decides where a block ends."""
-    data, source = bytearray(), _unzipped(content)
+def parsed(content: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
+    """Header fields, block, place and length of each record of an archive; Content-Length decides where a block ends."""
+    data, source, at = bytearray(), _unzipped(content), 0
 
     def fill(size: int) -> bool:
         while len(data) < size:
@@ -111,8 +118,20 @@ def parsed(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         size = int(fields["Content-Length"])
         if not fill(end + 8 + size):
             raise ValueError("a WARC record is cut off")
-        yield fields, bytes(data[end + 4 : end + 4 + size])
+        yield fields, bytes(data[end + 4 : end + 4 + size]), at, end + 8 + size
         del data[: end + 8 + size]
+        at += end + 8 + size
+
+
+def record_at(content: bytes, offset: int, length: int) -> bytes:
+    """One record of an archive, unzipped no further than to its end."""
+    out, at = bytearray(), 0
+    for piece in _unzipped(content):
+        out += piece[max(0, offset - at) : max(0, offset + length - at)]
+        at += len(piece)
+        if at >= offset + length:
+            break
+    return bytes(out)
 
 
 def captures(spark: SparkSession, path: str) -> DataFrame:
@@ -122,13 +141,13 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 rows = []
-                for fields, block in parsed(content.as_py()):
+                for fields, block, place, length in parsed(content.as_py()):
                     head, _, payload = block.partition(b"\r\n\r\n")
                     digest, size = fields["WARC-Payload-Digest"].split(":")[1], int(head.rsplit(b": ", 1)[1])
                     if fields["WARC-Type"] == "response":
                         if (len(payload), hashlib.sha256(payload).hexdigest()) != (size, digest):
                             raise ValueError(f"a payload in {name} isn't what was written")
-                    rows.append((name.rsplit("/", 1)[1], fields["X-URL-Key"], fields["WARC-Date"], int(fields["X-Page-ID"]) if fields["X-Page-ID"] else None, size, digest, fields["WARC-Type"], int(fields["X-Refers-To-Page-ID"]) if "X-Refers-To-Page-ID" in fields else None))
+                    rows.append((name.rsplit("/", 1)[1], fields["X-URL-Key"], fields["WARC-Date"], int(fields["X-Page-ID"]) if fields["X-Page-ID"] else None, size, digest, fields["WARC-Type"], int(fields["X-Refers-To-Page-ID"]) if "X-Refers-To-Page-ID" in fields else None, place, length))
                 yield _batch(rows)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, CAPTURE)
@@ -142,18 +161,18 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class LoserTree:
-    """k-way merge: each inner node holds the loser of its match, so a new value plays along one path only."""
+    """k-way merge of sorted queues of (key, value): each inner node holds the loser of its match, so a new head plays along
+    one path only. Of equal keys the earlier queue's comes first."""
 
-    def __init__(self, runs: list[Iterator]) -> None:
-        self.runs = [iter(r) for r in runs]
-        self.heads = [next(r, None) for r in self.runs]
-        self.losers = [-1] * max(1, len(runs))
-        for i in range(len(runs)):
+    def __init__(self, runs: list[deque]) -> None:
+        self.runs = [r for r in runs if r]
+        self.losers = [-1] * max(1, len(self.runs))
+        for i in range(len(self.runs)):
             self._play(i)
 
     def _before(self, a: int, b: int) -> bool:
-        x, y = self.heads[a], self.heads[b]
-        return y is None and (x is not None or a < b) or x is not None and y is not None and (x, a) < (y, b)
+        x, y = self.runs[a], self.runs[b]
+        return bool(x) and (not y or (x[0][0], a) < (y[0][0], b)) or not x and not y and a < b
 
     def _play(self, winner: int) -> None:
         node = (winner + len(self.runs)) // 2
@@ -167,35 +186,67 @@ class LoserTree:
             node //= 2
         self.losers[0] = winner
 
-    def __iter__(self) -> Iterator:
-        while self.runs and self.heads[winner := self.losers[0]] is not None:
-            yield self.heads[winner]
-            self.heads[winner] = next(self.runs[winner], None)
-            self._play(winner)
+    def upto(self, key: tuple | None) -> Iterator[tuple]:
+        """Values whose key is smaller than key; all, if it is None."""
+        while self.runs and (run := self.runs[self.losers[0]]) and (key is None or run[0][0] < key):
+            yield run.popleft()[1]
+            self._play(self.losers[0])
+
+
+def _key(row: tuple) -> tuple[str, str, int]:
+    return row[1], row[2], -1 if row[3] is None else row[3]
 
 
-def merged(index: DataFrame) -> DataFrame:
+def merged(index: DataFrame, block_rows: int = BLOCK) -> DataFrame:
     """index in global order of (url_key, captured_at, page_id): ranges of partitions, in each a loser-tree merge of its runs."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list[tuple]] = {}
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, SCHEMA) as writer:
+                writer.write_batch(_batch(rows))
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary())
+            values = (*rows[0][:4], sink.getvalue().to_pybytes())
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["run", "url_key", "captured_at", "page_id", "block"])
+
+        held: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                runs.setdefault(row[0], []).append(((row[1], row[2], -1 if row[3] is None else row[3]), row))
-        out = []
-        for _, row in LoserTree(list(runs.values())):
+                if held and (held[0][0] != row[0] or len(held) == block_rows):
+                    yield out(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield out(held)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs: dict[str, deque] = {}
+        tree, out = LoserTree([]), []
+        for batch in batches:
+            for content in batch.column("block"):
+                block = pa.ipc.open_stream(content.as_py()).read_all()
+                rows = [(_key(row), row) for row in zip(*(c.to_pylist() for c in block.columns), strict=True)]
+                out += tree.upto(rows[0][0])
+                runs = {name: run for name, run in runs.items() if run}
+                runs.setdefault(rows[0][1][0], deque()).extend(rows)
+                tree = LoserTree(list(runs.values()))
+                if len(out) >= 10_000:
+                    yield _batch(out)
+                    out = []
+        for row in tree.upto(None):
             out.append(row)
-            if len(out) == 10_000:
+            if len(out) >= 10_000:
                 yield _batch(out)
                 out = []
         if out:
             yield _batch(out)
 
     order = ["url_key", "captured_at", "page_id"]
-    return index.repartitionByRange(*order).sortWithinPartitions("run", *order).mapInArrow(run, CAPTURE)
+    blocks = index.repartitionByRange(*order).sortWithinPartitions("run", *order).mapInArrow(cut, "run string, url_key string, captured_at string, page_id long, block binary")
+    return blocks.sortWithinPartitions(*order, "run").select("block").mapInArrow(merge, CAPTURE)
 
 
 def capture_histories(pages: DataFrame) -> DataFrame:
-    """pages written as WARC, read back and merged: run, url_key, captured_at, page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """pages written as WARC, read back and merged: run, url_key, captured_at, page_id, payload_bytes, payload_digest, record_type, refers_to, offset, length."""
     spark = pages.sparkSession
     return merged(stored(captures(spark, archived(pages, shared_path(spark, "warc"))), "captures"))
