@@ -4,9 +4,11 @@ A worklist of layers per document: the text itself, then what URL escapes, Unico
 compressed bytes in a layer decode to, until nothing new appears. A layer that was seen before at its place (by its
 content and where its code points come from) isn't entered again, so cycles end and each copy of a token is found. Every layer is scanned by the same patterns, and what is
 found there is mapped back to code points of the outermost text. Base64 that is wrapped over lines is decoded as one,
-and compressed bytes are unfolded to their end, all members, in pieces cut where no pattern can span the cut.
+and compressed bytes (zlib, gzip, bare deflate; in base64 or URL escapes) are unfolded to their end, all members, in pieces
+cut where no pattern can span the cut. Bytes that are no UTF-8 and lone surrogates count as U+FFFD and end nothing but a match.
 
-Nulls and empty texts have no secrets; repeated rows give repeated results; an empty table gives no rows.
+Nulls and empty texts have no secrets; repeated rows give repeated results; further columns of any name do no harm; very
+long texts are scanned whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,7 @@ BASE64 = re.compile(r"[A-Za-z0-9+/_-]{22,}={0,2}")
 LINES = re.compile(r"[A-Za-z0-9+/_-]+(?:\r?\n[A-Za-z0-9+/_-]+)+={0,2}")
 MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
 CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
+LONE = re.compile(r"[\ud800-\udfff]")
 #: Unfolded bytes are held up to this size; beyond, they are unfolded anew when needed and scanned in pieces of about this size.
 PIECE = 1 << 20
 #: A text up to its last place that no pattern, nor a wrapped run, can span.
@@ -63,10 +67,7 @@ def _escaped(text: str, pattern: re.Pattern, decode) -> tuple[str, list[int], li
     """text with runs of escapes decoded; for each new code point where it starts and ends in text. None if nothing decodes."""
     parts, starts, ends, at, changed = [], [], [], 0, False
     for m in pattern.finditer(text):
-        got = decode(m[0])
-        if got is None:
-            continue
-        plain, places = got
+        plain, places = decode(m[0])
         parts += [text[at : m.start()], plain]
         starts += [*range(at, m.start()), *(m.start() + a for a, _ in places)]
         ends += [*range(at + 1, m.start() + 1), *(m.start() + b for _, b in places)]
@@ -76,31 +77,41 @@ def _escaped(text: str, pattern: re.Pattern, decode) -> tuple[str, list[int], li
     return "".join(parts) + text[at:], [*starts, *range(at, len(text))], [*ends, *range(at + 1, len(text) + 1)]
 
 
-def _url(run: str) -> tuple[str, list[tuple[int, int]]] | None:
-    try:
-        plain = bytes.fromhex(run.replace("%", "")).decode()
-    except UnicodeDecodeError:
-        return None
+def _bytes(run: str) -> bytes:
+    return bytes.fromhex(run.replace("%", ""))
+
+
+def _url(run: str) -> tuple[str, list[tuple[int, int]]]:
+    plain = _bytes(run).decode(errors="surrogateescape")
     places, at = [], 0
     for c in plain:
-        size = 3 * len(c.encode())
+        size = 3 if "\udc80" <= c <= "\udcff" else 3 * len(c.encode())
         places.append((at, at + size))
         at += size
-    return plain, places
+    return LONE.sub("\ufffd", plain), places
 
 
-def _unicode(run: str) -> tuple[str, list[tuple[int, int]]] | None:
+def _unicode(run: str) -> tuple[str, list[tuple[int, int]]]:
     units = [int(run[i + 2 : i + 6], 16) for i in range(0, len(run), 6)]
-    try:
-        plain = np.array(units, "<u2").tobytes().decode("utf-16-le")
-    except UnicodeDecodeError:
-        return None
+    plain = np.array(units, "<u2").tobytes().decode("utf-16-le", "surrogatepass")
     places, at = [], 0
     for c in plain:
         size = 12 if ord(c) > 0xFFFF else 6
         places.append((at, at + size))
         at += size
-    return plain, places
+    return LONE.sub("\ufffd", plain), places
+
+
+def _bare(source: Callable[[], Iterator[bytes]]) -> Iterator[bytes]:
+    """What a deflate stream without a header unfolds to, in pieces; an error unless it ends where its bytes do."""
+    unfold = zlib.decompressobj(-15)
+    for data in source():
+        while data and not unfold.eof:
+            yield unfold.decompress(data, PIECE)
+            data = unfold.unconsumed_tail
+    yield unfold.flush()
+    if not unfold.eof or unfold.unused_data:
+        raise zlib.error("no whole stream")
 
 
 def _members(source: Callable[[], Iterator[bytes]], rest: list[bytes]) -> Iterator[bytes]:
@@ -132,7 +143,7 @@ def _members(source: Callable[[], Iterator[bytes]], rest: list[bytes]) -> Iterat
 
 
 def _read(source: Callable[[], Iterator[bytes]]) -> tuple[bytes, bytes, bool, list[bytes] | None] | None:
-    """Digest, first bytes, whether all is text, and the bytes if they are few. None if they can't be unfolded."""
+    """Digest, first bytes, whether all is plain text, and the bytes if they are few. None if there are none or they can't be unfolded."""
     digest, size, head, text, held = hashlib.sha1(), 0, b"", True, []
     decoder = codecs.getincrementaldecoder("utf-8")()
     try:
@@ -147,11 +158,11 @@ def _read(source: Callable[[], Iterator[bytes]]) -> tuple[bytes, bytes, bool, li
                 text = False
     except zlib.error:
         return None
-    return digest.digest(), head, text and size > 0 and not decoder.getstate()[0], held if size <= PIECE else None
+    return (digest.digest(), head, text and not decoder.getstate()[0], held if size <= PIECE else None) if size else None
 
 
 def _pieces(source: Callable[[], Iterator[bytes]]) -> Iterator[str]:
-    decoder, held, size, limit = codecs.getincrementaldecoder("utf-8")(), [], 0, PIECE
+    decoder, held, size, limit = codecs.getincrementaldecoder("utf-8")("replace"), [], 0, PIECE
     for data in source():
         held.append(decoder.decode(data))
         size += len(held[-1])
@@ -162,7 +173,7 @@ def _pieces(source: Callable[[], Iterator[bytes]]) -> Iterator[str]:
             held = [text[m.end() if m else 0 :]]
             size = len(held[0])
             limit = max(PIECE, 2 * size)
-    yield "".join(held)
+    yield "".join(held) + decoder.decode(b"", True)
 
 
 def _unfold(data: bytes) -> Iterator[tuple[bytes, Iterator[str]]]:
@@ -180,11 +191,13 @@ def _unfold(data: bytes) -> Iterator[tuple[bytes, Iterator[str]]]:
         seen.add(digest)
         if held is not None:
             source = partial(iter, held)
-        if text:
-            yield digest, _pieces(source)
         if head in MAGIC:
             more: list[bytes] = []
             work.append((partial(_members, source, more), more))
+            continue
+        yield digest, _pieces(source)
+        if not text:
+            work.append((partial(_bare, source), []))
 
 
 def _base64(run: str) -> bytes | None:
@@ -253,9 +266,10 @@ def secrets(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int,
                 if key not in seen:
                     seen.add(key)
                     work.append((iter([plain]), inner))
-        for start, end, run in _encoded(layer):
+        packed = ((m.start(), m.end(), data) for m in (URL.finditer(layer) if "%" in layer else ()) if (data := _bytes(m[0]))[:2] in MAGIC)
+        for start, end, data in chain(((a, b, _base64(run) or b"") for a, b, run in _encoded(layer)), packed):
             inner = _outer(place, start, end)
-            for digest, plain in _unfold(_base64(run) or b""):
+            for digest, plain in _unfold(data):
                 if (digest, inner) not in seen:
                     seen.add((digest, inner))
                     work.append((plain, inner))
