@@ -9,13 +9,15 @@ import math
 import random
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, deque
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from trickstat.llm import lm_scoring, media, mixing, ngram_join, packing, quality_fm, quality_rules, secret_scan, suffix_dedup, warc
+from trickstat.llm.arrays import slices
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -138,6 +140,33 @@ def test_secrets_in_whole_streams():
     assert secret_scan._suspects(data, np.array([0, len(data)]), [layered[-1]]) == {0}
 
 
+def deflated(data):
+    made = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return made.compress(data) + made.flush()
+
+
+def test_secrets_in_damaged_layers(spark):
+    secret, b64 = b"password = hunter2hunter2", lambda x: base64.b64encode(x).decode()
+    url = lambda x: "".join(f"%{c:02X}" for c in x)
+    plain = [b64(b"\x01 " + secret), b64(b"\xff\xfe " + secret), b64(deflated(secret + b" and more " * 9)), url(zlib.compress(secret)), b64(url(zlib.compress(secret)).encode())]
+    for code in plain:
+        for before, after in (("é: ", " after"), ("", "")):
+            assert (len(before), len(before + code), "assign") in secret_scan.secrets(before + code + after)[1]
+            assert secret_scan.masked(before + code + after) == before + "[SECRET]" + after
+    for code, start in ((url(b"\xff" + secret), 3), (url(secret) + "%C3", 0), ("\\ud800" + "".join(f"\\u{c:04x}" for c in secret), 6)):
+        assert [x for x in secret_scan.secrets(code)[1]] == [(start, start + len(code) - (3 if start != 6 else 6), "assign")]
+    rnd = random.Random(12)
+    for _ in range(300):  # any nesting is found where it stands, and masking leaves none
+        code, data = "", secret
+        for _ in range(rnd.randint(1, 4)):
+            kind = rnd.randrange(6)
+            data = [lambda d: b64(d).encode(), lambda d: url(d).encode(), lambda d: b64(zlib.compress(d)).encode(), lambda d: b64(gzip.compress(d)).encode(), lambda d: url(zlib.compress(d)).encode(), lambda d: b64(d + b"\x02").encode()][kind](data)
+        code = data.decode()
+        text = f"x {code} y {code} z"
+        assert {(2, 2 + len(code), "assign"), (5 + len(code), 5 + 2 * len(code), "assign")} <= set(secret_scan.secrets(text)[1]) or code.endswith("%02")
+        assert secret_scan.secrets(secret_scan.masked(text))[1] == []
+
+
 def test_classifier_learns(spark, nothing):
     rnd = random.Random(2)
     rows = [(i, " ".join(rnd.choice(["good", "calm", "tree", "river"]) if i % 3 else rnd.choice(["BUY!!", "***", "NOW!!", "$$$"]) for _ in range(rnd.randint(3, 40))), i % 3 > 0) for i in range(300)]
@@ -160,7 +189,7 @@ def test_machine_is_the_pairwise_sum():
     assert machine.margin(np.array([0, 3]), dims, values)[0][0] == pytest.approx(0.15 + pair)
 
 
-def test_mixing(spark, docs, odd, nothing):
+def test_mixing(spark, docs, odd, nothing, monkeypatch):
     import duckdb
 
     table = docs.toPandas()
@@ -170,17 +199,23 @@ def test_mixing(spark, docs, odd, nothing):
     want = con.sql(mixing.mixed_sql()).df()
     got = mixing.mixed(docs).toPandas()[list(want.columns)]
     assert sorted(map(key, got.to_dict("records"))) == sorted(map(key, want.to_dict("records")))
-    cells = spark.createDataFrame([("a", "x", "t", 100), ("a", "y", "t", 50), ("b", "x", "t", 10), ("b", "y", "t", 40)], "_source string, _lang string, _topic string, tokens long")
+    cells = spark.createDataFrame([("a", "x", "t", 100), ("a", "y", "t", 50), ("b", "x", "t", 10), ("b", "y", "t", 40)], "source string, lang string, topic string, tokens long")
     even = lambda *names: spark.createDataFrame([(n, 1 / len(names)) for n in names], "value string, share double")
-    fitted = mixing.raked(cells, {"source": even("a", "b"), "lang": even("x", "y"), "topic": even("t")}, rounds=30).collect()
-    for margin in ("_source", "_lang"):
-        sums = defaultdict(float)
-        for r in fitted:
-            sums[r[margin]] += r.weight
-        assert all(s == pytest.approx(100, abs=0.01) for s in sums.values())
-    assert mixing.mixed(odd).count() == 6 and mixing.mixed(nothing).count() == 0
-    kept = mixing.sampled(docs)
-    assert kept.columns == docs.columns and kept.subtract(docs).count() == 0
+    targets = {"source": even("a", "b"), "lang": even("x", "y"), "topic": even("t")}
+    for per_task in (500_000, 1):
+        monkeypatch.setattr(mixing, "CELLS_PER_TASK", per_task)
+        fitted = mixing.raked(cells, targets).collect()
+        for margin in ("source", "lang"):
+            sums = defaultdict(float)
+            for r in fitted:
+                sums[r[margin]] += r.weight
+            assert all(s == pytest.approx(100, abs=1e-6) for s in sums.values())
+        monkeypatch.setattr(mixing, "BROADCAST_CELLS", 0)
+    assert mixing.mixed(odd).count() == 6 and mixing.mixed(nothing).count() == 0 and mixing.sampled(nothing).count() == 0
+    clashing = docs.withColumns({n: F.lit("mine") for n in ("row", "weight", "rate", "tokens", "n_tokens", "topic", "copies", "total", "held", "before", "share_lang", "_source")})
+    kept = mixing.sampled(clashing)
+    assert kept.columns == clashing.columns and kept.subtract(clashing).count() == 0
+    assert Counter(r.doc_id for r in kept.collect()) == {r.doc_id: r.copies for r in mixing.mixed(docs).collect() if r.copies}
 
 
 def test_sample_has_the_target_shares(spark):
@@ -197,7 +232,13 @@ def test_packing(spark, docs, odd, nothing):
     path = public_tokenizers.path("byte_bpe_50k.json")
     whole = Tokenizer.from_file(path)
     texts = ["a  b\t c\n\nd", "x   y", "tail \n", " lead", "it's 12,5 %\r\n ok", "日本 語 text", "<|endoftext|> a", *(r.text or "" for r in docs.collect())]
-    assert packing.Encoder(path).encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
+    rnd = random.Random(3)
+    texts += ["".join(rnd.choice("ab '\n\r\t 1é日_%<|> ") for _ in range(rnd.randint(1, 60))) for _ in range(3000)] + ["a" * 3000, " " * 3000 + "x"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
+    ours = packing.Encoder(path)
+    assert [ours.encode(t, True) for t in texts] == want and [ours.encode(t, False) for t in texts[:-2]] == want[:-2]
+    batch = pa.record_batch({"text": ["a" * 1001, "a " * 3000, " " * 1002, None, "", "a" * 1000 + " " + "b" * 1000]})
+    assert [packing.long_runs(data, offsets).tolist() for _, data, offsets in slices(batch)] == [[True, False, True, False, False, False]]
     for capacity in (16, 40):
         got = packing.pack_documents(docs, path, capacity).collect()
         ids = {r.doc_id: [*whole.encode(r.text or "", add_special_tokens=False).ids, 0] for r in docs.collect()}
@@ -216,7 +257,7 @@ def test_packing(spark, docs, odd, nothing):
                 at += length
             assert at <= capacity
         assert len(fill) <= 1.03 * -(-sum(map(len, ids.values())) // capacity) + 1
-    small = packing.packed(packing.tokenized(docs, path, 40), 40, per_partition=10, rounds=3)
+    small = packing.packed(packing.tokenized(docs, path, 40), 40, per_partition=10)
     assert small.count() == len(got) and small.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 40").count() == 0
     assert packing.lower_bound(np.array([6, 6, 6, 5, 5]), 10) == 4 and packing.lower_bound(np.zeros(0, int), 10) == 0
     assert packing.pack_documents(nothing, path).count() == 0 and packing.pack_documents(odd, path).count() == 6
@@ -243,14 +284,96 @@ def test_quality_rules(spark, docs, odd, nothing):
         assert not (g.base_failed and g.kept)
     passed = quality_rules.passing(more)
     assert passed.columns == more.columns and {r.doc_id for r in passed.collect()} == {i for i, g in got.items() if g.kept}
-    counts = np.random.default_rng(1).integers(1, 9, 500)
-    codes = np.sort(np.random.default_rng(2).choice(quality_rules.CODES, 500, replace=False))
-    model = quality_rules.Model(*(x.tobytes() for x in quality_rules.kneser_ney(codes, counts)))
-    total = np.exp(model.log_probability(np.arange(quality_rules.CODES)).astype(float)).reshape(4096, 64).sum(1)
-    assert np.allclose(total, 1, atol=1e-3)
     assert quality_rules.judged(odd).count() == 6 and quality_rules.judged(nothing).count() == 0 and quality_rules.passing(nothing).count() == 0
 
 
+def plain_kneser_ney(texts):
+    """Modified Kneser-Ney by dictionaries: log probability of the last of three code points."""
+    full = Counter()
+    for t in texts:
+        full.update(zip("\n\n" + t, "\n" + t, t, strict=False))
+
+    def level(counts, lower):
+        n = {k: max(1, sum(v == k for v in counts.values())) for k in (1, 2, 3, 4)}
+        y = n[1] / (n[1] + 2 * n[2])
+        cut = {k: min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.1), k - 0.1) for k in (1, 2, 3)}
+        total, mass = Counter(), Counter()
+        for g, c in counts.items():
+            total[g[:-1]] += c
+            mass[g[:-1]] += cut[min(c, 3)]
+
+        def p(g):
+            context = g[:-1]
+            if not total[context]:
+                return lower(g[1:])
+            c = counts.get(g, 0)
+            return (c - (cut[min(c, 3)] if c else 0)) / total[context] + mass[context] / total[context] * lower(g[1:])
+
+        return p
+
+    pairs = Counter(g[1:] for g in full)
+    singles = Counter(g[1:] for g in pairs)
+    one = level(singles, lambda g: 1 / (len(singles) + 1))
+    two = level(pairs, one)
+    return level(full, two), [c for (c,) in singles]
+
+
+def plain_perplexity(p, text):
+    rows, line, size = [], 0.0, 0
+    for i, c in enumerate(text):
+        line -= math.log(p((("\n\n" + text)[i], ("\n" + text)[i], c)))
+        size += 1
+        if c == "\n" or i == len(text) - 1:
+            rows.append((line / size, size))
+            line, size = 0.0, 0
+    upto = 0
+    for value, size in sorted(rows):
+        upto += size
+        if 2 * upto >= len(text):
+            return value
+
+
+@pytest.mark.parametrize("entries", [4_000_000, 0])
+def test_perplexity_is_plain_kneser_ney(spark, docs, odd, monkeypatch, entries):
+    monkeypatch.setattr(quality_rules, "BROADCAST_ENTRIES", entries)
+    chinese = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏"
+    rnd = random.Random(6)
+    more = docs.drop("extra").unionByName(spark.createDataFrame([(600 + i, "".join(rnd.choice(chinese + "12\n") for _ in range(90)), "zh", "s", 0) for i in range(8)] + [(620, "x", "zh", "s", 0)], SCHEMA.replace(", extra string", "")))
+    more = more.withColumns({n: F.lit("mine") for n in ("row", "code", "line", "key", "bin", "center", "text_hash", "n_words", "log_ppl")})
+    rows = more.collect()
+    texts = defaultdict(list)
+    for r in rows:
+        texts[r.lang or ""].append(re.sub("[0-9]", "0", r.text or ""))
+    models = {lang: plain_kneser_ney(ts) for lang, ts in texts.items()}
+    for p, symbols in models.values():
+        for context in (("\n", "\n"), tuple(symbols[:2]), ("?", symbols[0]), ("?", "!")):
+            assert sum(p((*context, c)) for c in [*symbols, "\0"]) == pytest.approx(1)
+    got = {r.doc_id: r for r in quality_rules.judged(more).collect()}
+    values = defaultdict(list)
+    for r in rows:
+        want = plain_perplexity(models[r.lang or ""][0], re.sub("[0-9]", "0", r.text)) if r.text else None
+        assert got[r.doc_id].log_ppl == (want and pytest.approx(want, abs=1e-5))
+        if r.text:
+            values[r.lang or ""].append(round(got[r.doc_id].log_ppl / 0.001))
+    for r in rows:
+        if r.text:
+            v, g = np.array(values[r.lang or ""]), got[r.doc_id]
+            center, spread = np.median(v) * 0.001, max(1.4826 * 0.001 * np.median(abs(v - np.median(v))), 0.02)
+            assert (g.lower + g.upper) / 2 == pytest.approx(center) and g.upper - g.lower >= 7 * spread - 1e-9
+            assert g.kept == (not g.base_failed and g.lower <= g.log_ppl <= g.upper)
+    passed = quality_rules.passing(more)
+    assert passed.columns == more.columns and {r.doc_id for r in passed.collect()} == {i for i, g in got.items() if g.kept}
+    assert quality_rules.judged(odd).count() == 6
+
+
+def test_model_backs_off():
+    keys = np.array([1 << 42 | 2 << 21 | 3, 2 << 21 | 3, 3, 1 << 21 | 2, 2, 0])
+    model = quality_rules.Model(np.arange(6), keys, np.array([-1, -2, -4, -0.5, -0.25, -8], np.float32))
+    code = lambda *x: x[0] << 42 | x[1] << 21 | x[2]
+    got = model.log_probability(np.array([code(1, 2, 3), code(9, 2, 3), code(1, 2, 9), code(8, 8, 3), code(8, 8, 9)], np.uint64))
+    assert got.tolist() == [-1, -2, -8.75, -4, -8]
+
+
 def repeats(texts, least):
     first, out = set(), []
     for t in texts:
@@ -303,20 +426,42 @@ def test_warc(spark, tmp_path):
     rnd = random.Random(1)
     for k in (0, 1, 2, 5, 9):
         runs = [sorted(rnd.choices(range(50), k=rnd.randint(0, 9))) for _ in range(k)]
-        assert list(warc.LoserTree(runs)) == sorted(x for r in runs for x in r)
+        tree = warc.LoserTree([deque((x, x) for x in r) for r in runs])
+        assert [*tree.upto(20), *tree.upto(None)] == sorted(x for r in runs for x in r)
+    path = warc.archived(pages, str(tmp_path / "warc"), 2)
+    archives = {r.path.rsplit("/", 1)[1]: bytes(r.content) for r in spark.read.format("binaryFile").load(path).collect()}
+    assert len(archives) > 2
+    for r in warc.captures(spark, path).collect():
+        record = warc.record_at(archives[r.run], r.offset, r.length)
+        assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n") and f"X-Page-ID: {r.page_id if r.page_id is not None else ''}\r\n".encode() in record
+
+
+def test_runs_merge_in_blocks(spark):
+    rnd = random.Random(4)
+    rows = [(f"run{rnd.randrange(7)}", rnd.choice("abcdef") * rnd.randint(1, 3), f"t{rnd.randrange(9)}", rnd.choice([None, *range(20)]), i, "d", "response", None, 0, 1) for i in range(400)]
+    got = [tuple(r) for r in warc.merged(spark.createDataFrame(rows, warc.CAPTURE), 3).collect()]
+    assert sorted(got, key=str) == sorted(rows, key=str) and [warc._key(r) for r in got] == sorted(warc._key(r) for r in rows)
 
 
 def test_media(spark, docs, odd, nothing):
     html = '<h1>A&amp;b</h1><script>x</script>one <img src="sha256:d1" alt="alt"> two<figure><img src=sha256:d2><figcaption>the <b>cap</b></figcaption></figure>end'
     items = media.items_of(html)
     assert [(i["kind"], i["text"] or i["digest"], i["caption"]) for i in items] == [("text", "A&bone", None), ("media", "d1", "alt"), ("text", "two", None), ("media", "d2", "the cap"), ("text", "end", None)]
-    pages = spark.createDataFrame([(1, html, "k"), (2, None, "k")], "page_id long, html string, digest_of string")
+    kinds = lambda html: [(i["kind"][0], i["text"] or i["digest"], i["caption"]) for i in media.items_of(html)]
+    assert kinds("a<figcaption>b</figcaption>c") == [("t", "a", None), ("t", "b c", None)]
+    assert kinds("<figure><img src=x><figcaption>cap</figure>after") == [("m", "x", "cap"), ("t", "after", None)]
+    assert kinds("<figure><figcaption>left open <img data-src=x>") == [("m", "x", "left open")]
+    nested = "<figure><figure><img src=x><figcaption>in</figcaption></figure><img srcset='y 1x, z 2x'><figcaption>out</figcaption></figure>"
+    assert kinds(nested) == [("m", "x", "in"), ("m", "y", "out")] and kinds("<figure>a<figcaption>b</figcaption>c</figure>") == [("t", "a", None), ("t", "b", None), ("t", "c", None)]
+    pages = spark.createDataFrame([(1, html, "k", "mine", "own"), (2, None, "k", None, None)], "page_id long, html string, digest_of string, items string, position string")
     store = spark.createDataFrame([("d2", 7)], "digest string, size int")
     got = {(r.page_id, r.position): (r.digest, r.caption, r["size"]) for r in media.resolved(media.sequences(pages), store).collect()}
     assert got == {(1, 1): ("d1", "alt", None), (1, 3): ("d2", "the cap", 7)}
     texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
     for r in media.text_media(docs).collect():
         raw = texts[r.doc_id]
+        items = media.items_of(media.page_of(raw.decode())[1])
+        assert items[r.position]["kind"] == "media" and " ".join(i["text"] for i in items if i["text"]) == " ".join(raw.decode().split())
         payload = raw + bytes(-len(raw) % 64 if raw else 64)
         image = media.png(payload)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))

@@ -7,7 +7,8 @@ The model is fitted on at most SAMPLE labelled documents (those of the smallest
 with AdaGrad; those rows' features come to the driver, SAMPLE * DIMENSIONS numbers at most. All documents are scored.
 
 Nulls and empty texts have only constant features and get a score too; labels that are null don't count; a
-doc_id with two different labels gives two examples; a null doc_id is never held out. Repeated rows get equal scores.
+doc_id with two different labels gives two examples, one with two texts the smaller as one; a null doc_id is never held out and not
+learnt from. Repeated rows get equal scores. A very long text is a slice of its own. Further columns do no harm.
 Without any labels each score is 0.5. An empty table gives no rows.
 """
 
@@ -124,7 +125,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str
     """A machine learnt from labelled documents that aren't held out; sample bounds how many."""
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = known.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").limit(4 * sample)  # repeated doc_ids could make more
+    rows = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
