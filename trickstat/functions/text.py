@@ -65,7 +65,7 @@ def hand_to_dots(hand: Column) -> Column:
     """S-.. H-.. D-.. C-.. as ranks with dots between, NULL for another form."""
     groups = F.split(F.trim(hand), r"\s+")
     good = (F.size(groups) == 4) & F.forall(F.transform(groups, lambda g, i: g.startswith(F.concat(F.substring(F.lit("SHDC"), i + 1, F.lit(1)), F.lit("-")))), lambda x: x)
-    return F.when(good, F.array_join(F.transform(groups, lambda g: F.substring(g, 3, 20)), "."))
+    return F.when(good, F.array_join(F.transform(groups, lambda g: F.substring(g, F.lit(3), F.length(g))), "."))
 
 
 def cards_of(hand: Column) -> Column:
@@ -93,3 +93,13 @@ def fuzzy_match(a: Column, b: Column, share: float = 0.75) -> Column:
     same = F.aggregate(F.zip_with(F.split(x, ""), F.split(y, ""), lambda p, q: F.coalesce((p == q) & (p != ""), F.lit(False)).cast("int")), F.lit(0), lambda t, v: t + v)
     near = (F.abs(F.length(x) - F.length(y)) <= 2) & (F.length(y) > 3)
     return (x == y) | (near & (same / F.greatest(F.least(F.length(x), F.length(y)), F.lit(1)) >= share))
+
+
+def declarer_level(won: Column, left: Column, to_come: Column, own: Column) -> Column:
+    """Tricks for the declaring side: those won and, of those left, what the side on play (own: the declaring one) takes as to_come."""
+    return won + F.when(own, to_come).otherwise(left - to_come)
+
+
+def is_declaring(seat: Column, declarer: Column) -> Column:
+    """Whether a seat (0 to 3) is the declarer's or the one across."""
+    return F.pmod(seat - declarer, F.lit(2)) == 0

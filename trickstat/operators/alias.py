@@ -29,7 +29,7 @@ def assign_aliases(entities: DataFrame, key: str, explicit: DataFrame | None = N
     if explicit is None:
         given = one.select("entity", F.lit(None).cast("string").alias("alias")).where("1 = 0")
     else:
-        given = explicit.groupBy(F.lower("entity").alias("entity")).agg(F.first("alias").alias("alias"))
+        given = explicit.groupBy(F.lower("entity").alias("entity")).agg(F.min("alias").alias("alias"))  # of several the smallest
     rest = one.join(given.select("entity"), "entity", "left_anti").withColumn("base", pseudonym(F.col("entity"), key, firsts, lasts))
     rest = rest.withColumn("n", F.row_number().over(Window.partitionBy("base").orderBy("seen", "entity")))
     taken = given.select(F.col("alias").alias("candidate")).distinct()
@@ -59,7 +59,7 @@ def anonymize_record(record: Column, aliases: Column) -> Column:
     head, names, tail = (F.regexp_extract(record, part, i) for i in (1, 2, 3))
     comma = F.when(names.contains("%2C"), "%2C").otherwise(",")
     new = F.transform(F.split(F.replace(names, F.lit("%2C"), F.lit(",")), ","), lambda n: F.coalesce(aliases[F.lower(F.replace(n, F.lit("%2B"), F.lit("+")))], n))
-    joined = F.aggregate(F.slice(new, 2, 100), F.element_at(new, 1), lambda a, n: F.concat(a, comma, n))
+    joined = F.call_function("array_join", new, comma)
     return F.when(record.rlike(part), F.concat(head, joined, tail)).otherwise(record)
 
 
@@ -77,7 +77,7 @@ def replace_rules(text: Column, rules: dict[str, str]) -> Column:
     """Each term by its replacement in one pass: leftmost, longest first, no overlaps, case counts. For some hundreds of rules; more belong in a join of tokens."""
     found, around = _parts(text, list(rules), False)
     new = F.transform(found, lambda m: _literal_map(rules, False)[m])
-    return F.array_join(F.flatten(F.transform(around, lambda g, i: F.when(i == 0, F.array(g)).otherwise(F.array(F.get(new, i - 1), g)))), "")
+    return F.array_join(F.zip_with(F.concat(F.array(F.lit("")), new), around, lambda a, g: F.concat(a, g)), "")
 
 
 def mask_fixed(text: Column, rules: dict[str, str]) -> Column:
@@ -122,7 +122,7 @@ def rewrite_links(df: DataFrame, key: str, text: str, pattern: str, known: DataF
     new = links.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce(F.regexp_replace("target", "&", "&amp;"), "link").alias("to")))).alias("_new"))
     head, tail = pattern.split("(", 1)[0], pattern.rsplit(")", 1)[1]
     around = F.split(F.col(text), f"(?<={head})" + "(?:" + pattern.split("(", 1)[1].rsplit(")", 1)[0] + ")" + f"(?={tail})", -1)
-    joined = F.array_join(F.flatten(F.transform(around, lambda g, i: F.when(i == 0, F.array(g)).otherwise(F.array(F.get(F.col("_new"), i - 1)["to"], g)))), "")
+    joined = F.array_join(F.zip_with(F.concat(F.array(F.lit("")), F.transform("_new", lambda x: x["to"])), around, lambda a, g: F.concat(a, g)), "")
     return df.join(new, key, "left").withColumn(text, F.when(F.col("_new").isNull(), F.col(text)).otherwise(joined)).drop("_new")
 
 
@@ -146,10 +146,39 @@ def case_variants(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(forms).alias("x")).select("x.*").distinct()
 
 
+def rewrite_map_values(known: DataFrame, aliases: dict[str, str], value: str = "target") -> DataFrame:
+    """known with the names in value replaced in one pass, the longest first; + in a name or alias stands there as %2B."""
+    escaped = {k.replace("+", "%2B"): v.replace("+", "%2B") for k, v in aliases.items()}
+    return known.withColumn(value, replace_rules(F.col(value), escaped))
+
+
+def alias_lines(aliases: DataFrame, header: str = "# old=new") -> DataFrame:
+    """line_no, line: an alias map as text, a comment first, then entity=alias in order of entity."""
+    from .keys import with_row_id
+
+    rows = with_row_id(aliases.select("entity", "alias"), "entity", "alias")
+    lines = rows.select((F.col("row_id") + 1).alias("line_no"), F.concat_ws("=", "entity", "alias").alias("line"))
+    return aliases.sparkSession.createDataFrame([(1, header)], "line_no long, line string").unionByName(lines)
+
+
+def write_alias_map(aliases: DataFrame, path: str, header: str = "# old=new") -> None:
+    """Text files whose concatenation by name is the map."""
+    alias_lines(aliases, header).repartitionByRange("line_no").sortWithinPartitions("line_no").select("line").write.text(path)
+
+
 def fuzzy_tag(tokens: DataFrame, terms: DataFrame, share: float = 0.75) -> DataFrame:
-    """Distinct token, term pairs that match by fuzzy_match(). Tokens and terms meet by length (2 less to 2 more) and by having a
-    common letter at one place, which equal places imply; so it is an equi-join, never all pairs."""
-    place = lambda c: F.explode(F.transform(F.filter(F.split(F.lower(c), ""), lambda x: x != ""), lambda x, i: F.concat_ws(":", i.cast("string"), x)))
-    left = tokens.select("token").distinct().withColumn("_n", F.length("token")).withColumn("_k", place(F.col("token")))
-    right = terms.select("term").distinct().withColumn("_k", place(F.col("term"))).withColumn("_n", F.explode(F.sequence(F.length("term") - 2, F.length("term") + 2)))
-    return left.join(right, ["_n", "_k"]).select("token", "term").distinct().where(fuzzy_match(F.col("token"), F.col("term"), share))
+    """Distinct token, term pairs that match by fuzzy_match().
+
+    Of the first m letters, m the shorter length, u = m - ceil(share m) may differ. Cut into u + 1 blocks, one of them is
+    equal, so tokens and terms meet by (m, block, letters): an equi-join on keys of several letters, never all pairs.
+    """
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(name).distinct().withColumn("low", F.lower(name))
+        m = F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.length("low") - i), lambda x: x > 0))
+        rows = rows.withColumn("m", m).withColumn("blocks", (F.col("m") - F.ceil(F.col("m") * share - 1e-9) + 1).cast("int"))
+        cut = lambda i: F.floor(i * F.col("m") / F.col("blocks")).cast("int")
+        block = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("i"), F.substring(F.col("low"), cut(i) + 1, cut(i + 1) - cut(i)).alias("letters")))
+        return rows.select(name, "m", F.explode(block).alias("block"))
+
+    pairs = keyed(tokens, "token").join(keyed(terms, "term"), ["m", "block"]).select("token", "term").distinct()
+    return pairs.where(fuzzy_match(F.col("token"), F.col("term"), share))

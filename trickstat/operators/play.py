@@ -153,3 +153,43 @@ def redact_spans(rows: DataFrame, group: str, order: str, text: str, start: Colu
     head = F.min(F.when(F.col("_in") & (F.col(text) != ""), F.col(order))).over(Window.partitionBy(group, "_span"))
     rows = rows.withColumn("_head", head)
     return rows.withColumn(text, F.when(~F.col("_in"), F.col(text)).when(F.col(order) == F.col("_head"), F.lit(replacement)).otherwise("")).drop("_mark", "_last", "_span", "_in", "_head")
+
+
+def timeline_class(disclosed: Column, outcome: Column) -> Column:
+    """What an item of a timeline is shown as."""
+    return F.when(disclosed, "disclosed").when(outcome == "Miss", "miss").otherwise("background")
+
+
+CARD = "^[SHDC]([2-9TJQKA]|10|1)$"
+
+
+def explode_plays(df: DataFrame, column: str = "cardplay", strict: bool = True) -> DataFrame:
+    """A row per card of texts like S4 S2|DA: all other columns, trick, pos, ply (from 0), suit and rank (2 to 14).
+
+    Empty tricks are dropped and not counted. What is no card is an error, or NULL in suit and rank if not strict.
+    """
+    rest = [c for c in df.columns if c != column]
+    tricks = F.filter(F.transform(F.split(F.upper(column), r"\|"), lambda t: F.trim(t)), lambda t: t != "")
+    cards = df.select(*rest, F.posexplode(tricks).alias("trick", "_t")).select(*rest, "trick", F.posexplode(F.split("_t", r"\s+")).alias("pos", "_c"))
+    good = F.col("_c").rlike(CARD)
+    suit = F.when(good, F.substring("_c", 1, 1))
+    if strict:
+        suit = F.coalesce(suit, F.raise_error(F.concat(F.lit("no card: "), F.col("_c"))).cast("string"))
+    face = F.regexp_replace(F.substring("_c", 2, 2), "^10?$", "T")
+    ply = F.row_number().over(Window.partitionBy(*rest).orderBy("trick", "pos")) - 1
+    return cards.withColumns({"suit": suit, "rank": F.when(good, F.instr(F.lit("23456789TJQKA"), face) + 1), "ply": ply}).drop("_c")
+
+
+def encode_plays(plays: DataFrame, key: str) -> DataFrame:
+    """key, cardplay: the text that explode_plays() takes apart, from key, trick, pos, suit and rank."""
+    card = F.concat("suit", F.substring(F.lit("23456789TJQKA"), F.col("rank") - 1, F.lit(1)))
+    rows = plays.groupBy(key, "trick").agg(F.array_sort(F.collect_list(F.struct("pos", card.alias("c")))).alias("x"))
+    rows = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("trick", F.array_join(F.transform("x", lambda c: c["c"]), " ").alias("t")))).alias("x"))
+    return rows.select(key, F.array_join(F.transform("x", lambda c: c["t"]), "|").alias("cardplay"))
+
+
+def trick_listing(plays: DataFrame) -> DataFrame:
+    """board, trick (from 1), cards like 2:S4 in order of play, costs and their sum; plays: board, ply, seat, card, cost."""
+    rows = plays.withColumn("trick", F.floor(F.col("ply") / 4) + 1).groupBy("board", "trick").agg(F.array_sort(F.collect_list(F.struct("ply", "seat", "card", "cost"))).alias("x"))
+    text = lambda f, sep: F.array_join(F.transform("x", f), sep)
+    return rows.select("board", "trick", text(lambda c: F.concat_ws(":", c["seat"].cast("string"), c["card"]), " ").alias("cards"), text(lambda c: c["cost"].cast("string"), ",").alias("costs"), F.aggregate("x", F.lit(0).cast("long"), lambda a, c: a + c["cost"]).alias("cost"))

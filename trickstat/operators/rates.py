@@ -115,7 +115,7 @@ def convergence(counters: DataFrame) -> DataFrame:
     return out.withColumn("convergence", change).withColumn("reading", F.when(change > 1, "narrows").when(change < -1, "widens").otherwise("similar"))
 
 
-def label_partners(flagged_: DataFrame, pairs: DataFrame, share: float = 0.6, rounds: int = 50) -> DataFrame:
+def label_partners(flagged_: DataFrame, pairs: DataFrame, share: float = 0.6) -> DataFrame:
     """flagged_ (entity, deals, p) with partner_no, null for those without a partner.
 
     In order of (p, entity) each free entity takes the free partner it met most often (then the smaller name), if they
@@ -123,15 +123,14 @@ def label_partners(flagged_: DataFrame, pairs: DataFrame, share: float = 0.6, ro
     that no better one lies within two edges of decides now. The number is the rank of the entity that took.
     """
     from ..streaming.tables import stored
+    from .keys import with_row_id
 
     nodes = flagged_.select("entity", "deals", "p")
     edge = pairs.join(nodes.select(F.col("entity").alias("a"), F.col("deals").alias("da"), F.col("p").alias("pa")), "a").join(nodes.select(F.col("entity").alias("b"), F.col("deals").alias("db"), F.col("p").alias("pb")), "b").where(F.col("n") >= share * F.least("da", "db"))
     both = edge.select("a", "b", "n", "pa", "pb").unionByName(edge.select(F.col("b").alias("a"), F.col("a").alias("b"), "n", F.col("pb").alias("pa"), F.col("pa").alias("pb")))
     open_ = stored(both.select("a", "b", "n", F.struct(F.col("pa").alias("p"), F.col("a").alias("e")).alias("ra"), F.struct(F.col("pb").alias("p"), F.col("b").alias("e")).alias("rb")), "edges")
     claims = None
-    for _ in range(rounds):
-        if open_.isEmpty():
-            break
+    while not open_.isEmpty():  # the best open entity of all always decides, so each round closes some edges
         near = open_.groupBy("a").agg(F.min(F.least("ra", "rb")).alias("m"))
         wide = open_.join(near.select(F.col("a").alias("b"), "m"), "b").groupBy("a", "ra").agg(F.min("m").alias("m"))
         first = wide.where("ra = m").select("a")
@@ -142,7 +141,7 @@ def label_partners(flagged_: DataFrame, pairs: DataFrame, share: float = 0.6, ro
         open_ = stored(open_.join(gone, open_["a"] == gone["x"], "left_anti").join(gone, open_["b"] == gone["x"], "left_anti"), "edges")
     if claims is None:
         return nodes.withColumn("partner_no", F.lit(None).cast("int"))
-    number = claims.withColumn("partner_no", F.row_number().over(Window.orderBy("p", "a")))  # claims among flagged entities only
+    number = with_row_id(claims, "p", "a").withColumn("partner_no", F.col("row_id").cast("int"))
     labels = number.select(F.col("a").alias("entity"), "partner_no").unionByName(number.select(F.col("b").alias("entity"), "partner_no"))
     return nodes.join(labels, "entity", "left")
 

@@ -45,8 +45,9 @@ def lead_seat(hotspots: DataFrame, declarers: DataFrame, lead_categories: tuple[
 def link_tables(links: DataFrame, direct: DataFrame, by_deal: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Matched links, and all links with board, target and source ('key', 'deal' or ''). links: link, deal; direct: link_key, board, target; by_deal: deal, board, target."""
     one = links.withColumn("link_key", link_key(F.col("link")))
-    a = direct.select("link_key", F.col("board").alias("_b1"), F.col("target").alias("_t1"))
-    b = by_deal.select("deal", F.col("board").alias("_b2"), F.col("target").alias("_t2"))
+    first = F.struct("board", "target")  # of several boards of a key or deal the smallest
+    a = dedupe_by_key(direct.select("link_key", "board", "target"), ["link_key"], first).select("link_key", F.col("board").alias("_b1"), F.col("target").alias("_t1"))
+    b = dedupe_by_key(by_deal.select("deal", "board", "target"), ["deal"], first).select("deal", F.col("board").alias("_b2"), F.col("target").alias("_t2"))
     both = one.join(a, "link_key", "left").join(b, "deal", "left")
     index = both.select("link", F.coalesce("_b1", "_b2", F.lit(0)).alias("board"), F.coalesce("_t1", "_t2", F.lit("")).alias("target"), F.when(F.col("_b1").isNotNull(), "key").when(F.col("_b2").isNotNull(), "deal").otherwise("").alias("source"))
     return index.where("source <> ''"), index
@@ -146,3 +147,36 @@ def anonymize_case(table: DataFrame, columns: list[str], order: Column, key: str
 
 def has_term(text: Column, terms: list[str]) -> Column:
     return text.rlike(alternation(terms, True))
+
+
+def enrich_records(records: DataFrame, lookup: DataFrame, columns: tuple[str, ...] = ("cardplay", "lin_url")) -> DataFrame:
+    """records (row_id and others) with columns of their lookup row, in place of any of that name; blank without one."""
+    rest = [c for c in records.columns if c not in columns]
+    return records.select(*rest).join(lookup.select("row_id", *columns), "row_id", "left").fillna("", list(columns))
+
+
+#: What scoring adds to a record: plays and errors of the four seats, the error on the lead, its cost, levels stated and computed.
+SCORED = (*(f"{what}_{seat}" for seat in "nesw" for what in ("plays", "errors")), "lead_error", "cost", "level", "claimed")
+
+
+def scored_table(records: DataFrame, scores: DataFrame, columns: tuple[str, ...] = SCORED) -> DataFrame:
+    """records with the score columns as text, blank for rows without a score."""
+    added = scores.select("row_id", *(F.col(c).cast("string").alias(c) for c in columns))
+    return enrich_records(records, added, columns)
+
+
+def write_scored(records: DataFrame, scores: DataFrame, path: str, columns: tuple[str, ...] = SCORED) -> None:
+    scored_table(records, scores, columns).write.csv(path, header=True, quoteAll=True, emptyValue="")
+
+
+def with_ordinal(rows: DataFrame, text: str, *order: str) -> DataFrame:
+    """rows with ordinal, from 1 in the order given, and sub_index, the second number of a text like 3.2 (NULL without one)."""
+    from .keys import with_row_id
+
+    return with_row_id(rows, *order).withColumnRenamed("row_id", "ordinal").withColumn("sub_index", F.regexp_extract(text, r"^\s*\d+\.(\d+)", 1).try_cast("int"))
+
+
+def case_tables(boards: DataFrame, analysis: DataFrame, hotspots: DataFrame, time: str = "event_time") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A case's three tables with ids as numbers; rows whose id is none are dropped. time may be text or a timestamp."""
+    clean = lambda df: df.withColumn("id", F.col("id").cast("string").try_cast("long")).where("id is not null")
+    return clean(boards).withColumn(time, F.try_to_timestamp(F.col(time).cast("string"))), clean(analysis), clean(hotspots)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.links import link_key
 from ..functions.text import cards_of, dealer, vulnerability
 from ..streaming.tables import stored
 
@@ -63,7 +64,11 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def reassemble_rows(df: DataFrame, line: str, n: int = 15, head: int = 11) -> DataFrame:
     """df with fields: the parts of an unquoted line as n fields. Of too many parts, the first after the head that looks like plays
     and has a claim (0 to 13 or nothing) after it parts the explanations from the link; without one all is explanations."""
-    parts = F.split(F.col(line), ",", -1)
+    return df.withColumn("fields", F.element_at(F.transform(F.array(F.split(F.col(line), ",", -1)), lambda parts: _fields(parts, n, head)), 1))
+
+
+def _fields(parts: Column, n: int, head: int) -> Column:
+    """parts is bound once, by a lambda: it isn't split anew at each use."""
     at = F.filter(F.sequence(F.lit(head), F.greatest(F.size(parts) - 2, F.lit(head))), lambda i: F.coalesce(F.get(parts, i).rlike(PLAYS) & (F.get(parts, i + 1) == F.lit("")) | F.get(parts, i).rlike(PLAYS) & F.get(parts, i + 1).try_cast("int").between(0, 13), F.lit(False)))
     split_at = F.try_element_at(at, F.lit(1))
     text = lambda a, b: F.array_join(F.slice(parts, a + 1, F.greatest(b - a, F.lit(0))), ",")
@@ -71,7 +76,7 @@ def reassemble_rows(df: DataFrame, line: str, n: int = 15, head: int = 11) -> Da
     many = F.concat(F.slice(parts, 1, head), F.array(text(F.lit(head), split_at), F.get(parts, split_at), F.get(parts, split_at + 1), text(split_at + 2, size)))
     rest = F.concat(F.slice(parts, 1, head), F.array(text(F.lit(head), size), F.lit(""), F.lit(""), F.lit("")))
     few = F.concat(parts, F.array_repeat(F.lit(""), F.greatest(F.lit(n) - size, F.lit(0))))
-    return df.withColumn("fields", F.when(size <= n, few).when(split_at.isNull(), rest).otherwise(many))
+    return F.when(size <= n, few).when(split_at.isNull(), rest).otherwise(many)
 
 
 def record_fields(record: Column) -> Column:
@@ -86,7 +91,7 @@ def parse_records(df: DataFrame, key: str, column: str) -> tuple[DataFrame, Data
     rows = df.select(F.col(key).alias("board_id"), record_fields(F.col(column)).alias("f"))
     first = lambda tag: F.try_element_at(F.filter("f", lambda x: x["tag"] == tag), F.lit(1))["val"]
     names, deal = F.split(first("pn"), ","), first("md")
-    hands = F.split(F.substring(deal, 2, 1000), ",")
+    hands = F.split(F.substring(deal, F.lit(2), F.length(deal)), ",")
     hand = lambda i: F.coalesce(cards_of(F.get(hands, i)), F.array().cast("array<string>"))
     deck = F.array(*map(F.lit, DECK))
     boards = rows.select(
@@ -109,19 +114,48 @@ def parse_records(df: DataFrame, key: str, column: str) -> tuple[DataFrame, Data
     return boards, calls, cards.select("board_id", "ply", F.floor(F.col("ply") / 4).alias("trick"), (F.col("ply") % 4).alias("pos"), "card")
 
 
-HOTSPOT = r"^\s*(\d+)\.\s+(.+?)\s+(Hit|Miss)(?:\s+(.*?))?\s+Contract:\s*(\S+)\s+Lead:\s*(\S+)\s+(\d{4}-\d\d-\d\d)\s+"
-LAYOUTS = {"aliased": HOTSPOT + r"(\d+)\s+(\S+)\s+(\S+)\s*$", "plain": HOTSPOT + r"(https?://\S+)\s+(\S+)\s*$"}
+HOTSPOT = r"^\s*(\d+)\.\s+(.+?)\s+(Hit|Miss)(?:\s+(.*?))?\s+Contract:\s*(\S+)\s+Lead:\s*(\S+)\s+(\S+)\s+"
+LAYOUTS = {"aliased": HOTSPOT + r"(\d+)\s+(\S+)\s+(\S+)", "plain": HOTSPOT + r"(https?://\S+)\s+(\S+)"}
+
+
+def token_hotspots(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Entries of a report whose subclass stands between category and Hit or Miss, by tokens; lines of fewer than seven are left out."""
+    t = F.split(F.trim(line), r"\s+")
+    rows = lines.withColumn("_t", t).withColumn("_at", F.greatest(F.lit(0), F.least(*(F.when(F.array_position("_t", w) > 0, F.array_position("_t", w)) for w in ("Hit", "Miss")))).cast("int"))
+    rows = rows.where((F.size("_t") >= 7) & (F.col("_at") > 2) & F.get("_t", F.lit(0)).rlike(r"^\d+\.$"))
+    after = lambda word, k: F.when(F.array_position("_t", word) > 0, F.get("_t", (F.array_position("_t", word) + k).cast("int")))
+    return rows.select(*(c for c in lines.columns if c != line), F.regexp_replace(F.get("_t", F.lit(0)), r"\.$", "").cast("int").alias("ordinal"), F.get("_t", F.lit(1)).alias("category"), F.array_join(F.slice("_t", F.lit(3), F.col("_at") - 3), " ").alias("subclass"), F.get("_t", F.col("_at") - 1).alias("outcome"), after("Contract:", 0).alias("contract"), after("Lead:", 0).alias("lead"), after("Lead:", 1).alias("date"))
+
+
+def board_map(rows: DataFrame, link_of: str = "Anon_LIN_URL") -> DataFrame:
+    """doc_board, dataset_board, link, fingerprint of a mapping table's text columns; rows whose boards are no numbers are dropped."""
+    number = lambda c: F.trim(F.col(c).cast("string")).try_cast("long")
+    out = rows.select(number("Doc_Board").alias("doc_board"), number("Dataset_Board_ID").alias("dataset_board"), F.trim(link_of).alias("link"), F.col("Fingerprint").alias("fingerprint"))
+    return out.where("doc_board is not null and dataset_board is not null")
+
+
+def read_board_map(spark: SparkSession, path: str) -> DataFrame:
+    return board_map(spark.read.csv(path, header=True))
+
+
+def extra_map(rows: DataFrame, link: str, board: str) -> DataFrame:
+    """link_key, board of a two-column map; of several boards of a link the first by text. Links without a key are dropped."""
+    pairs = rows.select(link_key(F.col(link)).alias("link_key"), F.trim(F.col(board).cast("string")).alias("board"))
+    return pairs.where("link_key <> ''").groupBy("link_key").agg(F.min("board").alias("board"))
 
 
-def hotspots(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Entries of a report in either layout (the aliased one first); other lines are left out."""
+def hotspots(lines: DataFrame, line: str = "line", layout: str = "lines") -> DataFrame:
+    """Entries of a report in either layout (the aliased one first); other lines are left out. Any date token will do (date is NULL
+    if it isn't one, date_text has it), and what follows the entry is ignored. layout "tokens": token_hotspots()."""
+    if layout == "tokens":
+        return token_hotspots(lines, line)
     text = F.col(line)
     get = lambda layout, i: F.regexp_extract(text, LAYOUTS[layout], i)
     aliased = text.rlike(LAYOUTS["aliased"])
     names = ("ordinal", "category", "outcome", "subclass", "contract", "lead", "date")
     both = lambda i: F.when(aliased, get("aliased", i)).otherwise(get("plain", i))
     rows = lines.where(aliased | text.rlike(LAYOUTS["plain"]))
-    return rows.select(*(c for c in lines.columns if c != line), *(both(i + 1).alias(n) for i, n in enumerate(names)), both(8).alias("key"), both(9).alias("player"), F.when(aliased, get("aliased", 10)).alias("link")).withColumns({"ordinal": F.col("ordinal").cast("int"), "date": F.col("date").cast("date")})
+    return rows.select(*(c for c in lines.columns if c != line), *(both(i + 1).alias(n) for i, n in enumerate(names)), both(8).alias("key"), both(9).alias("player"), F.when(aliased, get("aliased", 10)).alias("link")).withColumns({"ordinal": F.col("ordinal").cast("int"), "date_text": F.col("date"), "date": F.col("date").try_cast("date")})
 
 
 def subjects(lines: DataFrame) -> DataFrame:
