@@ -409,6 +409,14 @@ def test_maximal_repeats(spark):
         groups[r.repeat_id, r.length].add((r.doc_id, r.start))
     assert groups and all({d for d, _ in g} == {0, 1, 2} for g in groups.values())
     assert min(s for g in groups.values() for _, s in g) == 1 and max(s + n for (_, n), g in groups.items() for _, s in g) == 111
+    long = "".join(rnd.choice("abcdefgh") for _ in range(400))
+    more = [(i, f"{i}-{passage}+{i}") for i in (0, 1, 2, 3, 9)] + [(i, f"<{i}>{long}</{i}>") for i in (4, 5)] + [(6, None), (7, "")]
+    for parts in (1, 3):
+        found = defaultdict(set)
+        for r in suffix_dedup.maximal_repeats(spark.createDataFrame(more, "doc_id long, text string").repartition(parts)).collect():
+            found[r.repeat_id, r.length].add((r.doc_id, r.start))
+        assert sorted((n, sorted(g)) for (_, n), g in found.items()) == [(112, [(i, 1) for i in (0, 1, 2, 3, 9)]), (403, [(4, 2), (5, 2)])]  # with the marks around them
+    assert suffix_dedup.deduplicated(spark.createDataFrame([(1, "ab" * 400), (2, "ab" * 300)], "doc_id long, text string"), 300).agg(F.sum("n_removed")).first()[0] == 798 + 600
     scan = suffix_dedup.interval_scan([0, 5, 7, 5, 0], [3, 1, 2, 0, 9])
     assert scan == [5, 5, 7, 0, 0]
 

@@ -12,8 +12,8 @@ with common-prefix lengths, a stack scan finds the tree of common-prefix interva
 left-diverse is a maximal repeat with all its occurrences: maximal_repeats(). An occurrence that is not the
 first of its interval is removed for the interval's length: removed_runs(), deduplicated().
 
-A context ends where its windows end, so a repeat is reported in parts, one per minimizer, which together
-cover it. Order of occurrences: doc_id (null before all others), then start. Rows with equal doc_id and text
+A context ends where its windows end, so a long repeat is found in parts, one per minimizer, which together cover it;
+maximal_repeats() joins them. Very long texts are gone through in blocks that overlap by a window. Order of occurrences: doc_id (null before all others), then start. Rows with equal doc_id and text
 are one document and get the same result; with equal doc_id and other text they are documents of their own.
 A null text is empty. An empty table gives no rows.
 """
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import _BYTE, by_bucket, mix, pack, powers, slices, spans_hash, unpack
@@ -152,8 +152,9 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return doc[first], low[first] - doc[first] * wide, reach[np.append(first[1:], len(doc)) - 1] - doc[first] * wide
 
 
-def contexts(docs: DataFrame, filter_: np.ndarray, least: int = LEAST) -> DataFrame:
-    """bucket, payload: the contexts whose key passes the filter, and the runs of those that a task has seen before in itself."""
+def contexts(docs: DataFrame, filter_: np.ndarray, least: int = LEAST, every: bool = False) -> DataFrame:
+    """bucket, payload: the contexts whose key passes the filter, and the runs of those that a task has seen before in itself (none
+    with every: then those go as contexts too)."""
     count = buckets(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(filter_)
 
@@ -169,7 +170,7 @@ def contexts(docs: DataFrame, filter_: np.ndarray, least: int = LEAST) -> DataFr
             code = spans_hash(content, at[:-1], at[1:])
             order = np.lexsort((start, mark, doc, code))
             again = np.zeros(len(key), bool)
-            again[order[1:]] = code[order[1:]] == code[order[:-1]]
+            again[order[1:]] = (code[order[1:]] == code[order[:-1]]) & (not every)
             bucket = _bucket(key, count)
             ids = np.stack((doc, mark), 1)
             _, own = np.unique(ids[again], axis=0, return_inverse=True) if again.any() else (None, np.zeros(0, np.int64))
@@ -196,7 +197,7 @@ def contexts(docs: DataFrame, filter_: np.ndarray, least: int = LEAST) -> DataFr
                     continue
                 of = np.searchsorted(offsets, low, "right") - 1
                 doc = part.column("doc_id").fill_null(NO_ID).to_numpy()[of]
-                held.append([key, doc, part.column("mark").to_numpy()[of], low - offsets[of], (high - low + 1).astype(np.uint8), data[_spread(low, high - low + least)]])
+                held.append([key, doc, part.column("mark").to_numpy()[of], low - offsets[of], (high - low + 1).astype(np.uint32), data[_spread(low, high - low + least)]])
                 size += len(held[-1][5])
                 if size > 5_000_000:
                     yield out()
@@ -299,7 +300,7 @@ def _scan(key: np.ndarray, doc: np.ndarray, mark: np.ndarray, start: np.ndarray,
 
 
 def _met(table: pa.Table, least: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    kinds = (np.uint64, np.int64, np.int64, np.int64, np.uint8, np.uint8, np.int64, np.int64, np.int64, np.int64)
+    kinds = (np.uint64, np.int64, np.int64, np.int64, np.uint32, np.uint8, np.int64, np.int64, np.int64, np.int64)
     got = [unpack(p, *kinds) for p in table.column("payload").to_pylist()]
     merged = [np.concatenate([g[i] for g in got]) for i in range(len(kinds))]
     return merged[:6], merged[6:]
@@ -356,21 +357,35 @@ def removed_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def maximal_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """repeat_id, length, doc_id, start: groups of maximal repeats with all their occurrences (of equal contexts in one task, the first)."""
+    """repeat_id, length, doc_id, start: groups of maximal repeats with all their occurrences.
+
+    Parts from contexts that follow one another in all the same occurrences are joined, so that a long repeat is one group. A
+    group ends where its set of occurrences changes: what more documents share further on is a group of its own.
+    """
 
     def meet(table: pa.Table) -> pa.Table:
         fields, _ = _met(table, least)
-        rows: list[tuple[int, int, int | None, int]] = []
+        rows: list[tuple[int, int, int | None, int, int]] = []
         bucket, number = table.column("bucket")[0].as_py(), 0
         for key, d, m, start, windows, content in _by_key(fields, least):
             for depth, of, offset in _scan(key, d, m, start, windows, content, least, True)[1]:
                 number += 1
-                rows += [((bucket << 40) + number, depth, None if d[i] == NO_ID else int(d[i]), int(start[i] + j)) for i, j in zip(of.tolist(), offset.tolist(), strict=True)]
-        return pa.table({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(("repeat_id", "length", "doc_id", "start"))})
+                rows += [((bucket << 40) + number, depth, None if d[i] == NO_ID else int(d[i]), int(start[i] + j), int(m[i])) for i, j in zip(of.tolist(), offset.tolist(), strict=True)]
+        return pa.table({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(("repeat_id", "length", "doc_id", "start", "mark"))})
 
     docs = marked(docs)
     filter_ = bloom(repeated_keys(docs, least))
-    return contexts(docs, filter_, least).groupBy("bucket").applyInArrow(meet, "repeat_id long, length long, doc_id long, start long")
+    parts = stored(contexts(docs, filter_, least, True).groupBy("bucket").applyInArrow(meet, "repeat_id long, length long, doc_id long, start long, mark long"), "repeats")
+    head = parts.groupBy("repeat_id", "length").agg(F.min(F.struct("doc_id", "mark", "start")).alias("first"), F.count("*").alias("n"))
+    apart = parts.join(head, ["repeat_id", "length"]).withColumn("code", F.xxhash64("doc_id", "mark", F.col("start") - F.col("first.start")).cast("decimal(20,0)"))
+    alike = apart.groupBy("repeat_id", "length", "first", "n").agg(F.sum("code").alias("code"))  # the same wherever in the occurrences a part stands
+    same = Window.partitionBy("first.doc_id", "first.mark", "n", "code").orderBy("first.start", F.desc("length"), "repeat_id")
+    end = F.max(F.col("first.start") + F.col("length")).over(same.rowsBetween(Window.unboundedPreceding, -1))
+    alike = alike.withColumn("new", F.coalesce(F.col("first.start") + least - 1 > end, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(same))
+    whole = alike.groupBy("first.doc_id", "first.mark", "n", "code", "island").agg(F.min(F.struct("first.start", "repeat_id", "length")).alias("part"), F.max(F.col("first.start") + F.col("length")).alias("end"))
+    whole = whole.select(F.col("part.repeat_id").alias("repeat_id"), F.col("part.length").alias("part_length"), (F.col("end") - F.col("part.start")).alias("whole_length"))
+    rows = parts.join(whole, (parts["repeat_id"] == whole["repeat_id"]) & (parts["length"] == whole["part_length"]))
+    return rows.select(parts["repeat_id"], F.col("whole_length").alias("length"), "doc_id", "start")
 
 
 def _place(doc_id: Column, mark: Column) -> Column:
