@@ -60,6 +60,8 @@ SMALL = 72
 EXTRA = 4
 #: Rounds in which each group that isn't one component yet tries a member picked by a hash.
 PIVOTS = 3
+#: The rounds end when one finds fewer links than one in so many of the nodes in question.
+WORTH = 10
 BLOOM_BITS = 1 << 26
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
@@ -446,15 +448,13 @@ def grouped(docs: DataFrame, num: int = 75, den: int = 100, n: int = 5) -> DataF
 
     part = components(links)
 
-    def joined(more: DataFrame) -> bool:
-        """Takes further links in; whether there were any."""
-        nonlocal links, part
+    def joined(more: DataFrame) -> int:
+        """Takes further links in; how many there are. part stays as it is: pairs across its components are all tried later on."""
+        nonlocal links
         more = stored(more, "links")
-        if more.isEmpty():
-            return False
-        links = links.unionByName(more)
-        part = components(links)
-        return True
+        n = more.count()
+        links = links.unionByName(more) if n else links
+        return n
 
     def narrowed(rows: DataFrame) -> DataFrame:
         """rows of the groups that have several components by now."""
@@ -465,31 +465,36 @@ def grouped(docs: DataFrame, num: int = 75, den: int = 100, n: int = 5) -> DataF
         return out
 
     open_ = narrowed(led)
+    new = 0
     for number in range(PIVOTS):
-        if open_.isEmpty():
-            break
+        left_ = open_.select("node").distinct().count()
         pivot = F.min_by(F.struct("node", "n", "common", "component", "shared"), F.xxhash64("node", F.lit(number)))
         tried = open_.join(open_.groupBy("leader").agg(pivot.alias("pivot")), "leader").where("component <> pivot.component")
         tried = tried.groupBy("node", "n", "common", F.col("pivot.node").alias("node_b"), F.col("pivot.n").alias("n_b"), F.col("pivot.common").alias("common_b")).agg(F.sum(F.least("shared", "pivot.shared")).alias("both"))
         best = tried.where(fits & enough).groupBy(F.col("node").alias("a")).agg(F.max_by("node_b", F.struct("both", "node_b")).alias("b"))
-        if joined(verified(best, known, num, den, n)):
-            open_ = narrowed(open_)
+        found = joined(verified(best, known, num, den, n)) if left_ else 0
+        new += found
+        if found * WORTH < left_ or not left_:
+            break
+        part, new = components(links), 0
+        open_ = narrowed(open_)
 
     if not open_.isEmpty():
         held = open_.groupBy("leader").agg(F.count("*").alias("size")).where(F.col("size") >= LARGE)
         homes = stored(open_.join(held, "leader").groupBy("node").agg(F.max_by("leader", F.struct("size", "leader")).alias("home")), "homes")
         in_blocks = stored(open_.join(homes.select(F.col("home").alias("leader")).distinct(), "leader", "left_semi"), "blocks")
         member = in_blocks.groupBy("node").agg(F.collect_set("leader").alias("met"))
-        if not in_blocks.isEmpty() and joined(block_links(in_blocks, known, num, den, n)):
-            open_ = narrowed(open_)
+        if not in_blocks.isEmpty():
+            new += joined(block_links(in_blocks, known, num, den, n))
         rest = stored(open_.join(member, "node", "left"), "rest")
         left, right = (rest.select("leader", *(F.col(c).alias(f"{c}{end}") for c in ("node", "n", "common", "shared", "component", "met"))) for end in ("", "_b"))
         apart = (F.col("component") < F.col("component_b")) & ~F.coalesce(F.arrays_overlap("met", "met_b"), F.lit(False))  # else compared in a block
         both = left.join(right, (left["leader"] == right["leader"]) & fits & apart)
         pairs = both.groupBy(F.col("node").alias("a"), F.col("node_b").alias("b"), "n", "n_b").agg(F.sum(F.least("shared", "shared_b")).alias("both")).where(enough).select("a", "b")
-        joined(verified(pairs, known, num, den, n))
+        new += joined(verified(pairs, known, num, den, n))
         for table in (homes, in_blocks, rest):
             forget(table)
+    part = components(links) if new else part
     forget(known)
     forget(open_)
 
