@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import cases, keys, rates, reports, sequences, texts
+from . import cases, exchange, keys, rates, reports, sequences, texts
 
-MODULES = (rates, keys, sequences, texts, reports, cases)
+MODULES = (rates, keys, sequences, texts, reports, cases, exchange)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
