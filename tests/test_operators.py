@@ -212,3 +212,26 @@ def test_reports(spark):
     out, lines, aliases = report.anonymize_case(table, ["n", "s"], F.col("id"), "k", text_, "line", {"ann": "Q"})
     got = {r.id: (r.n, r.s) for r in out.collect()}
     assert got[1][0] == "Q" and got[1][1] == got[2][0] and got[2][1] == "" and lines.first().line == "Q     12" and aliases.count() == 2
+
+
+def test_lines_keep_their_order_over_blocks(spark, tmp_path):
+    lines = [f"{i},{'x' * (i % 37)}" if i % 5 else "" for i in range(4000)]
+    (tmp_path / "a.txt").write_bytes("\n".join(lines).encode())
+    (tmp_path / "b.txt").write_bytes("\r\n".join([*lines[:7], "é,end", "", ""]).encode())
+    (tmp_path / "c.txt").write_bytes(b"")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in kept:
+            spark.conf.set(k, "1000")
+        got = records.numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    by = {f: [r.line for r in sorted((r for r in got if r.file.endswith(f)), key=lambda r: r.line_no)] for f in ("a.txt", "b.txt", "c.txt")}
+    assert by == {"a.txt": lines, "b.txt": [*lines[:7], "é,end", ""], "c.txt": []}
+    assert sorted(r.line_no for r in got if r.file.endswith("a.txt")) == list(range(1, 4001))
+
+
+def test_made_names_are_distinct():
+    assert len(set(alias.FIRST)) == len(alias.FIRST) == 240 and len(set(alias.LAST)) == len(alias.LAST) == 120
+    assert not any("_" in n for n in alias.FIRST + alias.LAST)

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import hashing
 from ..functions.text import alternation, fuzzy_match
 
-FIRST = ("Amber", "Birch", "Cedar", "Dale", "Ember", "Fern", "Grove", "Heath", "Iris", "Juniper", "Kestrel", "Linden", "Maple")
-LAST = ("Ash", "Brook", "Cliff", "Dune", "Field", "Glen", "Hill")
+#: Made by a rule: 240 first and 120 last names, so 28,800 bases over which entities spread.
+FIRST = tuple(a + b + c for a in ("Al", "Be", "Co", "Da", "El", "Fa", "Gre", "Ha") for b in ("la", "mi", "no", "ri", "sa") for c in ("", "n", "r", "s", "th", "x"))
+LAST = tuple(a + b for a in ("Ash", "Brook", "Cliff", "Dune", "Elm", "Field", "Glen", "Hill", "Isle", "Lake", "Moor", "Oak") for b in ("", "by", "dale", "ford", "gate", "ham", "ley", "ton", "wick", "wood"))
 
 
 def pseudonym(name: Column, key: str, firsts: tuple[str, ...] = FIRST, lasts: tuple[str, ...] = LAST) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.links import link_key
 from ..functions.text import cards_of, dealer, vulnerability
+from ..operators.keys import with_row_id
 from ..streaming.tables import stored
 
 PLAYS = r"^([SHDC][2-9TJQKA]( [SHDC][2-9TJQKA])*(\|[SHDC][2-9TJQKA]( [SHDC][2-9TJQKA])*)*)?$"
@@ -30,10 +31,15 @@ def resolve_columns(df: DataFrame, required: list[str] = (), any_of: dict[str, l
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no (from 1, in file order), line. Files are read whole so that lines keep their order; many files spread over tasks."""
-    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
-    last = Window.partitionBy("file")
-    return rows.withColumn("_max", F.max("line_no").over(last)).where("not (line = '' and line_no = _max)").select("file", (F.col("line_no") + 1).alias("line_no"), "line")
+    """file, line_no (from 1, in file order), line. Files are read in blocks, so a huge one spreads over tasks: lines are numbered
+    within their block, and the sizes of the blocks before, a row for each, are added. Null bytes, empty lines and CRLF do no harm."""
+    at = ("file", "_block")
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
+    rows = stored(rows, "blocks")
+    sizes = rows.groupBy(*at).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*at, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return rows.join(sizes, list(at)).select("file", (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("line_no"), "line")
 
 
 def repaired(line: Column) -> Column:
@@ -45,7 +51,7 @@ def repaired(line: Column) -> Column:
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """A tolerant CSV as strings: lines before the first with a comma dropped, bare quotes in the last field mended, short rows
     filled, empty cells NULL, and row_id by position (over files by name)."""
-    lines = stored(numbered_lines(spark, path), "lines")
+    lines = numbered_lines(spark, path)
     start = lines.where(F.col("line").contains(",")).groupBy("file").agg(F.min("line_no").alias("_start"))
     rows = lines.join(start, "file").where("line_no >= _start")
     header = rows.where("line_no = _start").orderBy("file").select("line").first()
@@ -55,9 +61,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     names = [n for n in names if n is not None]
     schema = ", ".join(f"`{n}` string" for n in names)
     body = rows.where("line_no > _start and line <> ''").withColumn("_row", F.from_csv(repaired(F.col("line")), schema, {"mode": "PERMISSIVE"}))
-    sizes = body.groupBy("file").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per file
-    body = body.join(before.select("file", "_before"), "file").withColumn("row_id", F.col("_before") + F.row_number().over(Window.partitionBy("file").orderBy("line_no")))
+    body = with_row_id(body.select("file", "line_no", "_row"), "file", "line_no")
     return body.select("row_id", *(F.nullif(F.col(f"_row.`{n}`"), F.lit("")).alias(n) for n in names))
 
 
