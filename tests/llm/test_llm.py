@@ -555,3 +555,19 @@ def test_pipeline_stages(spark, docs, tmp_path):
         kept.append(len(after))
     assert kept == sorted(kept, reverse=True)
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(after)
+
+
+def test_hashes_of_strings_that_cancel_out(spark, monkeypatch):
+    """Thue-Morse words and their complements are equal under any polynomial modulo 2^64."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << 12))
+    other = word.translate(str.maketrans("ab", "ba"))
+    made = spark.createDataFrame([(1, word), (2, other), (3, f"{word}\n{other}\n{word}"), (4, word)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(made).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 1}
+    data = np.frombuffer(f"{word}\n{other}\n{word}".encode(), np.uint8)
+    assert quality_rules._measure(data, np.array([0, len(data)]))[3].tolist() == [1]
+    monkeypatch.setattr(quality_rules, "spans_hash", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    lines = np.frombuffer(b"a\nb\na\nc d\nb", np.uint8)
+    assert quality_rules._repeats(lines, np.array([0, 2, 4, 6, 10]), np.array([1, 3, 5, 9, 11]), np.array([0, 0, 0, 0, 1]), 2).tolist() == [1, 0]
+    scored = {r.doc_id: r for r in lm_scoring.scores(made.where("doc_id < 3")).collect()}
+    assert scored[1] != scored[2]

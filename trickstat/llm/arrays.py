@@ -34,6 +34,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_weights = {"all": np.ones(0, np.uint64)}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,14 +83,27 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.flatnonzero(~space & after) + 1, np.searchsorted(starts, offsets)
 
 
+def weights(n: int) -> np.ndarray:
+    """n odd 64-bit weights without structure, one for each place in a span."""
+    if len(_weights["all"]) < n:
+        _weights["all"] = mix(np.arange(1, max(n, 1 << 12) + 1, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
+    return _weights["all"]
+
+
 def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range, from one running sum."""
+    """64-bit hash of each byte range; ranges are in order and don't overlap.
+
+    A sum of byte values, each times the weight of its place in the range. Weights follow no powers, so strings built
+    to cancel out in a polynomial (Thue-Morse words and their complements) differ here.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+    low, longest = int(starts[0]), int((ends - starts).max())
+    part = data[low : int(ends[-1])]
+    place = np.arange(low, low + len(part)) - np.repeat(starts, np.diff(np.append(starts, ends[-1])))
+    total = np.zeros(len(part) + 1, np.uint64)
+    np.cumsum(_BYTE[part] * weights(longest)[np.minimum(place, max(longest - 1, 0))], out=total[1:])
+    return mix(total[ends - low] - total[starts - low])
 
 
 def ngrams(words: np.ndarray, n: int) -> np.ndarray:

@@ -216,6 +216,21 @@ def _repeated(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _repeats(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """For each of n texts how many of its lines equal an earlier one. Hashes find them, their bytes decide."""
+    keys = mix(spans_hash(data, starts, ends)) ^ mix(text.astype(np.uint64))
+    order = np.argsort(keys, kind="stable")
+    new = np.append(True, keys[order][1:] != keys[order][:-1])[: len(order)]
+    head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    later = np.flatnonzero(~new)
+    bytes_ = lambda i: data[starts[i] : ends[i]].tobytes()
+    same = np.fromiter((bytes_(i) == bytes_(j) for i, j in zip(order[later].tolist(), order[head[later]].tolist(), strict=True)), bool, len(later))
+    if same.all():
+        return np.bincount(text[order[later]], minlength=n)
+    lines = list(zip(text.tolist(), map(bytes_, range(len(starts))), strict=True))  # unlike lines share a hash: compare all by their bytes
+    return np.bincount(text, minlength=n) - np.bincount([t for t, _ in set(lines)], minlength=n)
+
+
 def _measure(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text."""
     n = len(offsets) - 1
@@ -233,9 +248,7 @@ def _measure(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     inner = np.append(of_line[1:] == of_line[:-1], False)
     bare = line_ends - inner
     filled = np.searchsorted(starts, bare) > np.searchsorted(starts, line_starts)
-    keys = mix(spans_hash(data, line_starts[filled], bare[filled])) ^ mix(of_line[filled].astype(np.uint64))
-    _, kept = np.unique(keys, return_index=True)
-    n_dup = np.bincount(of_line[filled], minlength=n) - np.bincount(of_line[filled][kept], minlength=n)
+    n_dup = _repeats(data, line_starts[filled], bare[filled], of_line[filled], n)
 
     windows = ngrams(spans_hash(data, starts, ends), 8)
     at = np.flatnonzero(of_word[: len(windows)] == of_word[7:]) if len(windows) else np.zeros(0, np.int64)
