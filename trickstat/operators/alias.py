@@ -75,7 +75,7 @@ def _literal_map(rules: dict[str, str], lower: bool) -> Column:
 
 
 def replace_rules(text: Column, rules: dict[str, str]) -> Column:
-    """Each term by its replacement in one pass: leftmost, longest first, no overlaps, case counts. For some hundreds of rules; more belong in a join of tokens."""
+    """Each term by its replacement in one pass: leftmost, longest first, no overlaps, case counts. For some hundreds of rules; terms.replace_terms() takes tables of them."""
     found, around = _parts(text, list(rules), False)
     new = F.transform(found, lambda m: _literal_map(rules, False)[m])
     return F.array_join(F.zip_with(F.concat(F.array(F.lit("")), new), around, lambda a, g: F.concat(a, g)), "")
@@ -88,21 +88,27 @@ def mask_fixed(text: Column, rules: dict[str, str]) -> Column:
 
 def replace_aligned(line: Column, aliases: dict[str, str]) -> Column:
     """Names in a line replaced in any case; what that adds or saves in length is taken from the next gap of white space (a
-    blank at least stays), so later columns keep their place."""
+    blank at least stays), so later columns keep their place. Only what is owed is carried on; the parts are joined once."""
     found, around = _parts(line, list(aliases), True)
     lookup = _literal_map(aliases, True)
-    start = F.struct(F.element_at(around, 1).alias("text"), F.lit(0).alias("debt"))
-    pairs = F.zip_with(found, F.slice(around, 2, F.greatest(F.size(around) - 1, F.lit(0))), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+    rest = F.slice(around, 2, F.greatest(F.size(around) - 1, F.lit(0)))
 
-    def step(a: Column, x: Column) -> Column:
-        new = lookup[F.lower(x["m"])]
-        debt = a["debt"] + F.length(x["m"]) - F.length(new)
-        bare = F.regexp_replace(x["g"], r"^\s+", "")
-        gap = F.length(x["g"]) - F.length(bare)
-        wide = F.concat(a["text"], new, F.repeat(F.lit(" "), F.greatest(gap + debt, F.lit(1))), bare)
-        return F.when(gap > 0, F.struct(wide.alias("text"), F.lit(0).alias("debt"))).otherwise(F.struct(F.concat(a["text"], new, x["g"]).alias("text"), debt.alias("debt")))
+    def part(m: Column, g: Column) -> Column:
+        new, bare = lookup[F.lower(m)], F.regexp_replace(g, r"^\s+", "")
+        return F.struct(new.alias("new"), bare.alias("bare"), (F.length(g) - F.length(bare)).alias("gap"), (F.length(m) - F.length(new)).alias("owed"))
 
-    return F.aggregate(pairs, start, step, lambda a: a["text"])
+    def step(done: Column, x: Column) -> Column:
+        before = F.coalesce(F.try_element_at(done, F.lit(-1))["debt"], F.lit(0)) + x["owed"]
+        return F.concat(done, F.array(F.struct(F.when(x["gap"] > 0, F.greatest(x["gap"] + before, F.lit(1))).otherwise(0).alias("wide"), F.when(x["gap"] > 0, 0).otherwise(before).alias("debt"))))
+
+    def joined(parts: Column) -> Column:
+        start = F.array().cast("array<struct<wide: int, debt: int>>")
+        gaps = F.aggregate(parts, start, step)
+        tail = F.zip_with(parts, gaps, lambda x, y: F.concat(x["new"], F.repeat(F.lit(" "), y["wide"]), x["bare"]))
+        return F.array_join(tail, "")
+
+    parts = F.array(F.zip_with(found, rest, part))  # bound once, by a lambda
+    return F.concat(F.element_at(around, 1), F.element_at(F.transform(parts, joined), 1))
 
 
 def redact_terms(text: Column, terms: list[str], link: str = r"https?://tinyurl\.com/\S+") -> Column:
@@ -147,8 +153,15 @@ def case_variants(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(forms).alias("x")).select("x.*").distinct()
 
 
-def rewrite_map_values(known: DataFrame, aliases: dict[str, str], value: str = "target") -> DataFrame:
-    """known with the names in value replaced in one pass, the longest first; + in a name or alias stands there as %2B."""
+def rewrite_map_values(known: DataFrame, aliases: dict[str, str] | DataFrame, value: str = "target", key: str | None = None) -> DataFrame:
+    """known with the names in value replaced in one pass, the longest first; + in a name or alias stands there as %2B.
+
+    aliases as a dict becomes one pattern; as a table (entity, alias) it may be of any size, and key tells the rows of known apart."""
+    if isinstance(aliases, DataFrame):
+        from .terms import replace_terms
+
+        plus = lambda c: F.replace(F.col(c), F.lit("+"), F.lit("%2B"))
+        return replace_terms(known, key, value, aliases.select(plus("entity").alias("term"), plus("alias").alias("replacement")))
     escaped = {k.replace("+", "%2B"): v.replace("+", "%2B") for k, v in aliases.items()}
     return known.withColumn(value, replace_rules(F.col(value), escaped))
 

@@ -80,8 +80,9 @@ def extra_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def map_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 300).alias("target"))
-    return alias.rewrite_map_values(known, TEXT_RULES)
+    known = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("target"))
+    rules = spark.createDataFrame(list(TEXT_RULES.items()), "entity string, alias string")
+    return alias.rewrite_map_values(known, rules, key="doc_id")
 
 
 def alias_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +163,7 @@ SQL = {
         select id, 'boards' as of, t as event_time from o union all select id, 'analysis', null from o where o_custkey % 2 = 0 union all select id, 'hotspots', null from o""",
     "board_map": "select o_orderkey as doc_board, o_custkey as dataset_board, 'http://x/' || o_orderkey as link, o_orderstatus as fingerprint from orders where o_orderkey % 6 <> 0",
     "extra_map": "select lower(regexp_replace(url, '/+$', '')) as link_key, min(page_id::varchar) as board from pages group by 1",
-    "map_values": "with d as (select doc_id, substr(text, 1, 300) as target from documents) " + _replaced("d", "doc_id", "target", TEXT_RULES).replace("as text", "as target"),
+    "map_values": _replaced("documents", "doc_id", "text", TEXT_RULES).replace("as text\n", "as target\n"),
     "alias_lines": "select 1::bigint as line_no, '# old=new' as line union all select 1 + row_number() over (order by lower(c_name)), lower(c_name) || '=Player ' || c_custkey from customer",
     "token_hotspots": f"with {_L} select k as ordinal, 'Lead' as category, sub as subclass, hit as outcome, contract, 'S4' as lead, day as date from l",
     "line_hotspots": f"""with {_L} select k as ordinal, 'Opening Lead' as category, hit as outcome, sub as subclass, contract, 'S4' as lead, day as date, day as date_text, case when k % 2 = 0 then k::varchar else 'https://t.co/' || k end as key,
