@@ -219,14 +219,7 @@ def test_lines_keep_their_order_over_blocks(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("\n".join(lines).encode())
     (tmp_path / "b.txt").write_bytes("\r\n".join([*lines[:7], "é,end", "", ""]).encode())
     (tmp_path / "c.txt").write_bytes(b"")
-    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
-    try:
-        for k in kept:
-            spark.conf.set(k, "1000")
-        got = records.numbered_lines(spark, str(tmp_path)).collect()
-    finally:
-        for k, v in kept.items():
-            spark.conf.set(k, v)
+    got = records.numbered_lines(spark, str(tmp_path), range_bytes=1000).collect()
     by = {f: [r.line for r in sorted((r for r in got if r.file.endswith(f)), key=lambda r: r.line_no)] for f in ("a.txt", "b.txt", "c.txt")}
     assert by == {"a.txt": lines, "b.txt": [*lines[:7], "é,end", ""], "c.txt": []}
     assert sorted(r.line_no for r in got if r.file.endswith("a.txt")) == list(range(1, 4001))

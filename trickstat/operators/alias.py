@@ -175,9 +175,12 @@ def alias_lines(aliases: DataFrame, header: str = "# old=new") -> DataFrame:
     return aliases.sparkSession.createDataFrame([(1, header)], "line_no long, line string").unionByName(lines)
 
 
-def write_alias_map(aliases: DataFrame, path: str, header: str = "# old=new") -> None:
-    """Text files whose concatenation by name is the map."""
-    alias_lines(aliases, header).repartitionByRange("line_no").sortWithinPartitions("line_no").select("line").write.text(path)
+def write_alias_map(aliases: DataFrame, path: str, header: str = "# old=new", mode: str = "append") -> None:
+    """Numbered text parts in order of entity, a comment first, with a manifest."""
+    from ..sources.parts import write_parts
+
+    lines = aliases.select("entity", "alias", F.concat_ws("=", "entity", "alias").alias("line"))
+    write_parts(lines, ["entity", "alias"], "line", path, header, mode=mode)
 
 
 def fuzzy_tag(tokens: DataFrame, terms: DataFrame, share: float = 0.75) -> DataFrame:

@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..streaming.tables import stored
 
 
+def with_sums_before(df: DataFrame, sums: dict[str, str], order: str, *group: str, block: int = 1024) -> DataFrame:
+    """df with, for each column named in sums, the sum of it over the rows before (by order, within group) under the name given.
+
+    Rows are taken in blocks of so many on average: sums within a block, and over the blocks before. So a million rows
+    of one group are a thousand blocks of a thousand, linear in the rows, and no task sorts more than that."""
+    at = "_in_block"
+    size = df.groupBy(*group).agg(F.count("*").alias("_rows_in"), F.min(order).alias("_low"), F.max(order).alias("_high"))
+    rows = df.join(size, list(group)) if group else df.crossJoin(F.broadcast(size))  # one row
+    wide = (F.col("_high") - F.col("_low") + 1) / F.ceil(F.col("_rows_in") / block)
+    rows = rows.withColumn(at, F.floor((F.col(order) - F.col("_low")) / wide)).drop("_rows_in", "_low", "_high")
+    upto = Window.partitionBy(*group).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(*group, at).agg(*(F.sum(c).alias(f"{n}_all") for c, n in sums.items()))
+    blocks = blocks.select(*group, at, *(F.coalesce(F.sum(f"{n}_all").over(upto), F.lit(0)).alias(f"{n}_all") for n in sums.values()))
+    within = Window.partitionBy(*group, at).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({n: F.coalesce(F.sum(c).over(within), F.lit(0)) for c, n in sums.items()})
+    out = rows.join(blocks, [*group, at]).withColumns({n: F.col(n) + F.col(f"{n}_all") for n in sums.values()})
+    return out.select(*df.columns, *sums.values())
+
+
 def with_row_id(df: DataFrame, *order: str) -> DataFrame:
     """row_id, from 1 in the order of the columns given (they must tell rows apart). Rows are sorted by ranges; only the
     number of rows in each range comes together, so no task sees all rows."""
@@ -15,7 +34,7 @@ def with_row_id(df: DataFrame, *order: str) -> DataFrame:
     ranged = stored(ranged, "rows")
     part = F.shiftright("_at", 33)
     sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("a._part") > F.col("b._part"), "left").groupBy(F.col("a._part").alias("_part")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
+    before = with_sums_before(sizes, {"_n": "_before"}, "_part").select("_part", "_before")
     out = ranged.withColumn("_part", part).join(F.broadcast(before), "_part")  # a row per range
     return out.withColumn("row_id", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at", "_part", "_before")
 

@@ -170,14 +170,15 @@ def explode_plays(df: DataFrame, column: str = "cardplay", strict: bool = True)
     """
     rest = [c for c in df.columns if c != column]
     tricks = F.filter(F.transform(F.split(F.upper(column), r"\|"), lambda t: F.trim(t)), lambda t: t != "")
-    cards = df.select(*rest, F.posexplode(tricks).alias("trick", "_t")).select(*rest, "trick", F.posexplode(F.split("_t", r"\s+")).alias("pos", "_c"))
+    cards = F.flatten(F.transform(tricks, lambda t, i: F.transform(F.split(t, r"\s+"), lambda c, j: F.struct(i.alias("trick"), j.alias("pos"), c.alias("_c")))))
+    cards = df.select(*rest, F.posexplode(cards).alias("ply", "_x")).select(*rest, "ply", "_x.*")  # numbered in its row, so equal rows don't mix
     good = F.col("_c").rlike(CARD)
     suit = F.when(good, F.substring("_c", 1, 1))
     if strict:
         suit = F.coalesce(suit, F.raise_error(F.concat(F.lit("no card: "), F.col("_c"))).cast("string"))
     face = F.regexp_replace(F.substring("_c", 2, 2), "^10?$", "T")
-    ply = F.row_number().over(Window.partitionBy(*rest).orderBy("trick", "pos")) - 1
-    return cards.withColumns({"suit": suit, "rank": F.when(good, F.instr(F.lit("23456789TJQKA"), face) + 1), "ply": ply}).drop("_c")
+    cards = cards.withColumns({"suit": suit, "rank": F.when(good, F.instr(F.lit("23456789TJQKA"), face) + 1)})
+    return cards.select(*rest, "trick", "pos", "suit", "rank", "ply")
 
 
 def encode_plays(plays: DataFrame, key: str) -> DataFrame:

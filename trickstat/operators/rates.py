@@ -6,6 +6,10 @@ partial aggregation does most of the work before the one shuffle by entity.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,10 +101,22 @@ def flagged(tested: DataFrame, least_deals: int = 50, below: float = -0.05, p: f
     return tested.where((F.col("deals") >= least_deals) & (F.col("diff") < below) & (F.col("p") < p))
 
 
-def pair_counts(members: DataFrame, group: str, entity: str) -> DataFrame:
-    """a, b, n: in how many groups two entities occur together. Groups are small by nature (a table has two pairs)."""
-    one = members.select(F.col(group).alias("_g"), F.col(entity).alias("a")).where(F.col("a").isNotNull()).distinct()
-    return one.join(one.withColumnRenamed("a", "b"), "_g").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+def pair_counts(members: DataFrame, group: str, entity: str, block: int = 2000) -> DataFrame:
+    """a, b, n: in how many groups two entities (a < b) occur together.
+
+    Members of a group of more than block are dealt to blocks, and each pair of blocks (the triangle, with each block beside itself) is a
+    key of its own: a task has block * block pairs at once at most, however large the group. Pairs are the result, so their
+    number can't be less; what is sent is each member once for each block of its group."""
+    one = members.select(F.col(group).alias("_g"), F.col(entity).alias("e")).where(F.col("e").isNotNull() & F.col("_g").isNotNull()).distinct()
+    large = one.groupBy("_g").agg(F.count("*").alias("_n")).where(F.col("_n") > block).select("_g", F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+    rows = one.join(large, "_g", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("e"), F.col("_blocks")).cast("int"))
+    cells = rows.select("_g", "e", "_own", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
+    low, high = F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j")
+    left = cells.where("_own <= _other").select("_g", low, high, F.col("e").alias("x"))
+    right = cells.where("_own >= _other").select("_g", low, high, F.col("e").alias("y"))
+    pairs = left.join(right, ["_g", "_i", "_j"]).where("_i < _j or x < y")
+    return pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("n"))
 
 
 def convergence(counters: DataFrame) -> DataFrame:
@@ -165,6 +181,33 @@ def level_match(computed: Column, given: Column) -> Column:
     return F.when(given >= 0, computed == given)
 
 
+def validate_levels(df: DataFrame, row: Column, computed: Column, given: Column, most: int = 20) -> DataFrame:
+    """One row: matches, mismatches, not_given, the first mismatches (row, computed, given; most at most, by row) and overflow, how many more there are.
+    Nothing is given where given is null or negative, or nothing computed; a null row counts as -1.
+
+    One pass: each task counts, and keeps its first mismatches beside the counters; what meets is most rows of each task."""
+    rows = df.select(F.coalesce(row.cast("long"), F.lit(-1)).alias("row"), computed.cast("double").alias("computed"), given.cast("double").alias("given"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, first = [0, 0, 0], []
+        for batch in batches:
+            ok = pc.and_(pc.fill_null(pc.greater_equal(batch["given"], 0), False), batch["computed"].is_valid())
+            same = pc.equal(batch["computed"], batch["given"])
+            wrong = batch.filter(pc.fill_null(pc.and_(ok, pc.invert(same)), False))
+            counts[0] += pc.sum(pc.and_(ok, pc.fill_null(same, False))).as_py() or 0
+            counts[1] += wrong.num_rows
+            counts[2] += batch.num_rows - (pc.sum(ok).as_py() or 0)
+            if wrong.num_rows:
+                best = wrong.take(pc.select_k_unstable(wrong, most, [("row", "ascending"), ("computed", "ascending"), ("given", "ascending")]))
+                first = sorted(first + best.to_pylist(), key=lambda r: (r["row"], r["computed"], r["given"]))[:most]
+        kind = pa.list_(pa.struct([("row", pa.int64()), ("computed", pa.float64()), ("given", pa.float64())]))
+        yield pa.RecordBatch.from_arrays([*(pa.array([c], pa.int64()) for c in counts), pa.array([first], kind)], ["matches", "mismatches", "not_given", "first"])
+
+    parts = rows.mapInArrow(run, "matches long, mismatches long, not_given long, first array<struct<row: long, computed: double, given: double>>")
+    total = parts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("matches", "mismatches", "not_given")), F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, most).alias("first"))
+    return total.withColumn("overflow", F.greatest(F.col("mismatches") - most, F.lit(0)))
+
+
 def eligibility(df: DataFrame, reasons: list[tuple[str, Column]]) -> DataFrame:
     """df with reason: the first that applies, null for eligible rows."""
     reason = F.lit(None).cast("string")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.links import link_key
 from ..functions.text import cards_of, dealer, vulnerability
-from ..operators.keys import with_row_id
 from ..streaming.tables import stored
+from .lines import RANGE_BYTES, counted_ranges, numbered_lines
+from .parts import write_parts
 
 PLAYS = r"^([SHDC][2-9TJQKA]( [SHDC][2-9TJQKA])*(\|[SHDC][2-9TJQKA]( [SHDC][2-9TJQKA])*)*)?$"
 SUITS = "SHDC"
@@ -30,39 +33,38 @@ def resolve_columns(df: DataFrame, required: list[str] = (), any_of: dict[str, l
     return df.select(*out, *(F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c) for c in optional))
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no (from 1, in file order), line. Files are read in blocks, so a huge one spreads over tasks: lines are numbered
-    within their block, and the sizes of the blocks before, a row for each, are added. Null bytes, empty lines and CRLF do no harm."""
-    at = ("file", "_block")
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
-    rows = stored(rows, "blocks")
-    sizes = rows.groupBy(*at).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(*at, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return rows.join(sizes, list(at)).select("file", (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("line_no"), "line")
-
-
 def repaired(line: Column) -> Column:
     """A line whose last quoted field has quotes in it, with these as apostrophes."""
     part = r'^(.*,")(.*)"$'
     return F.when(line.rlike(r'^.*,".*".*"$') & ~F.regexp_extract(line, part, 2).rlike(r'^[^"]*$'), F.concat(F.regexp_extract(line, part, 1), F.translate(F.regexp_extract(line, part, 2), '"', "'"), F.lit('"'))).otherwise(line)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
+def read_records(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, one_table: bool = False) -> DataFrame:
     """A tolerant CSV as strings: lines before the first with a comma dropped, bare quotes in the last field mended, short rows
-    filled, empty cells NULL, and row_id by position (over files by name)."""
-    lines = numbered_lines(spark, path)
-    start = lines.where(F.col("line").contains(",")).groupBy("file").agg(F.min("line_no").alias("_start"))
-    rows = lines.join(start, "file").where("line_no >= _start")
-    header = rows.where("line_no = _start").orderBy("file").select("line").first()
+    filled, empty cells NULL, and row_id by position (over files by name). Empty lines are no rows. Each file has a header of its
+    own, or, if they are one_table (parts of one written in order), the first with a comma only.
+
+    row_id comes from the numbers of lines: those of a file's rows begin after all rows of the files before, which takes a row per file."""
+    ranges = counted_ranges(spark, path, range_bytes)
+    lines = numbered_lines(spark, path, range_bytes, ranges)
+    head = F.when(F.col("head_n").isNotNull(), F.struct("start", (F.col("_lines") + F.col("head_n")).alias("line_no"), (F.col("_filled") + F.col("head_filled")).alias("filled_no"), "head"))
+    files = ranges.groupBy("file").agg(F.min(head).alias("h"), F.max(F.col("_filled") + F.col("filled")).alias("all"))
+    if one_table:
+        first = files.where("h is not null").agg(F.min("file").alias("_first"))
+        files = files.crossJoin(F.broadcast(first)).where("file >= _first").withColumn("h", F.when(F.col("file") == F.col("_first"), F.col("h")))
+    else:
+        files = files.where("h is not null")
+    skip = F.coalesce("h.filled_no", F.lit(0))
+    files = stored(files.select("file", F.coalesce("h.line_no", F.lit(0)).alias("_start"), skip.alias("_skip"), F.col("h.head").alias("header"), (F.col("all") - skip).alias("_rows")), "files")
+    header = files.orderBy("file").select("header").first()
     if header is None:
         raise ValueError(f"no line of {path} has a comma")
     names = next(iter(spark.createDataFrame([(header[0],)], "line string").select(F.from_csv("line", ", ".join(f"c{i} string" for i in range(header[0].count(",") + 1))).alias("x")).first()[0:1]))
     names = [n for n in names if n is not None]
     schema = ", ".join(f"`{n}` string" for n in names)
-    body = rows.where("line_no > _start and line <> ''").withColumn("_row", F.from_csv(repaired(F.col("line")), schema, {"mode": "PERMISSIVE"}))
-    body = with_row_id(body.select("file", "line_no", "_row"), "file", "line_no")
-    return body.select("row_id", *(F.nullif(F.col(f"_row.`{n}`"), F.lit("")).alias(n) for n in names))
+    first = files.withColumn("_base", F.coalesce(F.sum("_rows").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("header", "_rows")
+    body = lines.join(first, "file").where("line_no > _start and line <> ''").withColumn("_row", F.from_csv(repaired(F.col("line")), schema, {"mode": "PERMISSIVE"}))
+    return body.select((F.col("_base") + F.col("filled_no") - F.col("_skip")).alias("row_id"), *(F.nullif(F.col(f"_row.`{n}`"), F.lit("")).alias(n) for n in names))
 
 
 def reassemble_rows(df: DataFrame, line: str, n: int = 15, head: int = 11) -> DataFrame:
@@ -86,38 +88,94 @@ def _fields(parts: Column, n: int, head: int) -> Column:
 def record_fields(record: Column) -> Column:
     """array<struct<pos, tag, val>> of tag|value|tag|value...; percent escapes decoded first."""
     plain = F.coalesce(F.try_url_decode(F.replace(record, F.lit("+"), F.lit("%2B"))), record)
-    parts = F.split(F.regexp_replace(plain, "^.*?lin=", ""), r"\|")
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(parts) / 2) - 1, F.lit(0))), lambda i: F.struct(i.alias("pos"), F.trim(F.get(parts, (2 * i).cast("int"))).alias("tag"), F.get(parts, (2 * i + 1).cast("int")).alias("val")))
+    split = F.split(F.regexp_replace(plain, "^.*?lin=", ""), r"\|")
+    pairs = lambda parts: F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(parts) / 2) - 1, F.lit(0))), lambda i: F.struct(i.alias("pos"), F.trim(F.get(parts, (2 * i).cast("int"))).alias("tag"), F.get(parts, (2 * i + 1).cast("int")).alias("val")))
+    return F.element_at(F.transform(F.array(split), pairs), 1)  # bound by a lambda: split and decoded once
+
+
+def _calls(fields: Column) -> Column:
+    """array<struct<call, alert, note>>: a note is the explanation right after its call."""
+    said = F.filter(fields, lambda x: x["tag"].isin("mb", "an"))
+
+    def each(said: Column) -> Column:
+        pairs = F.transform(said, lambda x, i: F.struct(x["tag"].alias("tag"), x["val"].alias("val"), F.get(said, i + 1).alias("next")))
+        return F.transform(F.filter(pairs, lambda x: x["tag"] == "mb"), lambda x: F.struct(F.regexp_replace(x["val"], "!", "").alias("call"), x["val"].contains("!").alias("alert"), F.when(x["next"]["tag"] == "an", x["next"]["val"]).alias("note")))
+
+    return F.element_at(F.transform(F.array(said), each), 1)
 
 
 def parse_records(df: DataFrame, key: str, column: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """boards, calls and plays of game records. Names and hands are in the order S, W, N, E; the fourth hand is what is left of the deck."""
-    rows = df.select(F.col(key).alias("board_id"), record_fields(F.col(column)).alias("f"))
-    first = lambda tag: F.try_element_at(F.filter("f", lambda x: x["tag"] == tag), F.lit(1))["val"]
-    names, deal = F.split(first("pn"), ","), first("md")
-    hands = F.split(F.substring(deal, F.lit(2), F.length(deal)), ",")
-    hand = lambda i: F.coalesce(cards_of(F.get(hands, i)), F.array().cast("array<string>"))
+    """boards, calls and plays of game records. Names and hands are in the order S, W, N, E; the fourth hand is what is left of the
+    deck. A record is a row, so its calls and cards are numbered in it before they become rows: nothing is shuffled."""
+    fields = record_fields(F.col(column))
     deck = F.array(*map(F.lit, DECK))
-    boards = rows.select(
-        "board_id",
-        first("ah").alias("header"),
-        dealer(F.substring(deal, 1, 1)).alias("dealer"),
-        vulnerability(first("sv")).alias("vul"),
-        *(F.get(names, i).alias(f"player_{s}") for i, s in enumerate("swne")),
-        hand(0).alias("hand_s"),
-        hand(1).alias("hand_w"),
-        hand(2).alias("hand_n"),
-        F.array_except(deck, F.concat(hand(0), hand(1), hand(2))).alias("hand_e"),
-        first("mc").try_cast("int").alias("claim"),
-    )
-    each = rows.select("board_id", F.posexplode("f").alias("at", "x")).select("board_id", "at", "x.tag", "x.val")
-    w = Window.partitionBy("board_id").orderBy("at")
-    bids = each.where("tag in ('mb', 'an')").withColumn("_next", F.lead(F.struct("tag", "val")).over(w)).where("tag = 'mb'")
-    calls = bids.select("board_id", (F.row_number().over(w) - 1).alias("pos"), F.regexp_replace("val", "!", "").alias("call"), F.col("val").contains("!").alias("alert"), F.when(F.col("_next.tag") == "an", F.col("_next.val")).alias("note"))
-    cards = each.where("tag = 'pc'").select("board_id", (F.row_number().over(w) - 1).alias("ply"), F.upper("val").alias("card"))
+
+    def board(f: Column) -> Column:
+        first = lambda tag: F.try_element_at(F.filter(f, lambda x: x["tag"] == tag), F.lit(1))["val"]
+        names, deal = F.split(first("pn"), ","), first("md")
+        hands = F.split(F.substring(deal, F.lit(2), F.length(deal)), ",")
+        hand = lambda i: F.coalesce(cards_of(F.get(hands, i)), F.array().cast("array<string>"))
+        return F.struct(
+            first("ah").alias("header"),
+            dealer(F.substring(deal, 1, 1)).alias("dealer"),
+            vulnerability(first("sv")).alias("vul"),
+            *(F.get(names, i).alias(f"player_{s}") for i, s in enumerate("swne")),
+            *(hand(i).alias(f"hand_{s}") for i, s in enumerate("swn")),
+            first("mc").try_cast("int").alias("claim"),
+        )
+
+    one = df.select(F.col(key).alias("board_id"), F.explode(F.transform(F.array(fields), board)).alias("b")).select("board_id", "b.*")
+    boards = one.withColumn("hand_e", F.array_except(deck, F.concat("hand_s", "hand_w", "hand_n")))
+    boards = boards.select(*(c for c in boards.columns if c not in ("hand_e", "claim")), "hand_e", "claim")
+    calls = df.select(F.col(key).alias("board_id"), F.posexplode(_calls(fields)).alias("pos", "x")).select("board_id", "pos", "x.*")
+    cards = df.select(F.col(key).alias("board_id"), F.posexplode(F.transform(F.filter(fields, lambda x: x["tag"] == "pc"), lambda x: F.upper(x["val"]))).alias("ply", "card"))
     return boards, calls, cards.select("board_id", "ply", F.floor(F.col("ply") / 4).alias("trick"), (F.col("ply") % 4).alias("pos"), "card")
 
 
+#: Columns of a lookup: its number and link, and what a record says.
+LOOKUP = ("Board_ID", "TinyURL", "Board_Header", "Player_S", "Player_W", "Player_N", "Player_E", "Dealer", "Vulnerability", "Deal_PBN", "Auction", "Explanations", "Cardplay", "Claim", "LIN_URL")
+
+
+def lookup_table(df: DataFrame, number: str, link: str, record: str) -> DataFrame:
+    """The LOOKUP columns as text for each row of df; all but number and link are blank where record is null or has no deal, as where a link failed."""
+    fields = record_fields(F.col(record))
+    suits = lambda hand: F.array_join(F.transform(F.array(*map(F.lit, SUITS)), lambda s: F.array_join(F.transform(F.filter(hand, lambda c: c.startswith(s)), lambda c: F.substring(c, 2, 1)), "")), ".")
+
+    def row(f: Column) -> Column:
+        first = lambda tag: F.try_element_at(F.filter(f, lambda x: x["tag"] == tag), F.lit(1))["val"]
+        names, deal, calls = F.split(first("pn"), ","), first("md"), _calls(f)
+        hands = F.split(F.substring(deal, F.lit(2), F.length(deal)), ",")
+        held = [F.coalesce(cards_of(F.get(hands, i)), F.array().cast("array<string>")) for i in range(3)]
+        ordered = lambda cards: F.filter(F.array(*map(F.lit, DECK)), lambda c: F.array_contains(cards, c))
+        south, west, north = map(ordered, held)
+        east = F.array_except(F.array(*map(F.lit, DECK)), F.concat(*held))
+        cards = F.transform(F.filter(f, lambda x: x["tag"] == "pc"), lambda x: F.upper(x["val"]))
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(cards), F.lit(1)), F.lit(4)), lambda i: i <= F.size(cards))
+        noted = F.transform(F.filter(calls, lambda c: c["note"].isNotNull()), lambda c: F.concat(c["call"], F.lit("="), F.replace(c["note"], F.lit(" "), F.lit("+"))))
+        says = [
+            first("ah"),
+            *(F.get(names, i) for i in range(4)),
+            dealer(F.substring(deal, 1, 1)),
+            vulnerability(first("sv")),
+            F.concat(F.lit("N:"), F.concat_ws(" ", *(suits(h) for h in (north, east, south, west)))),
+            F.array_join(F.transform(calls, lambda c: F.concat(c["call"], F.when(c["alert"], "!").otherwise(""))), "-"),
+            F.array_join(noted, "|"),
+            F.array_join(F.transform(starts, lambda i: F.array_join(F.slice(cards, i, F.lit(4)), " ")), "|"),
+            first("mc").try_cast("int").cast("string"),
+            F.col(record),
+        ]
+        return F.struct(*(F.when(deal.isNotNull(), F.coalesce(c, F.lit(""))).otherwise("").alias(n) for c, n in zip(says, LOOKUP[2:], strict=True)))
+
+    blank = F.struct(*(F.lit("").alias(n) for n in LOOKUP[2:]))
+    rows = df.select(F.col(number).cast("string").alias(LOOKUP[0]), F.coalesce(F.col(link), F.lit("")).alias(LOOKUP[1]), F.explode(F.transform(F.array(fields), row)).alias("x"), F.col(record).isNull().alias("_none"))
+    return rows.withColumn("x", F.when(F.col("_none"), blank).otherwise(F.col("x"))).select(*LOOKUP[:2], "x.*")
+
+
+def csv_line(columns: list[str]) -> Column:
+    """A CSV line of text columns, each quoted."""
+    return F.concat_ws(",", *(F.concat(F.lit('"'), F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in columns))
+
+
 HOTSPOT = r"^\s*(\d+)\.\s+(.+?)\s+(Hit|Miss)(?:\s+(.*?))?\s+Contract:\s*(\S+)\s+Lead:\s*(\S+)\s+(\S+)\s+"
 LAYOUTS = {"aliased": HOTSPOT + r"(\d+)\s+(\S+)\s+(\S+)", "plain": HOTSPOT + r"(https?://\S+)\s+(\S+)"}
 
@@ -153,13 +211,19 @@ def hotspots(lines: DataFrame, line: str = "line", layout: str = "lines") -> Dat
     if it isn't one, date_text has it), and what follows the entry is ignored. layout "tokens": token_hotspots()."""
     if layout == "tokens":
         return token_hotspots(lines, line)
-    text = F.col(line)
-    get = lambda layout, i: F.regexp_extract(text, LAYOUTS[layout], i)
-    aliased = text.rlike(LAYOUTS["aliased"])
-    names = ("ordinal", "category", "outcome", "subclass", "contract", "lead", "date")
-    both = lambda i: F.when(aliased, get("aliased", i)).otherwise(get("plain", i))
-    rows = lines.where(aliased | text.rlike(LAYOUTS["plain"]))
-    return rows.select(*(c for c in lines.columns if c != line), *(both(i + 1).alias(n) for i, n in enumerate(names)), both(8).alias("key"), both(9).alias("player"), F.when(aliased, get("aliased", 10)).alias("link")).withColumns({"ordinal": F.col("ordinal").cast("int"), "date_text": F.col("date"), "date": F.col("date").try_cast("date")})
+    cut = "\u0001"
+    text = F.translate(F.col(line), cut, " ")
+
+    def parts(layout: str) -> Column:
+        """What the groups matched, one piece if the line isn't of that layout."""
+        n = re.compile(LAYOUTS[layout]).groups
+        return F.split(F.regexp_replace(text, f"(?s){LAYOUTS[layout]}.*$", cut.join(f"${i + 1}" for i in range(n))), cut, -1)
+
+    rest = [c for c in lines.columns if c != line]
+    rows = lines.select(*rest, F.explode(F.transform(F.array(parts("aliased")), lambda a: F.when(F.size(a) > 1, a).otherwise(parts("plain")))).alias("_p")).where(F.size("_p") > 1)
+    names = ("ordinal", "category", "outcome", "subclass", "contract", "lead", "date_text", "key", "player")
+    out = rows.select(*rest, *(F.get("_p", F.lit(i)).alias(n) for i, n in enumerate(names)), F.get("_p", F.lit(9)).alias("link"))
+    return out.select(*rest, F.col("ordinal").cast("int").alias("ordinal"), *names[1:6], F.col("date_text").try_cast("date").alias("date"), "key", "player", "link", "date_text")
 
 
 def subjects(lines: DataFrame) -> DataFrame:
@@ -185,11 +249,12 @@ def pbn_blocks(boards: DataFrame) -> DataFrame:
     return boards.select("id", block.alias("block"))
 
 
-def write_blocks(blocks: DataFrame, path: str) -> None:
-    """Text files whose concatenation by name is in order of id."""
-    blocks.repartitionByRange("id").sortWithinPartitions("id").select("block").write.text(path)
+def write_blocks(blocks: DataFrame, path: str, mode: str = "append") -> None:
+    """Numbered text parts in order of id, with a manifest."""
+    write_parts(blocks, ["id"], "block", path, mode=mode)
 
 
-def write_lookup(df: DataFrame, path: str, columns: list[str]) -> None:
-    """CSV of stated columns, all quoted, empty for NULL."""
-    df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns)).write.csv(path, header=True, quoteAll=True, emptyValue="")
+def write_lookup(df: DataFrame, path: str, columns: tuple[str, ...] = LOOKUP, order: str = "Board_ID", mode: str = "append") -> None:
+    """CSV parts in the order of a number, all cells quoted, empty for NULL, the header once."""
+    rows = df.select(F.col(order).cast("long").alias("_order"), csv_line(list(columns)).alias("line"))
+    write_parts(rows, ["_order"], "line", path, header=",".join(columns), mode=mode)
