@@ -139,28 +139,31 @@ LOOKUP = ("Board_ID", "TinyURL", "Board_Header", "Player_S", "Player_W", "Player
 def lookup_table(df: DataFrame, number: str, link: str, record: str) -> DataFrame:
     """The LOOKUP columns as text for each row of df; all but number and link are blank where record is null or has no deal, as where a link failed."""
     fields = record_fields(F.col(record))
-    suits = lambda hand: F.array_join(F.transform(F.array(*map(F.lit, SUITS)), lambda s: F.array_join(F.transform(F.filter(hand, lambda c: c.startswith(s)), lambda c: F.substring(c, 2, 1)), "")), ".")
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  # a lambda's argument is made once
+    ranks = F.array(*map(F.lit, "AKQJT98765432"))
+    of_suit = lambda hand, s: F.array_join(F.regexp_extract_all(hand, F.lit(f"{s}([^SHDC]*)"), 1), "")
+    shown = lambda held, has: once(held, lambda h: F.array_join(F.filter(ranks, lambda r: F.contains(h, r) if has else ~F.contains(h, r)), ""))
+    suits = lambda hand: F.concat_ws(".", *(shown(of_suit(hand, s), True) for s in SUITS))
+    rest = lambda hands: F.concat_ws(".", *(shown(F.concat(*(of_suit(h, s) for h in hands)), False) for s in SUITS))
 
     def row(f: Column) -> Column:
         first = lambda tag: F.try_element_at(F.filter(f, lambda x: x["tag"] == tag), F.lit(1))["val"]
         names, deal, calls = F.split(first("pn"), ","), first("md"), _calls(f)
-        hands = F.split(F.substring(deal, F.lit(2), F.length(deal)), ",")
-        held = [F.coalesce(cards_of(F.get(hands, i)), F.array().cast("array<string>")) for i in range(3)]
-        ordered = lambda cards: F.filter(F.array(*map(F.lit, DECK)), lambda c: F.array_contains(cards, c))
-        south, west, north = map(ordered, held)
-        east = F.array_except(F.array(*map(F.lit, DECK)), F.concat(*held))
+        split = F.split(F.upper(F.substring(deal, F.lit(2), F.length(deal))), ",")
+        pbn = lambda h: F.concat(F.lit("N:"), F.concat_ws(" ", suits(h["n"]), rest([h["s"], h["w"], h["n"]]), suits(h["s"]), suits(h["w"])))
+        hands = F.struct(*(F.coalesce(F.get(split, i), F.lit("")).alias(s) for i, s in enumerate("swn")))
         cards = F.transform(F.filter(f, lambda x: x["tag"] == "pc"), lambda x: F.upper(x["val"]))
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(cards), F.lit(1)), F.lit(4)), lambda i: i <= F.size(cards))
+        tricks = lambda k: F.array_join(F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(k), F.lit(1)), F.lit(4)), lambda i: i <= F.size(k)), lambda i: F.array_join(F.slice(k, i, F.lit(4)), " ")), "|")
         noted = F.transform(F.filter(calls, lambda c: c["note"].isNotNull()), lambda c: F.concat(c["call"], F.lit("="), F.replace(c["note"], F.lit(" "), F.lit("+"))))
         says = [
             first("ah"),
             *(F.get(names, i) for i in range(4)),
             dealer(F.substring(deal, 1, 1)),
             vulnerability(first("sv")),
-            F.concat(F.lit("N:"), F.concat_ws(" ", *(suits(h) for h in (north, east, south, west)))),
+            once(hands, pbn),
             F.array_join(F.transform(calls, lambda c: F.concat(c["call"], F.when(c["alert"], "!").otherwise(""))), "-"),
             F.array_join(noted, "|"),
-            F.array_join(F.transform(starts, lambda i: F.array_join(F.slice(cards, i, F.lit(4)), " ")), "|"),
+            once(cards, tricks),
             first("mc").try_cast("int").cast("string"),
             F.col(record),
         ]
@@ -257,4 +260,4 @@ def write_blocks(blocks: DataFrame, path: str, mode: str = "append") -> None:
 def write_lookup(df: DataFrame, path: str, columns: tuple[str, ...] = LOOKUP, order: str = "Board_ID", mode: str = "append") -> None:
     """CSV parts in the order of a number, all cells quoted, empty for NULL, the header once."""
     rows = df.select(F.col(order).cast("long").alias("_order"), csv_line(list(columns)).alias("line"))
-    write_parts(rows, ["_order"], "line", path, header=",".join(columns), mode=mode)
+    write_parts(stored(rows, "lookup"), ["_order"], "line", path, header=",".join(columns), mode=mode)
