@@ -43,6 +43,24 @@ def assign_aliases(entities: DataFrame, key: str, explicit: DataFrame | None = N
     return given.join(one.select("entity"), "entity", "left_semi").withColumn("generated", F.lit(False)).unionByName(made)
 
 
+#: The columns of names in a table of records.
+NAME_COLUMNS = ("N", "S", "E", "W", "OB name", "Dec name", "Leader")
+
+
+def anonymize_table(df: DataFrame, key: str, columns: tuple[str, ...] = NAME_COLUMNS, order: Column | None = None, explicit: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """df with the names in columns (those of them that it has) replaced under a key, and the aliases. Names get theirs in the
+    order of their first appearance: by order, then by column. An empty key would make aliases that anyone can make again, so it is refused."""
+    if not key:
+        raise ValueError("the key of aliases is empty")
+    found = [c for c in columns if c in df.columns]
+    if not found:
+        raise ValueError(f"none of the columns {list(columns)} is among {df.columns}")
+    at = F.lit(0) if order is None else order
+    each = df.select(F.posexplode(F.array(*(F.col(f"`{c}`").cast("string") for c in found))).alias("i", "entity"), at.alias("o"))
+    aliases = assign_aliases(each.where("entity is not null").select("entity", F.struct("o", "i").alias("seen")), key, explicit)
+    return anonymize_columns(df, found, aliases), aliases
+
+
 def anonymize_columns(df: DataFrame, columns: list[str], aliases: DataFrame) -> DataFrame:
     """df with the names in columns replaced (in any case); empty cells stay. An error if no column is there."""
     found = [c for c in columns if c in df.columns]
@@ -50,7 +68,8 @@ def anonymize_columns(df: DataFrame, columns: list[str], aliases: DataFrame) ->
         raise ValueError(f"none of the columns {columns} is among {df.columns}")
     for c in found:
         map_ = aliases.select(F.col("entity").alias("_e"), F.col("alias").alias("_a"))
-        df = df.join(map_, F.lower(F.col(c)) == F.col("_e"), "left").withColumn(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", F.coalesce("_a", c)).otherwise(F.col(c))).drop("_e", "_a")
+        old = F.col(f"`{c}`")
+        df = df.join(map_, F.lower(old) == F.col("_e"), "left").withColumn(c, F.when(F.coalesce(old, F.lit("")) != "", F.coalesce(F.col("_a"), old)).otherwise(old)).drop("_e", "_a")
     return df
 
 

@@ -107,13 +107,17 @@ def auction_roles(opener: Column, names: dict[str, Column]) -> dict[str, Column]
 
 
 def timeline_layout(df: DataFrame, year: Column, order: list[str], cols: int = 150, gap: int = 2) -> DataFrame:
-    """df with year, x and y: items of a year row by row, years one above the other with a gap. The offsets of years are summed
-    over years, not rows; a year's items are numbered within it."""
-    rows = df.withColumn("year", year)
-    sizes = rows.groupBy("year").agg((F.ceil(F.count("*") / cols) + gap).alias("_rows"))
-    base = sizes.select("year", F.coalesce(F.sum("_rows").over(Window.orderBy("year").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # few rows
-    at = F.row_number().over(Window.partitionBy("year").orderBy(*order)) - 1
-    return rows.withColumn("_i", at).join(F.broadcast(base), "year").withColumns({"x": F.col("_i") % cols, "y": F.col("_base") + F.floor(F.col("_i") / cols)}).drop("_i", "_base")
+    """df with year, x and y: items of a year row by row, years one above the other with a gap. order tells the items of a year apart.
+
+    Items are numbered over all years by ranges and each year's first number taken off, so a year isn't one task's; what is
+    summed or broadcast is a row per year."""
+    from .keys import with_row_id
+
+    rows = with_row_id(df.withColumn("year", year), "year", *order)
+    sizes = rows.groupBy("year").agg(F.min("row_id").alias("_first"), (F.ceil(F.count("*") / cols) + gap).alias("_rows"))
+    base = sizes.select("year", "_first", F.coalesce(F.sum("_rows").over(Window.orderBy("year").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # few rows
+    rows = rows.join(F.broadcast(base), "year").withColumn("_i", F.col("row_id") - F.col("_first"))
+    return rows.withColumns({"x": F.col("_i") % cols, "y": F.col("_base") + F.floor(F.col("_i") / cols)}).drop("_i", "_base", "_first", "row_id")
 
 
 def pair_nearest(items: DataFrame, group: str, order: str, kind: str, item: str, anchor: str) -> DataFrame:

@@ -69,6 +69,15 @@ def seat_role_stats(boards: DataFrame) -> DataFrame:
     )
 
 
+def skipped_boards(boards: DataFrame) -> DataFrame:
+    """reason, n: how many boards seat_role_stats() takes, and how many it leaves out for which reason (the first that applies)."""
+    seats = "nesw"
+    seat = F.lower(F.substring(F.trim("declarer"), 1, 1))
+    plays = sum((F.coalesce(F.col(f"plays_{s}"), F.lit(0)) for s in seats), F.lit(0))
+    reasons = [("no declarer", F.coalesce(F.trim("declarer"), F.lit("")) == ""), ("bad seat", ~seat.isin(*seats)), ("no plays", plays <= 0)]
+    return reason_counts(eligibility(boards, reasons))
+
+
 def rated(counters: DataFrame, interval: str = "wilson") -> DataFrame:
     """counters with decl_rate, def_rate, their half-widths, diff, diff_se and rel_pct."""
     width = {"wilson": stats.wilson_half_width, "wald": stats.wald_half_width}[interval]
@@ -96,6 +105,28 @@ def z_vs_field(counters: DataFrame, k: int = 2) -> DataFrame:
     return out.withColumn("z", z).withColumn("p", stats.normal_cdf(F.col("z"))).withColumn("verdict", stats.verdict(F.col("z"), F.col("p"))).drop("_diff", "_se")
 
 
+def ranked(counters: DataFrame, *order: str, descending: tuple[str, ...] = ()) -> DataFrame:
+    """counters with place, from 1: by the columns given (those in descending from the highest), then entity. Sorted by ranges, so no
+    task sees all. Nulls stand last."""
+    from .keys import with_row_id
+
+    names, out = [], counters
+    for i, c in enumerate(order):
+        out = out.withColumns({f"_null{i}": F.col(c).isNull(), f"_by{i}": -F.col(c) if c in descending else F.col(c)})
+        names += [f"_null{i}", f"_by{i}"]
+    return with_row_id(out, *names, "entity").withColumnRenamed("row_id", "place").drop(*names)
+
+
+def most_deals(counters: DataFrame) -> DataFrame:
+    """All entities with their place by deals."""
+    return ranked(counters, "deals", descending=("deals",))
+
+
+def flagged_by_p(tested: DataFrame, least_deals: int = 50, below: float = -0.05, p: float = 0.20) -> DataFrame:
+    """flagged() with place, the smallest p first."""
+    return ranked(flagged(tested, least_deals, below, p), "p")
+
+
 def flagged(tested: DataFrame, least_deals: int = 50, below: float = -0.05, p: float = 0.20) -> DataFrame:
     """Entities that do better in the second role than the field would have it."""
     return tested.where((F.col("deals") >= least_deals) & (F.col("diff") < below) & (F.col("p") < p))
@@ -176,6 +207,13 @@ def error_matrix(errors: DataFrame, row: str, column: str, values: list) -> Data
     return errors.groupBy(row).agg(*(F.count_if(F.col(column) == v).alias(f"err_{v}") for v in values), F.count("*").alias("total"))
 
 
+def error_average(errors: DataFrame, row: str, board: str, dummy: Column, n: Column) -> DataFrame:
+    """row, total errors, boards on which it wasn't dummy, and their quotient to 2 places (NULL if it always was)."""
+    each = errors.groupBy(row, board).agg(F.sum(n).alias("_n"), F.min(dummy.cast("int")).alias("_dummy"))
+    out = each.groupBy(row).agg(F.sum("_n").cast("long").alias("total"), F.count_if(F.col("_dummy") == 0).alias("boards"))
+    return out.withColumn("average", F.round(F.col("total") / F.nullif(F.col("boards"), F.lit(0)), 2))
+
+
 def level_match(computed: Column, given: Column) -> Column:
     """Whether both agree, NULL where nothing was given (null or negative)."""
     return F.when(given >= 0, computed == given)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.links import link_key, to_https
+from ..functions.links import link_key, percent_decode, to_https
 from ..functions.text import alternation
 from . import alias, rates
 from .keys import dedupe_by_key
@@ -59,6 +59,26 @@ def report_tables(boards: DataFrame, hotspots: DataFrame, key: str) -> dict[str,
     return {"boards": tag_boards(boards, hotspots, key), "hotspots": hotspots, "categories": categories(hotspots), "summary": summary.crossJoin(boards.agg(F.count("*").alias("boards")))}
 
 
+def cardplay_table(lookup: DataFrame, boards: DataFrame) -> DataFrame:
+    """board_id, cardplay, n_tricks and board_row of a lookup's rows that have plays; board_row is NULL for boards that the report hasn't."""
+    rows = lookup.where(F.coalesce("cardplay", F.lit("")) != "").select("board_id", "cardplay", F.size(F.split("cardplay", r"\|")).alias("n_tricks"))
+    first = boards.groupBy("board_id").agg(F.min("row_id").alias("board_row"))
+    return rows.join(first, "board_id", "left")
+
+
+def mapping_sheet(board_map: DataFrame, boards: DataFrame, anonymous: bool = True) -> DataFrame:
+    """doc_board, link, dataset_board and board_row of a mapping table (text columns doc_board, dataset_board, link).
+
+    Numbers come out as such, other text beside them as doc_text and dataset_text. anonymous: the table's own links, escapes
+    decoded; else the boards' links, by number."""
+    number = lambda c: F.trim(F.col(c)).try_cast("long")
+    rows = board_map.select(number("doc_board").alias("doc_board"), F.when(number("doc_board").isNull(), F.trim("doc_board")).alias("doc_text"), number("dataset_board").alias("dataset_board"), F.when(number("dataset_board").isNull(), F.trim("dataset_board")).alias("dataset_text"), F.nullif(F.trim("link"), F.lit("")).alias("_own"))
+    first = boards.groupBy(F.col("board_id").alias("dataset_board")).agg(F.min_by(F.struct("row_id", "link"), "row_id").alias("_b"))
+    out = rows.join(first, "dataset_board", "left")
+    link = percent_decode(F.col("_own")) if anonymous else F.col("_b.link")
+    return out.select("doc_board", "doc_text", link.alias("link"), "dataset_board", "dataset_text", F.col("_b.row_id").alias("board_row"))
+
+
 def player_stats_table(counters: DataFrame, k: int = 2) -> DataFrame:
     """rated() of every entity and of FIELD, all but the k with most deals, to 4 places."""
     field = rates.field_total(counters, k).withColumn("entity", F.lit("FIELD"))
@@ -107,7 +127,7 @@ def coerce_cells(df: DataFrame, numbers: list[str], dates: list[str] = ()) -> Da
 
 def seeded_aliases(spark: SparkSession, seed: str, n: int) -> DataFrame:
     """n aliases that a seed gives: position and alias, repeats numbered."""
-    names = spark.range(n).select(F.concat(F.lit(f"{seed}-"), F.col("id")).alias("entity"), F.col("id").alias("seen"))
+    names = spark.range(n).select(F.lower(F.concat(F.lit(f"{seed}-"), F.col("id"))).alias("entity"), F.col("id").alias("seen"))
     return alias.assign_aliases(names, seed).join(names, "entity").select(F.col("seen").alias("position"), "alias")
 
 
@@ -132,17 +152,29 @@ def replace_links_in_text(lines: DataFrame, line: str, known: DataFrame, pattern
     return rows.withColumn(line, F.when(F.col("_link") == "", F.col(line)).otherwise(new)).drop("_link", *known.columns)
 
 
-def anonymize_case(table: DataFrame, columns: list[str], order: Column, key: str, reports: DataFrame, line: str, explicit: dict[str, str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The table with its names replaced, report lines with the given names replaced in place, and the aliases.
+def replace_links(df: DataFrame, column: str, known: DataFrame, on_missing: str | None = None) -> DataFrame:
+    """df with the links in a column replaced by the board of their key; empty cells stay, unknown links too unless on_missing says what stands for them.
+
+    known: link_key, board; of several boards of a key the smallest."""
+    one = known.groupBy(F.col("link_key").alias("_k")).agg(F.min(F.col("board").cast("string")).alias("_b"))
+    old = F.col(f"`{column}`")
+    rows = df.join(one, link_key(old) == F.col("_k"), "left")
+    new = F.coalesce("_b", old if on_missing is None else F.lit(on_missing))
+    return rows.withColumn(column, F.when(F.coalesce(old, F.lit("")) != "", new).otherwise(old)).select(*df.columns)
+
+
+def anonymize_case(table: DataFrame, columns: list[str], order: Column, key: str, reports: DataFrame, line: str, explicit: dict[str, str], known: DataFrame | None = None, pattern: str = r"https?://tinyurl\.com/\S+") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The table with its names replaced, report lines with the given names replaced in place and, if known says which, their links
+    by boards, and the aliases.
 
-    Names get their aliases in the order in which they first appear in the table; order must sort its rows.
-    """
+    Names get their aliases in the order in which they first appear in the table; order must sort its rows. Links go before names, so
+    that a name in a link isn't taken for one; targets of links have aliases already."""
     spark = table.sparkSession
-    names = table.select(F.posexplode(F.array(*(F.col(c).cast("string") for c in columns))).alias("i", "entity"), order.alias("o")).select("entity", F.struct("o", "i").alias("seen")).where("entity is not null")
     given = spark.createDataFrame(list(explicit.items()), "entity string, alias string") if explicit else None
-    aliases = alias.assign_aliases(names, key, given)
-    texts = reports.withColumn(line, alias.replace_aligned(F.col(line), explicit)) if explicit else reports
-    return alias.anonymize_columns(table, columns, aliases), texts, aliases
+    out, aliases = alias.anonymize_table(table, key, tuple(columns), order, given)
+    texts = reports if known is None else replace_links_in_text(reports, line, known, pattern)
+    texts = texts.withColumn(line, alias.replace_aligned(F.col(line), explicit)) if explicit else texts
+    return out, texts, aliases
 
 
 def has_term(text: Column, terms: list[str]) -> Column:

@@ -143,6 +143,14 @@ _TESTED = f"""g as {_rated('f')}, r as {_rated('c')},
 _VERDICT = """case when z is null then 'no data' else (case when p < 0.001 then 'p<0.001' when p < 0.01 then 'p<0.01' when p < 0.05 then 'p<0.05' else 'not significant' end)
     || ' ' || (case when z < -1.96 then 'low' when z > 1.96 then 'normal' else 'inconclusive' end) end"""
 _PAIRS = "m as (select distinct l_orderkey as g, l_suppkey as e from lineitem), pairs as (select x.e as a, y.e as b, count(*) as n from m x join m y on x.g = y.g and x.e < y.e group by all)"
+#: In order of (p, entity) each free one takes its best free partner; taken lists both, pair after pair.
+_LABELS = f"""{_counters(_SUPPLIERS)}, {_FIELD}, {_TESTED}, {_PAIRS}, w as (select entity, deals, p, row_number() over (order by p, entity) as i from z1 where deals >= 50 and diff < -0.05 and p < 0.6),
+    e as (select a, b, n from pairs union all select b, a, n from pairs), x as (select u.entity, u.i, u.deals, u.p, coalesce(list(e.b order by n desc, e.b) filter (v.entity is not null and n >= 0.02 * least(u.deals, v.deals)), []) as near
+        from w u left join e on e.a = u.entity left join w v on v.entity = e.b group by all),
+    greedy(i, taken) as (select 0::bigint, []::bigint[] union all
+        select y.i, case when list_contains(taken, y.entity) or len(free) = 0 then taken else list_concat(taken, [y.entity, free[1]]) end from (select x.i, x.entity, taken, list_filter(near, lambda b: not list_contains(taken, b)) as free from greedy join x on x.i = greedy.i + 1) y),
+    z as (select taken from greedy order by i desc limit 1), placed as (select unnest(taken) as entity, unnest(range(len(taken))) // 2 + 1 as partner_no from z),
+    labelled as (select w.entity, deals, round(p, 6) as p, partner_no::int as partner_no from w left join placed using (entity))"""
 _LEVEL = "floor(value) = case when event_type <> 'signup' then floor(value + 0.25) end"
 
 SQL = {
@@ -157,6 +165,8 @@ SQL = {
         select entity_a, entity_b, round(decl_gap, 6) as decl_gap, round(def_gap, 6) as def_gap, round(abs(decl_gap) - abs(def_gap), 6) as convergence,
         case when abs(decl_gap) - abs(def_gap) > 1 then 'narrows' when abs(decl_gap) - abs(def_gap) < -1 then 'widens' else 'similar' end as reading from x""",
     "pair_counts": f"with {_PAIRS} select * from pairs",
+    "partner_labels": f"with recursive {_LABELS} select * from labelled",
+    "partnered_share": f"with recursive {_LABELS} select count(partner_no) as partnered, count(*) filter (partner_no is null) as alone from labelled",
     "eligibility_reasons": f"select case {' '.join(f'when {t} then {n!r}' for n, t in REASONS)} else 'eligible' end as reason, count(*) as n from orders group by 1",
     "error_matrix": "select user_id, " + ", ".join(f"count(*) filter (event_type = '{v}') as err_{v}" for v in ("view", "signup", "error", "click", "purchase")) + ", count(*) as total from events where value > 50 group by user_id",
     "errors_by_user": "select user_id, count(*) as n_errors, sum(floor(greatest(value - 50, 0)))::bigint as cost from events where floor(greatest(value - 50, 0)) > 0 group by user_id",

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.links import link_key
-from ..functions.text import cards_of, dealer, vulnerability
+from ..functions.text import cards_of, dealer, short_name, vulnerability
+from ..operators.keys import with_row_id
 from ..streaming.tables import stored
 from .lines import RANGE_BYTES, counted_ranges, numbered_lines
 from .parts import write_parts
@@ -245,6 +246,17 @@ def alias_pairs(lines: DataFrame, line: str = "line") -> DataFrame:
     return lines.where((text != "") & ~text.startswith("#") & (at > 1)).select(F.trim(F.substring(text, F.lit(1), at - 1)).alias("entity"), F.trim(F.substring(text, at + 1, F.length(text))).alias("alias"))
 
 
+def alias_list(df: DataFrame, text: str) -> DataFrame:
+    """entity, alias, place of texts a=b, c=d, ...: split at commas and at the first =, the longest entity first (then by text).
+
+    Pairs without an entity or alias are left out; of several aliases of an entity the smallest counts."""
+    from ..operators.rates import ranked
+
+    parts = df.select(F.explode(F.split(F.col(text), ",")).alias("line"))
+    pairs = alias_pairs(parts).where("alias <> ''").groupBy("entity").agg(F.min("alias").alias("alias"))
+    return ranked(pairs.withColumn("_size", F.length("entity")), "_size", descending=("_size",)).select("entity", "alias", "place")
+
+
 def pbn_blocks(boards: DataFrame) -> DataFrame:
     """id, block: a board's tags and commentary as text, for export in order of id."""
     tag = lambda name, c: F.concat(F.lit(f'[{name} "'), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"]'))
@@ -252,6 +264,29 @@ def pbn_blocks(boards: DataFrame) -> DataFrame:
     return boards.select("id", block.alias("block"))
 
 
+def case_blocks(boards: DataFrame, lead_categories: tuple[str, ...] = ("Lead", "Opening Lead")) -> DataFrame:
+    """id, board, block: a board's tags in the standard order, its calls four a line, the first card where the lead is meant, and a
+    commentary. Boards are numbered in order of id.
+
+    boards: id, date, south, west, north, east (names), dealer, vul, deal, contract, calls (array), category, subclass, lead,
+    player, declarer. NULL fields are empty; a board without calls has no auction, one without a declarer no first card."""
+    from ..operators.play import lines_of, seat_add
+
+    rows = with_row_id(boards, "id").withColumnRenamed("row_id", "board")
+    tag = lambda name, c: F.concat(F.lit(f'[{name} "'), F.coalesce(c.cast("string"), F.lit("")), F.lit('"]'))
+    empty = F.lit("")
+    day = F.replace(F.col("date").cast("string"), F.lit("-"), F.lit("."))
+    people = [tag(s.title(), short_name(F.col(s))) for s in ("west", "north", "east", "south")]
+    auction = F.when(F.size("calls") > 0, F.concat(tag("Auction", F.col("dealer")), F.lit("\n"), lines_of(F.col("calls"))))
+    leads = F.col("category").isin(*lead_categories) & (F.coalesce("lead", F.lit("")) != "") & F.col("declarer").isin("N", "E", "S", "W")
+    first = F.when(leads, F.concat(tag("Play", seat_add(F.col("declarer"), 1)), F.lit("\n"), F.col("lead"), F.lit(" - - -")))
+    spot = F.when(F.col("category") != "", F.concat(F.lit("<b>Hotspot:</b> "), F.col("category"), F.when(F.coalesce("subclass", F.lit("")) != "", F.concat(F.lit(" / "), F.col("subclass"))).otherwise("")))
+    says = [F.concat(F.lit(f"<b>{name.title()}:</b> "), F.coalesce(F.col(name), F.lit(""))) for name in ("contract", "lead", "player")]
+    said = F.concat_ws("\n", spot, F.concat_ws("  ", *says), F.concat(F.lit("<b>Date:</b> "), F.col("date").cast("string")))
+    tags = [tag("Event", empty), tag("Site", empty), tag("Date", day), tag("Board", F.col("board")), *people, tag("Dealer", F.col("dealer")), tag("Vulnerable", F.col("vul")), tag("Deal", F.col("deal")), tag("Scoring", empty), tag("Declarer", empty), tag("Contract", F.col("contract")), tag("Result", empty)]
+    return rows.select("id", "board", F.concat_ws("\n", *tags, auction, first, F.concat(F.lit("{"), said, F.lit("}")), F.lit("")).alias("block"))
+
+
 def write_blocks(blocks: DataFrame, path: str, mode: str = "append") -> None:
     """Numbered text parts in order of id, with a manifest."""
     write_parts(blocks, ["id"], "block", path, mode=mode)
