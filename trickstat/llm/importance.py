@@ -155,3 +155,23 @@ def resampled(docs: DataFrame, target: DataFrame, percent: int = 5, least_words:
     n = rows.where(~F.col("_out")).count() * percent // 100
     ranked = with_row_id(rows, "_out", "_low", "doc_id", "n_features")
     return ranked.select("doc_id", "n_features", "weight", "score", F.when(~F.col("_out") & (F.col("row_id") <= n), F.col("row_id")).alias("rank"))
+
+
+#: The checksum byte by byte, with its table made from the polynomial.
+SQL = r"""
+    with t as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+    d as (select row_number() over () as k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+    b as (select regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+    each as (select k, w, unnest(range(1, len(w) + 1)) as i from d union all select -1, w, unnest(range(1, len(w) + 1)) from b),
+    f as (select k, w[i] as f from each union all select k, w[i] || ' ' || w[i + 1] from each where i + 1 <= len(w) union all select k, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] from each where i + 2 <= len(w)),
+    u as (select f, regexp_replace(hex(encode(f)), '(..)', '\1,', 'g')[:-2] as x from (select distinct f from f)),
+    c as (select f, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(x, ','), lambda h: ('0x' || h)::bigint)), lambda c, h: xor(c >> 8, t[(xor(c, h) & 255) + 1])), 4294967295) % 10000 as bucket from u, t),
+    n as (select k, bucket, count(*) as n from f join c using (f) group by 1, 2),
+    g as (select bucket, coalesce(sum(n) filter (k >= 0), 0)::double as s, coalesce(sum(n) filter (k < 0), 0)::double as t from n group by 1),
+    a as (select sum(s) as s_all, sum(t) as t_all from g),
+    gain as (select bucket, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::bigint as gain from g, a),
+    w as (select k, sum(n)::bigint as n_features, sum(n * gain)::bigint as weight from n join gain using (bucket) where k >= 0 group by 1),
+    r as (select k, doc_id, len(w) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || coalesce(doc_id::varchar, ''))[:8])::bigint + 0.5::double) / 4294967296)))::bigint as score
+        from d left join w using (k)),
+    o as (select k, row_number() over (order by score desc, doc_id nulls first, n_features) as rank from r where n_words >= 20)
+    select doc_id, n_features, weight, score, case when rank <= 5 * (select count(*) from o) // 100 then rank end as rank from r left join o using (k)"""

@@ -93,6 +93,7 @@ SQL: dict[str, str] = {
     "op1_lm_scoring": lm_scoring.SQL,
     "op4_mixing_weights": mixing.mixed_sql(),
     "op11_hard_negatives": hard_negatives.SQL,
+    "op12_importance_resampling": importance.SQL,
     "op8_warc": """
         with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as d from pages),
         f as (select d, min(page_id) as first from p where n >= 100 group by d)
