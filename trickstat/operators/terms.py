@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..streaming.tables import stored
 from .alias import fuzzy_tag
 
 AUTOMATON_TERMS = 200_000
@@ -233,14 +234,21 @@ def select_spans(spans: DataFrame, key: str, first: str = "longest") -> DataFram
 def fuzzy_spans(words: DataFrame, key: str, terms: DataFrame, share: float = 0.75, first: str = "longest") -> DataFrame:
     """key, start, end, term: terms of one or more words among a text's words (key, pos, token), word by word under fuzzy_match().
 
-    Distinct words meet distinct words of terms by fuzzy_tag(), an equi-join. A word that matches word j of a term says that the term
-    may start j places before; a span is where all of its words say so. Of overlapping spans the longest counts, then
+    Distinct words meet distinct words of terms by fuzzy_tag(), an equi-join. Each term is looked for from the word of it that matches fewest
+    of the texts' words, so a common word makes no candidates; the others are then compared place by place. key and pos tell words apart.
+    Of overlapping spans the longest counts, then
     the leftmost, then the smaller term (first "leftmost": the leftmost, then the longest). Lengths are in words."""
     each = terms.select("term").where(F.trim("term") != "").distinct().withColumn("_w", F.split(F.trim(F.lower("term")), r"\s+"))
     parts = each.select("term", F.size("_w").alias("n"), F.posexplode("_w").alias("j", "part"))
-    pairs = fuzzy_tag(words.select("token"), parts.select(F.col("part").alias("term")), share).withColumnRenamed("term", "part")
-    hits = words.join(pairs, "token").join(parts, "part").select(key, (F.col("pos") - F.col("j")).alias("start"), "term", "n")
-    spans = hits.groupBy(key, "start", "term", "n").agg(F.count("*").alias("same")).where("same = n")
+    pairs = stored(fuzzy_tag(words.select("token"), parts.select(F.col("part").alias("term")), share).withColumnRenamed("term", "part"), "pairs")
+    often = words.groupBy("token").agg(F.count("*").alias("_often")).join(pairs, "token").groupBy("part").agg(F.sum("_often").alias("_often"))
+    rarest = parts.join(often, "part").groupBy("term", "n").agg(F.count("*").alias("known"), F.min_by(F.struct("j", "part"), F.struct("_often", "j")).alias("_r")).where("known = n")  # each part occurs at all
+    rarest = rarest.select("term", "n", F.col("_r.j").alias("_at"), F.col("_r.part").alias("part"))
+    from_ = words.join(pairs, "token").join(rarest, "part").select(key, (F.col("pos") - F.col("_at")).alias("start"), "term", "n", "_at").where("start >= 0")
+    others = from_.where("n > 1").join(parts.select("term", "j", "part"), "term").where("j <> _at").withColumn("pos", F.col("start") + F.col("j"))
+    fit = others.join(words.select(key, "pos", "token"), [key, "pos"]).join(pairs, ["token", "part"], "left_semi")
+    several = fit.groupBy(key, "start", "term", "n").agg(F.count("*").alias("same")).where("same = n - 1").drop("same")
+    spans = from_.where("n = 1").select(key, "start", "term", "n").unionByName(several)
     return select_spans(spans.select(key, "start", (F.col("start") + F.col("n")).alias("end"), "term"), key, first)
 
 
