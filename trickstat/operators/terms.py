@@ -139,24 +139,24 @@ def _by_automaton(df: DataFrame, text: str, rows: DataFrame, ignore_case: bool)
 
 
 def _filter(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths of terms, and a bit for each hash; tasks send the bits they set, FILTER_BITS / 8 bytes at most each."""
+    """Lengths of terms, and a bit for each hash. Bits travel in words of 64, so what meets is FILTER_BITS / 64 rows at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, lengths = np.zeros(FILTER_BITS // 8, np.uint8), set()
+        bits, lengths = np.zeros(FILTER_BITS // 64, np.uint64), set()
         for batch in batches:
             for term in batch.column("term").to_pylist():
                 n, value = next(_hashes(term, np.array([len(term)])))
                 lengths.add(n)
                 at = int(value[0]) % FILTER_BITS
-                bits[at >> 3] |= 1 << (at & 7)
+                bits[at >> 6] |= np.uint64(1 << (at & 63))
         some = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, np.full(len(lengths), -1))), pa.array(np.append(bits[some].astype(np.int64), sorted(lengths)).astype(np.int64))], ["at", "value"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, np.full(len(lengths), -1)).astype(np.int64)), pa.array(np.append(bits[some].view(np.int64), np.array(sorted(lengths), np.int64)))], ["at", "value"])
 
     parts = rows.select("term").mapInArrow(run, "at long, value long")
     got = parts.where("at >= 0").groupBy("at").agg(F.bit_or("value").alias("value")).unionByName(parts.where("at < 0").distinct()).toArrow()
     at, value = got.column("at").to_numpy(), got.column("value").to_numpy()
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    bits[at[at >= 0]] = value[at >= 0]
+    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    bits[at[at >= 0]] = value[at >= 0].view(np.uint64)
     return np.sort(value[at < 0]), bits
 
 
@@ -173,8 +173,8 @@ def _by_join(df: DataFrame, key: str, text: str, rows: DataFrame, ignore_case: b
                     continue
                 t = folded(t) if ignore_case else t
                 for n, value in _hashes(t, lengths):
-                    at = (value % np.uint64(FILTER_BITS)).astype(np.int64)
-                    places = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                    at = value % np.uint64(FILTER_BITS)
+                    places = np.flatnonzero(bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1))
                     if len(places):
                         names = pa.array([t[p : p + n] for p in places.tolist()], pa.string())
                         yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(np.full(len(places), i))), pa.array(places.astype(np.int32)), pa.array(np.full(len(places), n, np.int32)), names], ["_key", "start", "n", "term"])
