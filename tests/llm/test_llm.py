@@ -400,22 +400,59 @@ def test_suffix_dedup(spark, docs, odd, nothing, least):
     assert suffix_dedup.deduplicated(nothing).count() == 0
 
 
-def test_maximal_repeats(spark):
+def plain_maximal_repeats(docs, least):
+    """{length, places} of each maximal repeat, by growing sets of places a byte at a time."""
+    data = {i: (t or "").encode() for i, t in docs}
+    out, open_ = set(), defaultdict(set)
+    for i, t in data.items():
+        for at in range(len(t) - least + 1):
+            open_[t[at : at + least]].add((i, at))
+    todo = [(least, g) for g in open_.values() if len(g) > 1]
+    while todo:
+        n, group = todo.pop()
+        front = {data[i][at - 1] if at else (i, at) for i, at in group}
+        after = defaultdict(set)
+        for i, at in group:
+            after[data[i][at + n] if at + n < len(data[i]) else (i, at)].add((i, at))
+        if len(front) > 1 and len(after) > 1:
+            out.add((n, frozenset(group)))
+        todo += [(n + 1, g) for g in after.values() if len(g) > 1]
+    return out
+
+
+def found_repeats(docs, *args):
+    found = defaultdict(list)
+    for r in suffix_dedup.maximal_repeats(docs, *args).collect():
+        found[r.repeat_id, r.length].append((r.doc_id, r.start))
+    assert all(len(set(g)) == len(g) for g in found.values())
+    out = {(n, frozenset(g)) for (_, n), g in found.items()}
+    assert len(out) == len(found)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_maximal_repeats_at_random(spark, seed):
+    rnd = random.Random(seed)
+    pieces = ["".join(rnd.choice("abé") for _ in range(rnd.choice((20, 45, 70, 130)))) for _ in range(6)]
+    docs = [(i, "".join(rnd.choice((*pieces, "x", "yz", "é")) for _ in range(rnd.randint(1, 9)))) for i in range(24)]
+    docs += [(30, "ab" * 90), (31, "ab" * 70), (32, None), (33, ""), (34, docs[0][1]), (35, docs[0][1] + "!")]
+    want = plain_maximal_repeats(docs, 40)
+    assert len(want) > 30 and max(n for n, _ in want) > 150
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumns({n: F.lit("mine") for n in ("mark", "class", "piece", "node")})
+    assert found_repeats(frame.repartition(3), 40, 8) == want
+    assert found_repeats(frame.unionByName(frame.limit(5)), 40) == want  # a repeated row is one document
+
+
+def test_maximal_repeats(spark, nothing):
     rnd = random.Random(4)
-    passage = "".join(rnd.choice("abcdefgh") for _ in range(110))
-    docs = spark.createDataFrame([(i, f"{c}{passage}{c.upper()}") for i, c in enumerate("xyz")], "doc_id long, text string")
-    groups = defaultdict(set)
-    for r in suffix_dedup.maximal_repeats(docs).collect():
-        groups[r.repeat_id, r.length].add((r.doc_id, r.start))
-    assert groups and all({d for d, _ in g} == {0, 1, 2} for g in groups.values())
-    assert min(s for g in groups.values() for _, s in g) == 1 and max(s + n for (_, n), g in groups.items() for _, s in g) == 111
-    long = "".join(rnd.choice("abcdefgh") for _ in range(400))
-    more = [(i, f"{i}-{passage}+{i}") for i in (0, 1, 2, 3, 9)] + [(i, f"<{i}>{long}</{i}>") for i in (4, 5)] + [(6, None), (7, "")]
-    for parts in (1, 3):
-        found = defaultdict(set)
-        for r in suffix_dedup.maximal_repeats(spark.createDataFrame(more, "doc_id long, text string").repartition(parts)).collect():
-            found[r.repeat_id, r.length].add((r.doc_id, r.start))
-        assert sorted((n, sorted(g)) for (_, n), g in found.items()) == [(112, [(i, 1) for i in (0, 1, 2, 3, 9)]), (403, [(4, 2), (5, 2)])]  # with the marks around them
+    a, b = ("".join(rnd.choice("abcdefgh") for _ in range(300)) for _ in "ab")
+    docs = spark.createDataFrame([(1, f"1{a}{b}!"), (2, f"2{a}{b}?"), (3, f"3{a}Z")], "doc_id long, text string")
+    assert found_repeats(docs) == {(600, frozenset({(1, 1), (2, 1)})), (300, frozenset({(1, 1), (2, 1), (3, 1)}))}
+    long = "".join(rnd.choice("abcdefgh") for _ in range(suffix_dedup.BLOCK + 5_000))
+    docs = [(None, f"<{long}>"), (5, f"({long})"), (5, f"[{long[700:]}]")]  # over blocks; a null id; two texts of one id
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    assert found_repeats(docs) == {(len(long), frozenset({(None, 1), (5, 1)})), (len(long) - 700, frozenset({(None, 701), (5, 701), (5, 1)}))}
+    assert suffix_dedup.maximal_repeats(nothing).count() == 0
     assert suffix_dedup.deduplicated(spark.createDataFrame([(1, "ab" * 400), (2, "ab" * 300)], "doc_id long, text string"), 300).agg(F.sum("n_removed")).first()[0] == 798 + 600
     scan = suffix_dedup.interval_scan([0, 5, 7, 5, 0], [3, 1, 2, 0, 9])
     assert scan == [5, 5, 7, 0, 0]

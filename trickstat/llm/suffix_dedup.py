@@ -9,23 +9,29 @@ Where contexts of a key meet, a suffix array of their windows is built by prefix
 windows counts only if it is left-diverse (two of its members have different bytes before them, or one has no
 byte before it); the others are part of a longer repeat. Over the members of such classes, in suffix order
 with common-prefix lengths, a stack scan finds the tree of common-prefix intervals. Each interval that is
-left-diverse is a maximal repeat with all its occurrences: maximal_repeats(). An occurrence that is not the
-first of its interval is removed for the interval's length: removed_runs(), deduplicated().
+left-diverse is a repeat that can't be extended to the left. An occurrence that is not the first of its interval
+is removed for the interval's length: removed_runs(), deduplicated().
 
-A context ends where its windows end, so a long repeat is found in parts, one per minimizer, which together cover it;
-maximal_repeats() joins them. Very long texts are gone through in blocks that overlap by a window. Order of occurrences: doc_id (null before all others), then start. Rows with equal doc_id and text
-are one document and get the same result; with equal doc_id and other text they are documents of their own.
-A null text is empty. An empty table gives no rows.
+A context ends where its windows end, so a long repeat is removed in parts, one per minimizer, which together cover it.
+maximal_repeats() goes beyond: the members of left-diverse classes are the places where maximal repeats may begin; what
+follows them is sorted by Spark as far as it is shared, and one scan over it reports each interval whole, with all occurrences.
+
+Very long texts are gone through in blocks that overlap by a window. Order of occurrences: doc_id (null before all
+others), then start. Rows with equal doc_id and text are one document and get the same result; with equal doc_id and
+other text they are documents of their own. A null text is empty. An empty table gives no rows. Further columns are left
+out.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import _BYTE, by_bucket, mix, pack, powers, slices, spans_hash, unpack
@@ -35,6 +41,8 @@ LEAST = 100
 KGRAM = 20
 BLOCK = 1 << 20
 BLOOM_BITS = 1 << 27
+CHUNK = 1 << 12
+SPAN = 1 << 14
 _POSITION = np.uint64(BLOCK * 2 - 1)
 NO_ID = -(1 << 63)
 
@@ -154,7 +162,7 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 def contexts(docs: DataFrame, filter_: np.ndarray, least: int = LEAST, every: bool = False) -> DataFrame:
     """bucket, payload: the contexts whose key passes the filter, and the runs of those that a task has seen before in itself (none
-    with every: then those go as contexts too)."""
+    with every: then those go as contexts too, all with the byte before them, 256 where a text begins)."""
     count = buckets(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(filter_)
 
@@ -164,7 +172,7 @@ def contexts(docs: DataFrame, filter_: np.ndarray, least: int = LEAST, every: bo
         size = 0
 
         def out() -> pa.RecordBatch:
-            key, doc, mark, start, windows, content = (np.concatenate([h[i] for h in held]) for i in range(6))
+            key, doc, mark, start, windows, content, front = (np.concatenate([h[i] for h in held]) for i in range(7))
             sizes = windows.astype(np.int64) + least - 1
             at = np.concatenate(([0], np.cumsum(sizes)))
             code = spans_hash(content, at[:-1], at[1:])
@@ -185,7 +193,7 @@ def contexts(docs: DataFrame, filter_: np.ndarray, least: int = LEAST, every: bo
                 rows, runs = fresh[by[first[b] : first[b + 1]]], run_by[run_first[b] : run_first[b + 1]]
                 if len(rows) or len(runs):
                     full.append(b)
-                    payloads.append(pack(key[rows], doc[rows], mark[rows], start[rows], windows[rows], content[_spread(at[rows], sizes[rows])], names[run_doc[runs], 0], names[run_doc[runs], 1], run_start[runs], run_end[runs]))
+                    payloads.append(pack(key[rows], doc[rows], mark[rows], start[rows], windows[rows], content[_spread(at[rows], sizes[rows])], names[run_doc[runs], 0], names[run_doc[runs], 1], run_start[runs], run_end[runs], *([front[rows]] if every else [])))
             return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(payloads, pa.binary())], ["bucket", "payload"])
 
         for batch in batches:
@@ -197,7 +205,8 @@ def contexts(docs: DataFrame, filter_: np.ndarray, least: int = LEAST, every: bo
                     continue
                 of = np.searchsorted(offsets, low, "right") - 1
                 doc = part.column("doc_id").fill_null(NO_ID).to_numpy()[of]
-                held.append([key, doc, part.column("mark").to_numpy()[of], low - offsets[of], (high - low + 1).astype(np.uint32), data[_spread(low, high - low + least)]])
+                front = np.where(low > offsets[of], data[low - 1].astype(np.uint16), np.uint16(256))
+                held.append([key, doc, part.column("mark").to_numpy()[of], low - offsets[of], (high - low + 1).astype(np.uint32), data[_spread(low, high - low + least)], front])
                 size += len(held[-1][5])
                 if size > 5_000_000:
                     yield out()
@@ -229,22 +238,20 @@ def windows_order(content: np.ndarray, places: np.ndarray, least: int) -> np.nda
     return _ranks(rank[places], rank[places + least - size])
 
 
-def interval_scan(prefix: list[int], order: list[int], groups: list[tuple[int, int, int]] | None = None) -> list[int]:
+def interval_scan(prefix: list[int], order: list[int]) -> list[int]:
     """Stack scan over neighbours in suffix order. prefix[i]: common length of i - 1 and i (0 parts them); order: which
     occurrence is earlier. Returns for each suffix the depth of the deepest interval in which it isn't the first, 0 if
-    it is the first everywhere. groups, if given, gets (first, last, depth) of every interval."""
+    it is the first everywhere."""
     lost = [0] * len(order)
-    stack: list[list[int]] = []  # depth, first suffix in text order, left end
+    stack: list[list[int]] = []  # depth, first suffix in text order
     for i in range(1, len(order) + 1):
         depth = prefix[i] if i < len(order) else 0
-        best, left = i - 1, i - 1
+        best = i - 1
         while stack and stack[-1][0] > depth:
-            top, other, left = stack.pop()
+            top, other = stack.pop()
             if order[other] < order[best]:
                 best, other = other, best
             lost[other] = top
-            if groups is not None:
-                groups.append((left, i - 1, top))
         if depth:
             if stack and stack[-1][0] == depth:
                 other = stack[-1][1]
@@ -253,62 +260,61 @@ def interval_scan(prefix: list[int], order: list[int], groups: list[tuple[int, i
                 lost[other] = depth
                 stack[-1][1] = best
             else:
-                stack.append([depth, best, left])
+                stack.append([depth, best])
     return lost
 
 
-def _scan(key: np.ndarray, doc: np.ndarray, mark: np.ndarray, start: np.ndarray, windows: np.ndarray, content: np.ndarray, least: int, groups: bool = False):
-    """Of distinct contexts: (context, offset in it, length) of what is removed, and the maximal repeats if asked for."""
-    sizes = windows + least - 1
-    base = np.concatenate(([0], np.cumsum(sizes)))
-    of = np.repeat(np.arange(len(key)), windows)
+def _classes(windows: np.ndarray, content: np.ndarray, least: int, front: np.ndarray | int = 256) -> tuple[np.ndarray, ...]:
+    """Of all windows in classes of several that are left-diverse: rank of the class, place in content, context, byte before
+    (front: that of each context, 256 for none); and where contexts begin in content."""
+    base = np.concatenate(([0], np.cumsum(windows + least - 1)))
+    of = np.repeat(np.arange(len(windows)), windows)
     place = _spread(base[:-1], windows)
     rank = windows_order(content, place, least)
     times = np.bincount(rank)
     pick = np.flatnonzero(times[rank] > 1)
     rank, place, of = rank[pick], place[pick], of[pick]
-    if not len(pick):
-        return (np.zeros(0, np.int64),) * 3, []
-    before = np.where(place > base[of], content[place - 1].astype(np.int64), 256)
+    before = np.where(place > base[of], content[place - 1].astype(np.int64), front[of] if isinstance(front, np.ndarray) else front)
     low, high = np.full(len(times), 300), np.full(len(times), -1)
     np.minimum.at(low, rank, before)
     np.maximum.at(high, rank, before)
-    diverse = (high == 256) | (low != high)
-    pick = np.flatnonzero(diverse[rank])
-    rank, place, of, before = rank[pick], place[pick], of[pick], before[pick]
+    pick = np.flatnonzero(((high == 256) | (low != high))[rank])
+    return rank[pick], place[pick], of[pick], before[pick], base
+
+
+def _scan(key: np.ndarray, doc: np.ndarray, mark: np.ndarray, start: np.ndarray, windows: np.ndarray, content: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of distinct contexts: (context, offset in it, length) of what is removed."""
+    rank, place, of, _, base = _classes(windows, content, least)
+    if not len(rank):
+        return (np.zeros(0, np.int64),) * 3
     left = base[of + 1] - place - least
     deep = least - 19
     wide = np.concatenate((content, np.zeros(2 * least, np.uint8)))[(place + least)[:, None] + np.arange(deep)]
     wide[np.arange(deep) >= left[:, None]] = 0
     tail = np.ascontiguousarray(np.pad(wide, ((0, 0), (0, -deep % 8)))).view(">u8")
     order = np.lexsort((left, *tail.T[::-1], rank))
-    rank, place, of, left, wide, before = rank[order], place[order], of[order], left[order], wide[order], before[order]
+    rank, place, of, left, wide = rank[order], place[order], of[order], left[order], wide[order]
     apart = wide[1:] != wide[:-1]
     same = np.where(apart.any(1), apart.argmax(1), deep)
     prefix = np.concatenate(([0], np.where(rank[1:] == rank[:-1], least + np.minimum(same, np.minimum(left[1:], left[:-1])), 0)))
     when = np.empty(len(place), np.int64)
     when[np.lexsort((start[of] + place - base[of], mark[of], doc[of]))] = np.arange(len(place))
-    found: list[tuple[int, int, int]] = []
-    lost = np.array(interval_scan(prefix.tolist(), when.tolist(), found if groups else None), np.int64)
+    lost = np.array(interval_scan(prefix.tolist(), when.tolist()), np.int64)
     hit = np.flatnonzero(lost)
-    repeats = []
-    for a, b, depth in found:
-        chars = before[a : b + 1]
-        if (chars == 256).any() or (chars != chars[0]).any():
-            repeats.append((depth, of[a : b + 1], (place - base[of])[a : b + 1]))
-    return (of[hit], (place - base[of])[hit], lost[hit]), repeats
+    return of[hit], (place - base[of])[hit], lost[hit]
 
 
-def _met(table: pa.Table, least: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    kinds = (np.uint64, np.int64, np.int64, np.int64, np.uint32, np.uint8, np.int64, np.int64, np.int64, np.int64)
+def _met(table: pa.Table, every: bool = False) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Contexts (with the byte before them if every), and runs."""
+    kinds = (np.uint64, np.int64, np.int64, np.int64, np.uint32, np.uint8, np.int64, np.int64, np.int64, np.int64, *([np.uint16] if every else []))
     got = [unpack(p, *kinds) for p in table.column("payload").to_pylist()]
     merged = [np.concatenate([g[i] for g in got]) for i in range(len(kinds))]
-    return merged[:6], merged[6:]
+    return merged[:6] + merged[10:], merged[6:10]
 
 
 def _by_key(fields: list[np.ndarray], least: int, limit: int = 600_000) -> Iterator[list[np.ndarray]]:
     """Contexts of keys that several have, whole keys together, up to limit bytes or one key."""
-    key, doc, mark, start, windows, content = fields
+    key, doc, mark, start, windows, content, *more = fields
     sizes = windows.astype(np.int64) + least - 1
     at = np.concatenate(([0], np.cumsum(sizes)))[:-1]
     order = np.argsort(key, kind="stable")
@@ -323,7 +329,7 @@ def _by_key(fields: list[np.ndarray], least: int, limit: int = 600_000) -> Itera
     while k < len(many):
         to = max(k + 1, int(np.searchsorted(mass, mass[k] + limit, "right")) - 1)
         rows = order[(stops[k - 1] if k else 0) : stops[to - 1]]
-        yield [key[rows], doc[rows], mark[rows], start[rows], windows[rows].astype(np.int64), content[_spread(at[rows], sizes[rows])]]
+        yield [key[rows], doc[rows], mark[rows], start[rows], windows[rows].astype(np.int64), content[_spread(at[rows], sizes[rows])], *(x[rows] for x in more)]
         k = to
 
 
@@ -331,7 +337,7 @@ def removed_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, mark, low, high: byte runs (they may overlap) that lie in a string of `least` bytes that starts earlier too."""
 
     def meet(table: pa.Table) -> pa.Table:
-        fields, known = _met(table, least)
+        fields, known = _met(table)
         doc, mark, low, high = ([x] for x in known)
         for key, d, m, start, windows, content in _by_key(fields, least):
             sizes = windows + least - 1
@@ -346,7 +352,7 @@ def removed_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
             _, own, times = np.unique(key[rows], return_inverse=True, return_counts=True)
             rows = rows[times[own] > 1]
             if len(rows):
-                (of, offset, size), _ = _scan(key[rows], d[rows], m[rows], start[rows], windows[rows], content[_spread(at[rows], sizes[rows])], least)
+                of, offset, size = _scan(key[rows], d[rows], m[rows], start[rows], windows[rows], content[_spread(at[rows], sizes[rows])], least)
                 from_ = start[rows][of] + offset
                 for column, values in zip((doc, mark, low, high), (d[rows][of], m[rows][of], from_, from_ + size), strict=True):
                     column.append(values)
@@ -356,40 +362,123 @@ def removed_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return contexts(docs, filter_, least).groupBy("bucket").applyInArrow(meet, "doc_id long, mark long, low long, high long")
 
 
-def maximal_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """repeat_id, length, doc_id, start: groups of maximal repeats with all their occurrences.
+def _place(doc_id: Column, mark: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id, mark), F.lit(BLOOM_BITS))
+
+
+def _passing(rows: DataFrame, filter_: Broadcast, hit: bool) -> DataFrame:
+    """Rows whose bit is in the filter (hit), or isn't."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            inside = _in(filter_.value, batch.column("bit").to_numpy())
+            yield batch.filter(pa.array(inside == hit))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _shared(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return int((np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)).argmax())
+
 
-    Parts from contexts that follow one another in all the same occurrences are joined, so that a long repeat is one group. A
-    group ends where its set of occurrences changes: what more documents share further on is a group of its own.
+TREE = "class long, rank long, id long, mark long, start long, before int, node long, depth int, first long, last long"
+
+
+def interval_tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stack scan over suffixes in the order of (class, piece), a row at a time; only the stack and the row before are held.
+
+    Gives each suffix back with its rank in its class, and a row (node, depth, ranks of the first and the last suffix) for each
+    common-prefix interval that is left-diverse. depth counts from the beginning of the pieces.
+    """
+    names = [x.split(" ")[0] for x in TREE.split(", ")]
+    kinds = [pa.int32() if n in ("before", "depth") else pa.int64() for n in names]
+    nodes = TaskContext.get().partitionId() << 40
+    stack: list[list[int]] = []  # depth, first rank, smallest and largest byte before
+    class_, rank, piece, byte = None, 0, b"", 0
+    out: list[tuple] = []
+
+    def close(depth: int) -> None:
+        nonlocal nodes
+        first, low, high = rank, byte, byte
+        while stack and stack[-1][0] > depth:
+            top, first, a, b = stack.pop()
+            low, high = min(low, a), max(high, b)
+            if high == 256 or low != high:
+                nodes += 1
+                out.append((class_, None, None, None, None, None, nodes, top, first, rank))
+        if depth < 0:
+            return
+        if stack and stack[-1][0] == depth:
+            stack[-1][2:] = min(low, stack[-1][2]), max(high, stack[-1][3])
+        else:
+            stack.append([depth, first, low, high])
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+
+    for batch in batches:
+        columns = [batch.column(n).to_pylist() for n in ("class", "id", "mark", "start", "before")]
+        for row, cell in zip(zip(*columns, strict=True), batch.column("piece"), strict=True):
+            next_ = cell.as_py()
+            same = row[0] == class_
+            if class_ is not None:
+                close(_shared(piece, next_) if same else -1)
+            class_, rank, piece, byte = row[0], rank + 1 if same else 0, next_, row[4]
+            out.append((class_, rank, *row[1:], None, None, None, None))
+            if len(out) > 20_000:
+                yield made()
+                out.clear()
+    if class_ is not None:
+        close(-1)
+        yield made()
+
+
+def maximal_repeats(docs: DataFrame, least: int = LEAST, chunk: int = CHUNK) -> DataFrame:
+    """repeat_id, length, doc_id, start (in bytes): every maximal repeat of `least` bytes or more, a row per occurrence.
+
+    A maximal repeat is a string that two or more places have, and that is longer nowhere for all of them: two of its places
+    have different bytes (or one of them none) before it, and two have different bytes (or one has none) after it. Repeats
+    within others that have further occurrences are groups of their own, and occurrences may overlap.
+
+    What follows the places is read `chunk` bytes a round, then 16 times more each round; only places that are equal so far
+    go on, so short repeats take one round and the longest repeat decides on the number. Spark sorts the suffixes (and
+    spills); the scan holds a stack. Work and result grow with the occurrences, of which copies with many differences have
+    many. Contexts of one minimizer meet in one task, here with all their copies.
     """
 
     def meet(table: pa.Table) -> pa.Table:
-        fields, _ = _met(table, least)
-        rows: list[tuple[int, int, int | None, int, int]] = []
-        bucket, number = table.column("bucket")[0].as_py(), 0
-        for key, d, m, start, windows, content in _by_key(fields, least):
-            for depth, of, offset in _scan(key, d, m, start, windows, content, least, True)[1]:
-                number += 1
-                rows += [((bucket << 40) + number, depth, None if d[i] == NO_ID else int(d[i]), int(start[i] + j), int(m[i])) for i, j in zip(of.tolist(), offset.tolist(), strict=True)]
-        return pa.table({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(("repeat_id", "length", "doc_id", "start", "mark"))})
+        number, rows = table.column("bucket")[0].as_py() << 40, [np.zeros((0, 5), np.int64)]
+        for _, doc, mark, start, windows, content, front in _by_key(_met(table, True)[0], least):
+            rank, place, of, before, base = _classes(windows, content, least, front.astype(np.int64))
+            if len(rank):
+                rows.append(np.unique(np.stack((rank + number, doc[of], mark[of], start[of] + place - base[of], before), 1), axis=0))
+                number += int(rank.max()) + 1
+        found = np.concatenate(rows)
+        return pa.table({n: pa.array(found[:, i], pa.int32() if n == "before" else pa.int64()) for i, n in enumerate(("class", "id", "mark", "start", "before"))})
 
     docs = marked(docs)
-    filter_ = bloom(repeated_keys(docs, least))
-    parts = stored(contexts(docs, filter_, least, True).groupBy("bucket").applyInArrow(meet, "repeat_id long, length long, doc_id long, start long, mark long"), "repeats")
-    head = parts.groupBy("repeat_id", "length").agg(F.min(F.struct("doc_id", "mark", "start")).alias("first"), F.count("*").alias("n"))
-    apart = parts.join(head, ["repeat_id", "length"]).withColumn("code", F.xxhash64("doc_id", "mark", F.col("start") - F.col("first.start")).cast("decimal(20,0)"))
-    alike = apart.groupBy("repeat_id", "length", "first", "n").agg(F.sum("code").alias("code"))  # the same wherever in the occurrences a part stands
-    same = Window.partitionBy("first.doc_id", "first.mark", "n", "code").orderBy("first.start", F.desc("length"), "repeat_id")
-    end = F.max(F.col("first.start") + F.col("length")).over(same.rowsBetween(Window.unboundedPreceding, -1))
-    alike = alike.withColumn("new", F.coalesce(F.col("first.start") + least - 1 > end, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(same))
-    whole = alike.groupBy("first.doc_id", "first.mark", "n", "code", "island").agg(F.min(F.struct("first.start", "repeat_id", "length")).alias("part"), F.max(F.col("first.start") + F.col("length")).alias("end"))
-    whole = whole.select(F.col("part.repeat_id").alias("repeat_id"), F.col("part.length").alias("part_length"), (F.col("end") - F.col("part.start")).alias("whole_length"))
-    rows = parts.join(whole, (parts["repeat_id"] == whole["repeat_id"]) & (parts["length"] == whole["part_length"]))
-    return rows.select(parts["repeat_id"], F.col("whole_length").alias("length"), "doc_id", "start")
-
-
-def _place(doc_id: Column, mark: Column) -> Column:
-    return F.pmod(F.xxhash64(doc_id, mark), F.lit(BLOOM_BITS))
+    members = stored(contexts(docs, bloom(repeated_keys(docs, least)), least, True).groupBy("bucket").applyInArrow(meet, "class long, id long, mark long, start long, before int"), "places")
+    filter_ = docs.sparkSession.sparkContext.broadcast(bloom(members.select(_place(F.col("id"), F.col("mark")).alias("bit")).distinct()))
+    rows = docs.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("bit", _place(F.col("id"), F.col("mark")))
+    whole = _passing(rows.select("id", "mark", "bit", "text"), filter_, True).groupBy("id", "mark").agg(F.any_value("text").cast("binary").alias("content"))
+    depth, found = least, []
+    while True:
+        piece = F.substring("content", (F.col("start") + depth + 1).cast("int"), F.lit(chunk))
+        pieces = members.join(whole, ["id", "mark"]).select("class", "id", "mark", "start", "before", piece.alias("piece"))
+        tree = stored(pieces.repartition("class").sortWithinPartitions("class", "piece").mapInArrow(interval_tree, TREE), "tree")
+        nodes = tree.where("node is not null").select("class", "node", "depth", "last", F.explode(F.sequence("first", "last", F.lit(SPAN))).alias("low"))
+        nodes = nodes.select("class", "node", "depth", F.explode(F.sequence("low", F.least(F.col("low") + SPAN - 1, "last"))).alias("rank"))
+        each = nodes.join(tree.where("node is null").drop("node", "depth"), ["class", "rank"])
+        done = each.where(F.col("depth") < chunk)
+        found.append(done.select((F.col("node") * 16 + len(found)).alias("repeat_id"), (F.col("depth") + depth).cast("long").alias("length"), F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "start"))
+        members = stored(each.where(F.col("depth") == chunk).select(F.col("node").alias("class"), "id", "mark", "start", "before"), "places")
+        if members.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        depth, chunk = depth + chunk, chunk * 16
 
 
 def deduplicated(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -399,14 +488,6 @@ def deduplicated(docs: DataFrame, least: int = LEAST) -> DataFrame:
     filter_ = docs.sparkSession.sparkContext.broadcast(bloom(runs.select(_place(F.col("doc_id"), F.col("mark")).alias("bit")).distinct()))
     rows = docs.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("bit", _place(F.col("id"), F.col("mark")))
 
-    def part(hit: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                inside = _in(filter_.value, batch.column("bit").to_numpy())
-                yield batch.filter(pa.array(inside == hit))
-
-        return rows.mapInArrow(run, rows.schema)
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(n).to_pylist() for n in ("doc_id", "text", "runs")]
@@ -427,6 +508,6 @@ def deduplicated(docs: DataFrame, least: int = LEAST) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     listed = runs.groupBy(F.col("doc_id").alias("id"), "mark").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
-    touched = part(True).join(listed, ["id", "mark"], "left").select("doc_id", "text", "runs").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    whole = part(False).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
+    touched = _passing(rows, filter_, True).join(listed, ["id", "mark"], "left").select("doc_id", "text", "runs").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    whole = _passing(rows, filter_, False).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
     return touched.unionByName(whole)
