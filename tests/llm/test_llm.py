@@ -516,6 +516,29 @@ def test_media(spark, docs, odd, nothing):
     assert media.text_media(odd).count() == 6 and media.text_media(nothing).count() == 0
 
 
+def test_media_of_pages():
+    kinds = lambda html: [(i["text"] or i["digest"], i["caption"]) if i["kind"] == "media" else i["text"] for i in media.items_of(html)]
+    assert kinds("a<noscript>b<p>c</p>d <img src=x>") == ["abcd", ("x", None)]  # without an end it hides nothing
+    assert kinds("a<noscript>b<img src=y></noscript>c<template>d<figure><img src=z></figure></template>e") == ["ace"]
+    assert kinds("a<script>b <p>c</p>") == ["a"] and kinds("a<style>b</style>c</template>d") == ["acd"]
+    assert kinds("a<noscript><noscript>b</noscript>c") == ["ac"] and kinds("<template>a<noscript>b</template>c") == ["c"]
+    assert kinds("a<picture>b<source srcset='s 1x'><source srcset=t><img src=x alt=cap></picture>c") == ["a", ("x", "cap"), "bc"]
+    assert kinds("<picture><source srcset='s 1x, t 2x'></picture><source src=u>") == [("s", None), ("u", None)]
+    assert kinds("<video src=v><source src=w><img src=x></video><audio><source src=a><source src=b></audio>") == [("v", None), ("a", None)]
+    assert kinds("<video src=v>a<img src=x>") == [("v", None), "a", ("x", None)] and kinds("<video/><audio src=q/>a") == [("q/", None), "a"]
+    assert kinds("<figure><picture><source srcset=s><img></picture><video src=v></video><figcaption>cap</figcaption></figure>") == [("s", "cap"), ("v", "cap")]
+    rnd = random.Random(8)
+    parts = ["<picture>", "</picture>", "<video src=v>", "</video>", "<noscript>", "</noscript>", "<figure>", "</figure>", "<figcaption>", "</figcaption>", "<img src=x>", "<source src=s>", "w ", "&amp;"]
+    for _ in range(500):
+        html = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 14)))
+        items = media.items_of(html)
+        assert [i["position"] for i in items] == list(range(len(items)))
+        if "noscript" not in html:
+            shown = " ".join([t for i in items for t in (i["text"] or "", i["caption"] or "")])
+            assert ("w" in shown) == ("w" in html)
+            assert any(i["kind"] == "media" for i in items) == ("src" in html)
+
+
 def linked(rows, num=75, den=100):
     sets = {}
     for i, t in rows:

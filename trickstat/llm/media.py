@@ -33,17 +33,31 @@ WIDTH = 64
 ITEMS = "array<struct<position int, kind string, text string, digest string, caption string>>"
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _HIDDEN = {"script", "style", "template", "noscript"}
+_MEDIUM = {"picture", "video", "audio"}
+
+
+def _source(attrs: dict[str, str | None]) -> str | None:
+    several = attrs.get("srcset") or attrs.get("data-srcset") or ""
+    return attrs.get("src") or attrs.get("data-src") or several.strip().split(",")[0].split(" ")[0] or None
 
 
 class _Items(HTMLParser):
     """Text runs and media in document order. A figure's caption goes to the media in it that no inner figure captions; a caption
-    without media, or without a figure, is text where it stands. What isn't closed ends with its figure or the page."""
+    without media, or without a figure, is text where it stands. What isn't closed ends with its figure or the page.
+
+    A picture, video or audio is one reference: its own source, or a picture's img, else the first source in it; text in it comes
+    after it. Text and media in hidden elements don't count. loose: numbers of the hidden and media elements that are taken as if they weren't there;
+    items_of() gives those that have no end."""
 
-    def __init__(self) -> None:
+    def __init__(self, loose: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.words: list[str] = []
+        self.loose = loose
+        self.number = 0
+        self.open: list[tuple[str, int]] = []
         self.hidden = 0
+        self.medium: dict | None = None
         self.figures: list[dict] = []
         self.caption: list[str] | None = None
 
@@ -81,17 +95,37 @@ class _Items(HTMLParser):
             self.figures[-1]["media"] += figure["media"]
             self.figures[-1]["done"] += done
 
+    def refer(self, source: str | None, caption: str | None) -> None:
+        if not source:
+            return
+        self.flush()
+        self.items.append({"kind": "media", "text": None, "digest": source.removeprefix("sha256:"), "caption": caption or None})
+        if self.figures:
+            self.figures[-1]["media"].append(self.items[-1])
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in _HIDDEN:
-            self.hidden += 1
-        elif tag in ("img", "audio", "video", "source"):
-            at = dict(attrs)
-            several = at.get("srcset") or at.get("data-srcset") or ""
-            if source := at.get("src") or at.get("data-src") or several.strip().split(",")[0].split(" ")[0]:
+        at = dict(attrs)
+        if tag in _HIDDEN or tag in _MEDIUM:
+            self.number += 1
+            if self.number in self.loose:
+                if not self.hidden and not self.medium:
+                    self.refer(_source(at) if tag in _MEDIUM else None, at.get("alt"))
+                return
+            self.open.append((tag, self.number))
+            if tag in _HIDDEN:
+                self.hidden += 1
+            elif not self.hidden and not self.medium:
                 self.flush()
-                self.items.append({"kind": "media", "text": None, "digest": source.removeprefix("sha256:"), "caption": at.get("alt") or None})
-                if self.figures:
-                    self.figures[-1]["media"].append(self.items[-1])
+                self.medium = {"number": self.number, "tag": tag, "best": _source(at), "first": None, "caption": at.get("alt")}
+        elif self.hidden:
+            return
+        elif tag in ("img", "source"):
+            if not self.medium:
+                self.refer(_source(at), at.get("alt"))
+            elif tag == "img" and self.medium["tag"] == "picture" and not self.medium["best"]:
+                self.medium["best"], self.medium["caption"] = _source(at), at.get("alt")
+            elif not self.medium["first"]:
+                self.medium["first"] = _source(at)
         elif tag == "figure":
             self.end_caption()
             self.flush()
@@ -102,8 +136,17 @@ class _Items(HTMLParser):
             self.caption = []
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in _HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
+        names = [t for t, _ in self.open]
+        if tag in names:
+            at = len(names) - 1 - names[::-1].index(tag)
+            ended, self.open = self.open[at:], self.open[:at]
+            self.hidden -= sum(t in _HIDDEN for t, _ in ended)
+            if self.medium and any(n == self.medium["number"] for _, n in ended):
+                inside, self.words = self.words, []
+                self.refer(self.medium["best"] or self.medium["first"], self.medium["caption"])
+                self.medium, self.words = None, inside
+        elif self.hidden:
+            return
         elif tag == "figcaption":
             self.end_caption()
         elif tag == "figure" and self.figures:
@@ -125,6 +168,11 @@ class _Items(HTMLParser):
 def items_of(html: str | None) -> list[dict]:
     parser = _Items()
     parser.feed(html or "")
+    parser.close()
+    if parser.open:
+        # script and style hide what follows, as in browsers; what other elements without an end would hide or take in stays
+        parser = _Items(frozenset(n for t, n in parser.open if t not in ("script", "style")))
+        parser.feed(html or "")
     return [{"position": i, **item} for i, item in enumerate(parser.ended())]
 
 
