@@ -218,6 +218,19 @@ def test_mixing(spark, docs, odd, nothing, monkeypatch):
     assert Counter(r.doc_id for r in kept.collect()) == {r.doc_id: r.copies for r in mixing.mixed(docs).collect() if r.copies}
 
 
+def test_margins_that_cannot_all_be_met(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 100), ("b", "y", "t", 60), ("b", "y", "u", 40)], "source string, lang string, topic string, tokens long")
+    want = lambda **shares: spark.createDataFrame(list(shares.items()), "value string, share double")
+    got = {(r.margin, r.value): r for r in mixing.margins(cells, {"source": want(a=0.5, b=0.5), "lang": want(x=0.7, y=0.3), "topic": want(t=0.9, u=0.1)}).collect()}
+    reached = {k: round(r.reached, 6) for k, r in got.items()}
+    assert reached == {("source", "a"): 0.7, ("source", "b"): 0.3, ("lang", "x"): 0.7, ("lang", "y"): 0.3, ("topic", "t"): 0.9, ("topic", "u"): 0.1}
+    assert {k for k, r in got.items() if not r.met} == {("source", "a"), ("source", "b")} and got["source", "b"].target == 0.5 and got["source", "b"].tokens == 100
+    got = {(r.margin, r.value): r for r in mixing.margins(cells, {"source": want(a=0.6, b=0.3, c=0.1)}).collect()}
+    assert (got["source", "c"].tokens, got["source", "c"].reached, got["source", "c"].met) == (0, 0, False)
+    assert sum(r.target for k, r in got.items() if k[0] == "topic") == pytest.approx(1) and got["topic", "u"].target == pytest.approx(40**0.8 / (40**0.8 + 160**0.8))
+    assert all(r.met for k, r in got.items() if k[0] == "topic") and mixing.margins(cells.where("1 = 0")).count() == 0
+
+
 def test_sample_has_the_target_shares(spark):
     docs = spark.createDataFrame([(i, "a b c d e f g h i j", "en", "A" if i % 10 else "B") for i in range(2000)], "doc_id long, text string, lang string, source string")
     targets = {"source": spark.createDataFrame([("A", 0.5), ("B", 0.5)], "value string, share double")}

@@ -16,7 +16,8 @@ a short list. A word is its 64-bit hash: at a billion distinct words the chance
 The order is 2. A third word to each row would bring what is exchanged from about 3 to over 4 times the input.
 
 Nulls and texts without words have no predictions: score 0 and a null average. Repeated rows count as often
-as they occur and get equal scores. A null doc_id keeps its row. An empty table gives no rows.
+as they occur and get equal scores. A null doc_id keeps its row. A very long text is worked on by itself, whole.
+Further columns of any name are left out. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -4,12 +4,13 @@ Iterative proportional fitting over cells (source, language, topic): each step s
 that one of the three margins fits its targets. Rounds of three steps go on until no cell moves any more; LIMIT rounds
 without that are an error. A cell's rate is its weight by its tokens: how often each of its documents is expected in the
 mix. A document is taken rate times: the whole part, and once more with the fraction as probability. So no probability
-is cut off, and the shares of the sample's tokens are the targets but for the draws' chance. Draws are a hash of doc_id
+is cut off, and the shares of the sample's tokens are those of the weights but for the draws' chance. Draws are a hash of doc_id
 and seed, so a document's fate doesn't depend on partitions or repeats.
 
 Topics are a column if the caller has one, else the form of the text: table, marked, short, medium or long.
 Targets are shares per value of each margin; those not given are the margin's own token shares, tempered:
-tokens ** TEMPER, normalised. Where no weights meet all targets, the later margins' are met.
+tokens ** TEMPER, normalised. Where no weights meet all targets, the last margin's are met and the others' may not be:
+margins() says for each value what it has been given and what it reaches.
 
 Nulls: a null source, lang or topic is the value ''; a null or empty text has no tokens and its cell weighs
 nothing by itself, such documents have the rate of their cell, 1 if the cell has no tokens. Repeated rows
@@ -30,6 +31,8 @@ SEED = 17
 #: Raking ends when no cell moves by more than this share of all tokens in STEP rounds.
 SETTLED = 1e-10
 STEP = 4
+#: A margin's value has its target if its share is as near as this.
+CLOSE = 1e-6
 LIMIT = 1000
 #: Up to this many cells are broadcast (about 100 bytes each); more are joined by a shuffle of their keys.
 BROADCAST_CELLS = 200_000
@@ -61,7 +64,7 @@ def draw(doc_id: Column, seed: int = SEED) -> Column:
 
 
 def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER) -> DataFrame:
-    """cells (source, lang, topic, tokens) with weight, whose margins meet the targets (value, share), and rate."""
+    """cells (source, lang, topic, tokens) with weight, whose margins meet the targets (value, share) where they can, and rate."""
     parts = -(-cells.count() // CELLS_PER_TASK) or 1
     now = cells.coalesce(1) if parts == 1 else cells.repartition(parts)
     total = cells.agg(F.sum("tokens").alias("total"))
@@ -92,6 +95,27 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, temper:
     return now.select(*MARGINS, "tokens", "weight", F.round(rate, 6).alias("rate"))
 
 
+def margins(cells: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER) -> DataFrame:
+    """margin, value, tokens, target, reached (shares of all tokens) and met, for each value of each margin, also for values
+    that have a target and no cells, or cells and no target (then 0)."""
+    fitted = stored(raked(cells, targets, temper), "raked")
+    whole = fitted.agg(F.sum("tokens").alias("total"))
+    found = []
+    for margin in MARGINS:
+        by = fitted.groupBy(F.col(margin).alias("value")).agg(F.sum("tokens").alias("tokens"), F.sum("weight").alias("weight"))
+        if targets and margin in targets:
+            share = targets[margin].select("value", F.col("share").cast("double").alias("target"))
+        else:
+            part = F.pow(F.col("tokens").cast("double"), F.lit(temper))
+            norm = by.agg(F.sum(part).alias("norm"))
+            share = by.crossJoin(F.broadcast(norm)).select("value", F.when(F.col("norm") > 0, part / F.col("norm")).alias("target"))  # one row
+        reached = F.when(F.col("total") > 0, F.col("weight") / F.col("total"))
+        rows = by.join(share, "value", "full").crossJoin(F.broadcast(whole))  # one row
+        found.append(rows.select(F.lit(margin).alias("margin"), "value", "tokens", "target", reached.alias("reached")).fillna(0, ["tokens", "target", "reached"]))
+    out = found[0].unionByName(found[1]).unionByName(found[2])
+    return out.withColumn("met", F.abs(F.col("target") - F.col("reached")) <= CLOSE)
+
+
 def calibrated(rows: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER) -> DataFrame:
     """celled() rows with tokens, weight and rate of their cell."""
     cells = stored(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "cells")

@@ -5,7 +5,9 @@ best-fit decreasing and compares its bin count with dual-feasible-function lower
 whose count is above their bound exchange the pieces of their bins that aren't full, and run again.
 
 Nulls: a null text is an empty document (only the closing id); rows with a null doc_id are kept, repeated
-rows are packed as often as they occur. An empty table gives no rows.
+rows are packed as often as they occur. A very long text is tokenized by itself, whole; only its ids are cut. Further
+columns of any name are left out. Of pieces of equal length it is open which goes where. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
