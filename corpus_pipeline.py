@@ -4,8 +4,8 @@ Quality rules and near duplicates drop documents, the secret scan masks what it
 weights, packing returns token pieces instead of documents.
 
 Nulls: a null or empty text has too few words for the rules and goes; a null doc_id, source or lang stays, and rows without
-a doc_id are nobody's duplicates. Repeated rows stay together, as do two texts of one doc_id. Very long texts are worked on
-whole. Further columns of any name go through all stages but the last as they are. An empty table gives no rows.
+a doc_id are nobody's duplicates. Repeated rows share their fate; two texts of one doc_id are judged each by itself. Very long
+texts are worked on whole. Further columns of any name go through all stages but the last as they are. An empty table gives no rows.
 """
 
 from __future__ import annotations
