@@ -202,6 +202,24 @@ def test_pairs_of_large_groups(spark):
         assert {(r.a, r.b): r.n for r in rates.pair_counts(df, "g", "e", block).collect()} == want
 
 
+def test_pairs_of_large_groups_are_not_shuffled(spark):
+    df = spark.createDataFrame([(g, e) for g in "xy" for e in range(50)], "g string, e int")
+    got = rates.pair_counts(df, "g", "e", 8)
+    assert got.where("n = 2").count() == 1225 == got.count()
+    rnd = random.Random(5)
+    groups = {g: rnd.sample(range(120), n) for g, n in enumerate((100, 11, 12, 13, 2))}  # some have no members in some blocks
+    sparse = spark.createDataFrame([(float("nan") if g == 1 else float(g), e) for g, es in groups.items() for e in es], "g double, e int")
+    assert {(r.a, r.b): r.n for r in rates.pair_counts(sparse, "g", "e", 10).collect()} == Counter(p for es in groups.values() for p in combinations(sorted(es), 2))
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.rindex("MapInArrow") > -1 and "Aggregate" not in plan[: plan.index("MapInArrow")] and "Exchange" not in plan[: plan.index("MapInArrow")]
+
+
+def test_partitions_of_pairs_grow_with_the_pairs(spark, monkeypatch):
+    monkeypatch.setattr(rates, "EACH", 100)
+    df = spark.range(900).selectExpr("id div 3 as g", "id % 50 as e")
+    assert rates.pair_counts(df, "g", "e").rdd.getNumPartitions() == 9
+
+
 def test_validation(spark):
     rnd = random.Random(8)
     rows = [(i if rnd.random() < 0.98 else None, rnd.choice([None, 1, 2]), rnd.choice([None, -1, 1, 2])) for i in range(3000)]
