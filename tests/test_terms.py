@@ -82,6 +82,28 @@ def test_a_hundred_thousand_names(spark, monkeypatch):
     assert sum(r.text != one[r.doc_id] for r in df.collect()) > 100
 
 
+def test_large_lists_send_strings_not_places(spark, monkeypatch):
+    monkeypatch.setattr(terms, "AUTOMATON_TERMS", 0)
+    df = spark.createDataFrame([(i, "abc " * 500) for i in range(40)], "id long, text string")
+    rules = spark.createDataFrame([("abc", "x"), ("bc", "y"), ("zz", "z")], "term string, replacement string")
+    made = []
+    sizes = lambda d: d.select(F.count("*")).first()[0]
+    join = type(df).join
+    monkeypatch.setattr(type(df), "join", lambda self, *a, **k: made.append(sizes(self)) or join(self, *a, **k))
+    got = terms.replace_terms(df, "id", "text", rules)
+    assert {r.text for r in got.collect()} == {"x " * 500} and got.count() == 40
+    assert made == [2]  # each string of the only part once; there are 40,000 places
+
+
+def test_pieces_of_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(terms, "PIECE_BYTES", 1000)
+    texts = ["a" * n for n in (10, 2000, 0, 400, 400, 400, 5000)] + [None]
+    pieces = list(terms._pieces(pa.RecordBatch.from_pydict({"t": texts}), "t"))
+    assert [t for p in pieces for t in p.column("t").to_pylist()] == texts and len(pieces) > 3
+
+
 def test_spans_without_overlaps(spark):
     rnd = random.Random(9)
     spans = sorted({(k, a, a + rnd.randint(1, 9), rnd.choice("xyz")) for k in range(6) for a in rnd.choices(range(80), k=40)})

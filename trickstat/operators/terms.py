@@ -2,8 +2,9 @@
 
 Rules are a table (term, replacement) of any size. While it is small (AUTOMATON_TERMS, AUTOMATON_CHARACTERS) each task has
 an Aho-Corasick automaton of all terms and goes through its texts once. Beyond that nothing of the rules is sent around but a
-filter of FILTER_BITS bits: places of a text whose next characters, for one of the lengths that terms have, may be
-a term are joined to the rules by the characters themselves. Both ways find the same spans.
+filter of FILTER_BITS bits. Texts are dealt to parts of PART_CHARACTERS on average; what in a part may be a term, by the filter and the lengths
+that terms have, is joined to the rules by the characters themselves, each string once for each part, and each part then has an automaton of its
+own terms. So what is sent grows with the texts, not with the places where terms stand. Both ways find the same spans.
 
 Of overlapping spans the leftmost counts, of those that begin together the longest, as with an alternation of all terms.
 Terms match anywhere, also within words; terms that are null or empty count as none. Of several replacements of a term the
@@ -12,11 +13,12 @@ smallest counts. Places count code points from 0; ends are exclusive. Null texts
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -27,6 +29,9 @@ from .alias import fuzzy_tag
 AUTOMATON_TERMS = 200_000
 AUTOMATON_CHARACTERS = 8_000_000
 FILTER_BITS = 1 << 26
+PART_CHARACTERS = 8_000_000
+PIECE_BYTES = 1 << 20
+HELD_NAMES = 1 << 18
 SPANS = "array<struct<start: int, end: int, new: string>>"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -111,31 +116,67 @@ def _fold(column: pd.Series) -> pd.Series:  # as folded(), so that terms and tex
     return column.map(lambda t: t if t is None else folded(t))
 
 
-def with_spans(df: DataFrame, key: str, text: str, rules: DataFrame, ignore_case: bool = False) -> DataFrame:
-    """df with _spans (start, end, new), the terms of rules found in text. key tells the rows of df apart (else see the module)."""
+def _through(df: DataFrame, key: str, text: str, rules: DataFrame, ignore_case: bool, make: Callable[[Found, pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """What make gives for pieces of df and a finder of the rules' terms."""
     rows = _rules(rules, ignore_case)
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("term") + F.length("new")), F.lit(0)).alias("characters")).first()
     if size["n"] <= AUTOMATON_TERMS and size["characters"] <= AUTOMATON_CHARACTERS:
-        return _by_automaton(df, text, rows, ignore_case)
-    return _by_join(df, key, text, rows, ignore_case)
+        return _by_automaton(df, text, rows, ignore_case, make, schema)
+    return _by_join(df, key, text, rows, ignore_case, make, schema)
+
+
+def with_spans(df: DataFrame, key: str, text: str, rules: DataFrame, ignore_case: bool = False) -> DataFrame:
+    """df with _spans (start, end, new), the terms of rules found in text. key tells the rows of df apart (else see the module)."""
+
+    def make(found: Found, batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(text).to_pylist()
+        _, start, end, new, ends = _flat(found, texts)
+        kind = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("new", pa.string())])
+        each = pa.StructArray.from_arrays([start, end, new], fields=list(kind))
+        spans = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each, mask=pa.array([t is None for t in texts], pa.bool_()))
+        return pa.RecordBatch.from_arrays([*batch.columns, spans], [*batch.schema.names, "_spans"])
+
+    return _through(df, key, text, rules, ignore_case, make, f"{_fields(df)}, _spans {SPANS}")
+
+
+def _flat(found: Found, texts: list[str | None]) -> tuple[np.ndarray, pa.Array, pa.Array, pa.Array, np.ndarray]:
+    """Spans of all texts: which text, start, end, new; and where those of each text end, after a 0."""
+    start, end, new, sizes = [], [], [], []
+    for t in texts:
+        spans = found.spans(t) if t else []
+        sizes.append(len(spans))
+        for a, b, n in spans:
+            start.append(a)
+            end.append(b)
+            new.append(n)
+    at = np.repeat(np.arange(len(texts)), sizes)
+    return at, pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(new, pa.string()), np.cumsum([0, *sizes])
+
+
+def _pieces(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """batch in slices of about PIECE_BYTES of text, so that what Python makes of one stays small however long the texts are."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64) // PIECE_BYTES
+    at = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
 def _fields(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def _by_automaton(df: DataFrame, text: str, rows: DataFrame, ignore_case: bool) -> DataFrame:
-    table = rows.toArrow()  # bounded, see with_spans()
+def _by_automaton(df: DataFrame, text: str, rows: DataFrame, ignore_case: bool, make: Callable, schema: str) -> DataFrame:
+    table = rows.toArrow()  # bounded, see _through()
     sent = df.sparkSession.sparkContext.broadcast((table.column("term").to_pylist(), table.column("new").to_pylist()))
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("new", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Found(*sent.value, ignore_case)
         for batch in batches:
-            spans = [None if t is None else [dict(zip(("start", "end", "new"), s, strict=True)) for s in found.spans(t)] for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], [*batch.schema.names, "_spans"])
+            for piece in _pieces(batch, text):
+                yield make(found, piece)
 
-    return df.mapInArrow(run, f"{_fields(df)}, _spans {SPANS}")
+    return df.mapInArrow(run, schema)
 
 
 def _filter(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -160,53 +201,69 @@ def _filter(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.sort(value[at < 0]), bits
 
 
-def _by_join(df: DataFrame, key: str, text: str, rows: DataFrame, ignore_case: bool) -> DataFrame:
+def _by_join(df: DataFrame, key: str, text: str, rows: DataFrame, ignore_case: bool, make: Callable, schema: str) -> DataFrame:
     lengths, bits = _filter(rows)
     sent = df.sparkSession.sparkContext.broadcast((lengths, bits))
-    kind = df.schema[key].dataType.simpleString()
+    parts = df.agg(F.ceil(F.coalesce(F.sum(F.length(text)), F.lit(0)) / PART_CHARACTERS)).first()[0] or 1
+    dealt = df.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, bits = sent.value
+        held: dict[int, set[str]] = {}
+
+        def names() -> pa.RecordBatch:
+            part = np.repeat(np.array(list(held), np.int32), [len(x) for x in held.values()])
+            return pa.RecordBatch.from_arrays([pa.array(part), pa.array([t for x in held.values() for t in x], pa.string())], ["_part", "term"])
+
         for batch in batches:
-            for i, t in enumerate(batch.column(text).to_pylist()):
-                if not t:
-                    continue
+            for part, t in zip(batch.column("_part").to_pylist(), batch.column("_t").to_pylist(), strict=True):
                 t = folded(t) if ignore_case else t
+                own = held.setdefault(part, set())
                 for n, value in _hashes(t, lengths):
                     at = value % np.uint64(FILTER_BITS)
                     places = np.flatnonzero(bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1))
-                    if len(places):
-                        names = pa.array([t[p : p + n] for p in places.tolist()], pa.string())
-                        yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(np.full(len(places), i))), pa.array(places.astype(np.int32)), pa.array(np.full(len(places), n, np.int32)), names], ["_key", "start", "n", "term"])
+                    own.update([t[p : p + n] for p in places.tolist()])
+                if len(own) > HELD_NAMES or len(held) > 64:
+                    yield names()
+                    held.clear()
+        if held:
+            yield names()
+
+    texts = dealt.where(F.length(text) > 0).select("_part", F.col(text).alias("_t"))
+    known = texts.repartition(parts, "_part").mapInArrow(run, "_part int, term string").join(rows, "term")
 
-    places = df.select(key, text).mapInArrow(run, f"_key {kind}, start int, n int, term string")
-    spans = places.join(rows, "term").select("_key", "start", (F.col("start") + F.col("n")).alias("end"), "new")
-    kept = select_spans(spans, "_key", "leftmost").groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "new"))).alias("_spans"))
-    out = df.join(kept, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
-    return out.withColumn("_spans", F.when(F.col(text).isNotNull(), F.coalesce("_spans", F.array().cast(SPANS))))
+    def rewrite(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = Found(right.column("term").to_pylist(), right.column("new").to_pylist(), ignore_case)
+        made = [make(found, piece) for batch in left.drop_columns(["_part"]).to_batches() for piece in _pieces(batch, text)]
+        return pa.Table.from_batches(made or [make(found, pa.RecordBatch.from_pylist([], left.drop_columns(["_part"]).schema))])
+
+    return dealt.groupBy("_part").cogroup(known.groupBy("_part")).applyInArrow(rewrite, schema)
 
 
 def term_spans(df: DataFrame, key: str, text: str, terms: DataFrame, ignore_case: bool = False) -> DataFrame:
     """key, start, end, found: the terms that stand in text. terms: a column term."""
-    rules = terms.select("term", F.lit("").alias("replacement"))
-    rows = with_spans(df.select(key, text), key, text, rules, ignore_case).select(key, text, F.explode("_spans").alias("s"))
-    return rows.select(key, "s.start", "s.end", F.substring(F.col(text), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("found"))
+
+    def make(finder: Found, batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(text).to_pylist()
+        at, start, end, _, _ = _flat(finder, texts)
+        found = [texts[i][a:b] for i, a, b in zip(at.tolist(), start.to_pylist(), end.to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at)), start, end, pa.array(found, pa.string())], [key, "start", "end", "found"])
+
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, start int, end int, found string"
+    return _through(df.select(key, text), key, text, terms.select("term", F.lit("").alias("replacement")), ignore_case, make, schema)
 
 
 def replace_terms(df: DataFrame, key: str, text: str, rules: DataFrame, how: str = "rules", ignore_case: bool = False) -> DataFrame:
     """df with the terms in text replaced in one pass; how as in rewritten()."""
     if how not in ("rules", "mask", "aligned"):
         raise ValueError(f"how is rules, mask or aligned, not {how}")
-    rows, names = with_spans(df, key, text, rules, ignore_case), df.columns
+    names = df.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = ([(s["start"], s["end"], s["new"]) for s in x or ()] for x in batch.column("_spans").to_pylist())
-            new = [None if t is None else rewritten(t, s, how) for t, s in zip(batch.column(text).to_pylist(), spans, strict=True)]
-            columns = [pa.array(new, pa.string()) if name == text else batch.column(name) for name in names]
-            yield pa.RecordBatch.from_arrays(columns, names)
+    def make(found: Found, batch: pa.RecordBatch) -> pa.RecordBatch:
+        new = [None if t is None else rewritten(t, found.spans(t), how) for t in batch.column(text).to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if name == text else batch.column(name) for name in names], names)
 
-    return rows.mapInArrow(run, _fields(df))
+    return _through(df, key, text, rules, ignore_case, make, _fields(df))
 
 
 def select_spans(spans: DataFrame, key: str, first: str = "longest") -> DataFrame:
