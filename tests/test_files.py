@@ -236,3 +236,9 @@ def test_validation(spark):
 def test_plays_of_equal_rows(spark):
     df = spark.createDataFrame([("S4 S2||DA",)] * 2 + [(None,), ("",)], "cardplay string")
     assert sorted(map(tuple, play.explode_plays(df).collect())) == sorted([(0, 0, "S", 4, 0), (0, 1, "S", 2, 1), (1, 0, "D", 14, 2)] * 2)
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    (tmp_path / "a").write_text("".join(f"line {i}\n" for i in range(20_000)))
+    rows = lines.read_lines(spark, str(tmp_path), 100)
+    assert rows.rdd.getNumPartitions() < 70 and rows.count() == 20_000 and rows.select("start").distinct().count() == 2089

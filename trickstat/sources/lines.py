@@ -29,6 +29,8 @@ from ..streaming.tables import stored
 FORMAT = "trickstat_lines"
 RANGE_BYTES = 64 << 20
 READ_BYTES = 1 << 20
+TASK_BYTES = 16 << 20
+LEAST_TASKS = 32
 BATCH_LINES = 1 << 14
 BATCH_BYTES = 4 << 20
 
@@ -56,12 +58,19 @@ def listed(path: str) -> list[tuple[str, str, int]]:
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     path: str
     start: int
     end: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Ranges of one task."""
+
+    ranges: list[Range]
+
+
 def lines_of(path: str, start: int, end: int) -> Iterator[bytes]:
     """Lines that begin at start or later and before end, without what ends them."""
     store, name = filesystem(path)
@@ -103,13 +112,17 @@ class LineReader(DataSourceReader):
     def __init__(self, path: str, range_bytes: int, counts: bool) -> None:
         self.path, self.range_bytes, self.counts = path, range_bytes, counts
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
+        """Small ranges share a task, TASK_BYTES of them at most; of few there is still a task for each of LEAST_TASKS parts."""
         out = [Range(path, low, min(low + self.range_bytes, size)) for path, _, size in listed(self.path) for low in range(0, size, self.range_bytes)]
-        return out or [Range("", 0, 0)]
+        each = max(min(TASK_BYTES // self.range_bytes, len(out) // LEAST_TASKS), 1)
+        return [Ranges(out[i : i + each]) for i in range(0, len(out), each)] or [Ranges([])]
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for one in partition.ranges:
+            yield from self._read(one)
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
+    def _read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         name, held, size, n, filled = filesystem(partition.path)[1], [], 0, 0, 0
         head: tuple = (None, None, None)
         columns = ["file", "start", "n", "filled", "line"]
