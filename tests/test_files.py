@@ -242,3 +242,11 @@ def test_small_ranges_share_tasks(spark, tmp_path):
     (tmp_path / "a").write_text("".join(f"line {i}\n" for i in range(20_000)))
     rows = lines.read_lines(spark, str(tmp_path), 100)
     assert rows.rdd.getNumPartitions() < 70 and rows.count() == 20_000 and rows.select("start").distinct().count() == 2089
+
+
+def test_scorers_give_any_numbers(spark):
+    scoring.scorer_table(spark, "halves", lambda row: [{"x": row["v"], "s": 1, "n": row["v"] / 2}], "x double, s string, n long")
+    df = spark.createDataFrame([(4,), (None,)], "v int")
+    assert sorted(map(tuple, scoring.scored_by(df, "halves", []).collect()), key=str)[0][:3] == (4.0, "1", 2)
+    plan = scoring.scored_by(df, "halves", [])._jdf.queryExecution().sparkPlan().toString()
+    assert "BatchEvalPythonUDTF" in plan and "ArrowEvalPythonUDTF" not in plan

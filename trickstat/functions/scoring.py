@@ -1,4 +1,4 @@
-"""A user's scorer as a table function of SQL: several rows for each row, with a schema of its own, in Arrow batches."""
+"""A user's scorer as a table function of SQL: several rows for each row, with a schema of its own."""
 
 from __future__ import annotations
 
@@ -7,10 +7,18 @@ from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DataType, DecimalType, FractionalType, IntegralType, StringType, StructField, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 
+def _as_typed(kind: DataType) -> Callable:
+    """Makes a scorer's value one of kind: numbers may be given as any sort of number."""
+    if isinstance(kind, DecimalType):
+        return lambda v: v
+    make = float if isinstance(kind, FractionalType) else int if isinstance(kind, IntegralType) else str if isinstance(kind, StringType) else None
+    return (lambda v: None if v is None else make(v)) if make else (lambda v: v)
+
+
 def scorer_table(spark: SparkSession, name: str, scorer: Callable[[dict], Iterable[dict]], schema: StructType | str, status: str = "status") -> None:
     """Registers name(TABLE(...), keep => 'a, b') for SQL.
 
@@ -19,6 +27,7 @@ def scorer_table(spark: SparkSession, name: str, scorer: Callable[[dict], Iterab
     this row is dropped: one row has NULLs and status "ERROR: why", and the job goes on. Keep must not name columns of schema."""
     fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     names = fields.fieldNames()
+    typed = [(f.name, _as_typed(f.dataType)) for f in fields]
 
     class Scorer:
         def __init__(self, analyzed: AnalyzeResult | None = None) -> None:
@@ -41,12 +50,12 @@ def scorer_table(spark: SparkSession, name: str, scorer: Callable[[dict], Iterab
             row = rows.asDict(recursive=True)
             own = tuple(row[c] for c in self.kept)
             try:
-                made = [(*own, *(r.get(n) for n in names), "ok") for r in scorer(row)]
+                made = [(*own, *(make(r.get(n)) for n, make in typed), "ok") for r in scorer(row)]
             except Exception:  # one bad row is a result, not the end of the job
                 made = [(*own, *(None for _ in names), "ERROR: " + traceback.format_exc(limit=0).strip().splitlines()[-1])]
             yield from made
 
-    spark.udtf.register(name, F.udtf(Scorer, useArrow=True))
+    spark.udtf.register(name, F.udtf(Scorer, useArrow=False))  # with Arrow, each row would be a batch of its own
 
 
 def scored_by(df: DataFrame, name: str, keep: list[str] | None = None) -> DataFrame:
