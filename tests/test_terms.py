@@ -148,6 +148,14 @@ def test_names_in_records_by_table(spark):
     assert got.columns == df.columns and {r.id: r.r for r in got.collect()} == {i: w for i, (_, w) in enumerate(rows)}
 
 
+def test_partitions_of_records_grow_with_them(spark, monkeypatch):
+    monkeypatch.setattr(terms, "PART_RECORDS", 100)
+    df = spark.range(1200).selectExpr("id", "concat('pn|ann,x', id, '|') as r")
+    known = spark.createDataFrame([("ann", "Q")], "entity string, alias string")
+    got = terms.anonymize_records(df, "id", "r", known)
+    assert got.rdd.getNumPartitions() == 12 and {r.r for r in got.collect()} == {f"pn|Q,x{i}|" for i in range(1200)}
+
+
 def test_map_values_by_table(spark):
     known = spark.createDataFrame([(1, "x?n=a%2Bb&ann"), (2, None)], "id long, target string")
     names = {"a+b": "P+", "ann": "Q"}

@@ -32,6 +32,8 @@ FILTER_BITS = 1 << 26
 PART_CHARACTERS = 8_000_000
 PIECE_BYTES = 1 << 20
 HELD_NAMES = 1 << 18
+PART_RECORDS = 50_000
+SHARES = 8
 SPANS = "array<struct<start: int, end: int, new: string>>"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -314,16 +316,19 @@ def anonymize_records(df: DataFrame, key: str, record: str, aliases: DataFrame)
 
     Both forms of the field are read, pn|a,b,c,d| and pn%7Ca%2Cb%2Cc%2Cd%7C; %2B in a name counts as +. Names are trimmed and
     joined in any case; unknown ones stay, empty ones too. key tells the rows of df apart. Names are taken out, joined, and put back
-    by place."""
+    by place, in partitions of PART_RECORDS rows of df on average; a name's rows are dealt to SHARES of them, each with its alias."""
+    parts = max(-(-df.count() // PART_RECORDS), 1)
     bar, comma = r"(?:\||%7[Cc])", r"(?:,|%2[Cc])"
     around = rf"^(.*?(?:^|\||%7[Cc]|=)[Pp][Nn]{bar})(.*?)({bar}.*)$"
     cut = df.withColumn("_f", F.split(F.regexp_replace(record, f"(?s){around}", "$1\u0001$2\u0001$3"), "\u0001", -1))
     found = cut.where(F.size("_f") == 3).select(key, F.posexplode(F.split(F.col("_f")[1], comma, -1)).alias("_i", "_n"))
     plain = F.trim(F.regexp_replace("_n", "%2[Bb]", "+"))
     known = aliases.groupBy(F.lower("entity").alias("_e")).agg(F.min("alias").alias("_a"))
-    named = found.withColumn("_e", F.lower(plain)).join(known, "_e", "left")
-    new = named.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", F.coalesce("_a", F.trim("_n")).alias("n")))).alias("_new"))
-    out = cut.join(new, key, "left")
+    known = known.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    found = found.withColumns({"_e": F.lower(plain), "_s": F.pmod(F.xxhash64(key), F.lit(SHARES)).cast("int")})
+    named = found.repartition(parts, "_e", "_s").join(known.repartition(parts, "_e", "_s"), ["_e", "_s"], "left")
+    new = named.select(key, "_i", "_n", "_a").repartition(parts, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", F.coalesce("_a", F.trim("_n")).alias("n")))).alias("_new"))
+    out = cut.repartition(parts, key).join(new, key, "left")
     sep = F.when(F.col("_f")[1].rlike("%2[Cc]"), "%2C").otherwise(",")
     joined = F.concat(F.col("_f")[0], F.call_function("array_join", F.transform("_new", lambda x: x["n"]), sep), F.col("_f")[2])
     return out.withColumn(record, F.when(F.col("_new").isNotNull(), joined).otherwise(F.col(record))).select(*df.columns)
