@@ -140,6 +140,52 @@ def test_fuzzy_spans(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 50
 
 
+def plain_spans(tokens, names, first):
+    """tokens: of one text, by place."""
+    found = [(p, p + len(w), n) for n in names if (w := n.lower().split()) for p in tokens if all(p + j in tokens and alike(tokens[p + j], x) for j, x in enumerate(w))]
+    kept = []
+    for a, b, n in sorted(found, key=lambda s: (s[0], s[0] - s[1], s[2]) if first == "leftmost" else (s[0] - s[1], s[0], s[2])):
+        if all(b <= c or d <= a for c, d, _ in kept):
+            kept.append((a, b, n))
+    return kept
+
+
+@pytest.mark.parametrize("most", [terms.FUZZY_PAIRS, 0])
+def test_fuzzy_spans_of_texts(spark, monkeypatch, most):
+    for name, value in (("FUZZY_PAIRS", most), ("PART_WORDS", 100), ("PIECE_WORDS", 40), ("HELD_PLACES", 3)):
+        monkeypatch.setattr(terms, name, value)
+    rnd = random.Random(11)
+    words = ["Anna", "anno", "Berta", "Bertha", "of", "smith", "Smyth", "smiths", "x", "unknown"]
+    docs = [(i, " - ".join(rnd.choices(words, k=rnd.randint(0, 25)))) for i in range(60)] + [(98, ""), (99, None)]
+    names = ["anna smith", "Anna smith", "smith", "berta of Smith", "of", "anna  smith berta", "", None, "smith smith smith", "of none", "x x", "anna of smith of anna"]
+    df, table = spark.createDataFrame(docs, "id int, t string").repartition(3), spark.createDataFrame([(n,) for n in names], "term string")
+    gaps = [(i, p * 3 // 2, w) for i, t in docs for p, w in enumerate((t or "").split(" - ")) if w]
+    for first in ("longest", "leftmost"):
+        want = [(i, *k) for i, t in docs for k in plain_spans(dict(enumerate(filter(None, (t or "").split(" - ")))), filter(None, names), first)]
+        got = terms.fuzzy_text_spans(df, "id", "t", table, first=first)
+        assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 100 and any(len(k[3].split()) > 2 for k in want)
+        want = [(i, *k) for i, _ in docs for k in plain_spans({p: w for j, p, w in gaps if j == i}, filter(None, names), first)]
+        got = terms.fuzzy_spans(spark.createDataFrame(gaps, "id int, pos long, token string").repartition(3), "id", table, first=first)
+        assert sorted(map(tuple, got.collect())) == sorted(want) and dict(got.dtypes)["start"] == "bigint"
+    for some, other in ((df.limit(0), table), (df, table.limit(0)), (df, spark.createDataFrame([("nowhere",)], "term string"))):
+        assert terms.fuzzy_text_spans(some, "id", "t", other).count() == 0
+
+
+def test_words_of_texts_are_not_shuffled(spark):
+    df = spark.createDataFrame([(i, "anna smith of berta " * 50) for i in range(20)], "id int, t string")
+    got = terms.fuzzy_text_spans(df, "id", "t", spark.createDataFrame([("anne smith",), ("of",)], "term string"))
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert got.count() == 2000 and "MapInArrow" in plan and not any(x in plan for x in ("Exchange", "Join", "Aggregate"))
+
+
+def test_fuzzy_pairs_are_all_pairs(spark):
+    rnd = random.Random(7)
+    tokens, parts = ({"".join(rnd.choices("aAb", k=rnd.randint(1, 9))) for _ in range(n)} for n in (400, 150))
+    parts = {p.lower() for p in parts}
+    got = alias.fuzzy_tag(spark.createDataFrame([(t,) for t in tokens], "token string"), spark.createDataFrame([(p,) for p in parts], "term string"))
+    assert sorted(map(tuple, got.collect())) == sorted((t, p) for t in tokens for p in parts if alike(t, p))
+
+
 def test_names_in_records_by_table(spark):
     known = spark.createDataFrame([("Ann", "Q"), ("bob+1", "W"), ("bob+1", "Z")], "entity string, alias string")
     rows = [("lin=pn|Ann, bob%2B1 ,C,|st||", "lin=pn|Q,W,C,|st||"), ("https://x/?lin=pn%7CANN%2CBob%2B1%2C%2Cd%7Cst%7C", "https://x/?lin=pn%7CQ%2CW%2C%2Cd%7Cst%7C"), ("pn|ann|", "pn|Q|"), ("no names", "no names"), (None, None), ("", ""), ("open|ann|", "open|ann|")]

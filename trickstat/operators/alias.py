@@ -216,5 +216,5 @@ def fuzzy_tag(tokens: DataFrame, terms: DataFrame, share: float = 0.75) -> DataF
         block = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("i"), F.substring(F.col("low"), cut(i) + 1, cut(i + 1) - cut(i)).alias("letters")))
         return rows.select(name, "m", F.explode(block).alias("block"))
 
-    pairs = keyed(tokens, "token").join(keyed(terms, "term"), ["m", "block"]).select("token", "term").distinct()
-    return pairs.where(fuzzy_match(F.col("token"), F.col("term"), share))
+    pairs = keyed(tokens, "token").join(keyed(terms, "term"), ["m", "block"]).where(F.col("m") == F.least(F.length(F.lower("token")), F.length(F.lower("term"))))
+    return pairs.where(fuzzy_match(F.col("token"), F.col("term"), share)).select("token", "term").distinct()

@@ -34,6 +34,11 @@ PIECE_BYTES = 1 << 20
 HELD_NAMES = 1 << 18
 PART_RECORDS = 50_000
 SHARES = 8
+FUZZY_PAIRS = 1_000_000
+PART_WORDS = 1_000_000
+PIECE_WORDS = 1 << 17
+HELD_PLACES = 1 << 21
+WORDS_APART = r"[^A-Za-z]+"
 SPANS = "array<struct<start: int, end: int, new: string>>"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -290,25 +295,177 @@ def select_spans(spans: DataFrame, key: str, first: str = "longest") -> DataFram
     return parts.select(key, F.explode(F.when(F.size("x") == 1, F.col("x")).otherwise(kept)).alias("s")).select(key, *(F.col(f"s.{c}").alias(c) for c in ("start", "end", *rest)))
 
 
+class Alike:
+    """Terms of several words among words, by the pairs (token, part) that match and terms (term, words, at), which a task builds once.
+
+    A term is looked for from its word number at; the others are compared place by place."""
+
+    def __init__(self, pairs: pa.Table, terms: pa.Table, first: str) -> None:
+        self.first, terms = first, terms.sort_by("term")
+        self.terms, words = terms.column("term").combine_chunks(), terms.column("words").combine_chunks()
+        names = words.flatten().unique()
+        self.width, self.at, self.n = len(names), _ints(terms.column("at")), _ints(pc.list_value_length(words))
+        self.begin, self.parts = np.cumsum(self.n) - self.n, _ints(pc.index_in(words.flatten(), value_set=names))
+        pairs = pairs.filter(pc.is_in(pairs.column("part"), value_set=names))
+        self.tokens = pairs.column("token").combine_chunks().unique()
+        self.pairs = np.unique(_ints(pc.index_in(pairs.column("token"), value_set=self.tokens)) * self.width + _ints(pc.index_in(pairs.column("part"), value_set=names)))
+        lead = self.parts[self.begin + self.at]
+        self.leads = np.argsort(lead, kind="stable")
+        self.of_part = np.searchsorted(lead[self.leads], np.arange(self.width + 1))
+        own, self.part = np.divmod(self.pairs, max(self.width, 1))
+        self.of_token = np.searchsorted(own, np.arange(len(self.tokens) + 1))
+        self.weight = np.bincount(own, np.diff(self.of_part)[self.part], len(self.tokens)).astype(np.int64)
+
+    def spans(self, values: pa.Array, sizes: np.ndarray, pos: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place among values of the first word, number of words and number of the term, of those that don't overlap. sizes: words of each text."""
+        code = _ints(pc.fill_null(pc.index_in(values, value_set=self.tokens), -1))
+        low, high = np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(np.cumsum(sizes), sizes)
+        places = np.flatnonzero(code >= 0)
+        places = places[self.weight[code[places]] > 0]
+        blocks = np.flatnonzero(np.diff(np.cumsum(self.weight[code[places]]) // HELD_PLACES)) + 1
+        most = int(self.n.max(initial=0))
+        found = [np.zeros(0, np.int64)]
+        for p in np.split(places, blocks):
+            run, k = _members(self.of_token, code[p])
+            p, part = p[run], self.part[k]
+            run, k = _members(self.of_part, part)
+            p, term = p[run], self.leads[k]
+            start, n = p - self.at[term], self.n[term]
+            good = (start >= low[p]) & (start + n <= high[p])
+            start, n, term = start[good], n[good], term[good]
+            if pos is not None:
+                good = pos[start + n - 1] - pos[start] == n - 1
+                start, n, term = start[good], n[good], term[good]
+            for j in range(most):
+                good = (n <= j) | (self.at[term] == j)
+                test = np.flatnonzero(~good)
+                if len(test):
+                    pair = code[start[test] + j] * self.width + self.parts[self.begin[term[test]] + j]
+                    good[test] = self.pairs[np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)] == pair
+                    start, n, term = start[good], n[good], term[good]
+            found.append(_firsts((start * (most + 1) + most - n) * len(self.terms) + term, len(self.terms)))
+        if len(self.terms) == 0:
+            return (np.zeros(0, np.int64),) * 3
+        found = _firsts(np.concatenate(found), len(self.terms))  # in order of the place, the longest first; of equal places the smallest term
+        if self.first == "leftmost":
+            found = _firsts(found, len(self.terms) * (most + 1))
+        at, term = np.divmod(found, len(self.terms))
+        start, n = np.divmod(at, most + 1)
+        n = most - n
+        if self.first == "leftmost":
+            kept = _apart(start, start + n)
+        else:
+            taken, each = np.zeros(len(values), bool), []
+            for m in np.unique(n)[::-1].tolist():
+                here = np.flatnonzero(n == m)
+                before = np.append(0, np.cumsum(taken))
+                here = here[before[start[here] + m] == before[start[here]]]
+                here = here[_apart(start[here], start[here] + m)] if m > 1 else here
+                for j in range(m):
+                    taken[start[here] + j] = True
+                each.append(here)
+            kept = np.concatenate([np.zeros(0, np.int64), *each])
+        return start[kept], n[kept], term[kept]
+
+    def table(self, rows: pa.RecordBatch, key: str, kind: pa.DataType) -> pa.RecordBatch:
+        """key, start, end, term of rows (key, _words and perhaps _pos)."""
+        sizes = _ints(pc.fill_null(pc.list_value_length(rows.column("_words")), 0))
+        ends = np.cumsum(sizes)
+        pos = _ints(rows.column("_pos").flatten()) if "_pos" in rows.schema.names else None
+        place, n, term = self.spans(rows.column("_words").flatten(), sizes, pos)
+        text = np.searchsorted(ends, place, "right")
+        start = place - (ends - sizes)[text] if pos is None else pos[place]
+        return pa.RecordBatch.from_arrays([rows.column(key).take(pa.array(text)), pa.array(start).cast(kind), pa.array(start + n).cast(kind), self.terms.take(pa.array(term))], [key, "start", "end", "term"])
+
+    def tables(self, batch: pa.RecordBatch, key: str, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        """As table(), for batch in slices of about PIECE_WORDS words."""
+        size = np.cumsum(_ints(pc.fill_null(pc.list_value_length(batch.column("_words")), 0)) + 8) // PIECE_WORDS
+        at = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            if b > a:
+                yield self.table(batch.slice(a, b - a), key, kind)
+
+
+def _ints(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _members(ends: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each member of the given runs (from ends[run] to ends[run + 1]): which of the given it is of, and its place."""
+    sizes = ends[runs + 1] - ends[runs]
+    of = np.repeat(np.arange(len(runs)), sizes)
+    return of, np.arange(len(of)) + (ends[runs] - np.cumsum(sizes) + sizes)[of]
+
+
+def _firsts(values: np.ndarray, width: int) -> np.ndarray:
+    """Sorted values, of those in one interval of width the smallest."""
+    values = np.sort(values)
+    return values[np.append(True, np.diff(values // width) > 0)] if len(values) else values
+
+
+def _apart(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Numbers of those that begin after the end of the one kept before."""
+    kept, free = [], -1
+    for i, (a, b) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
+        if a >= free:
+            kept.append(i)
+            free = b
+    return np.array(kept, np.int64)
+
+
 def fuzzy_spans(words: DataFrame, key: str, terms: DataFrame, share: float = 0.75, first: str = "longest") -> DataFrame:
-    """key, start, end, term: terms of one or more words among a text's words (key, pos, token), word by word under fuzzy_match().
+    """fuzzy_text_spans() for texts that are given as words (key, pos, token), of which key and pos tell one from another."""
+    kind = words.schema["pos"].dataType.simpleString()
+    texts = words.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_w"))
+    return _fuzzy(texts.select(key, F.col("_w.token").alias("_words"), F.col("_w.pos").alias("_pos")), key, kind, terms, share, first)
+
+
+def fuzzy_text_spans(df: DataFrame, key: str, text: str, terms: DataFrame, share: float = 0.75, first: str = "longest", pattern: str = WORDS_APART) -> DataFrame:
+    """key, start, end, term: terms of one or more words among the words of text, word by word under fuzzy_match().
 
     Distinct words meet distinct words of terms by fuzzy_tag(), an equi-join. Each term is looked for from the word of it that matches fewest
-    of the texts' words, so a common word makes no candidates; the others are then compared place by place. key and pos tell words apart.
-    Of overlapping spans the longest counts, then
-    the leftmost, then the smaller term (first "leftmost": the leftmost, then the longest). Lengths are in words."""
+    of the texts' words, so a common word makes few candidates; the others are then compared place by place, in the task that has the text.
+    While they are FUZZY_PAIRS at most (terms as in the module) the pairs of words are broadcast; beyond, texts are dealt to parts of PART_WORDS words
+    on average, each of which gets the pairs of its own words and the terms looked for from them. Words themselves aren't shuffled.
+    Of overlapping spans the longest counts, then the leftmost, then the smaller term (first "leftmost": the leftmost, then the longest).
+    Lengths are in words."""
+    return _fuzzy(df.select(key, _words(F.col(text), pattern).alias("_words")), key, "int", terms, share, first)
+
+
+def _fuzzy(texts: DataFrame, key: str, kind: str, terms: DataFrame, share: float, first: str) -> DataFrame:
+    spark = texts.sparkSession
+    words = stored(texts.select(F.explode("_words").alias("token")).groupBy("token").agg(F.count("*").alias("_often")), "words")
     each = terms.select("term").where(F.trim("term") != "").distinct().withColumn("_w", F.split(F.trim(F.lower("term")), r"\s+"))
     parts = each.select("term", F.size("_w").alias("n"), F.posexplode("_w").alias("j", "part"))
-    pairs = stored(fuzzy_tag(words.select("token"), parts.select(F.col("part").alias("term")), share).withColumnRenamed("term", "part"), "pairs")
-    often = words.groupBy("token").agg(F.count("*").alias("_often")).join(pairs, "token").groupBy("part").agg(F.sum("_often").alias("_often"))
-    rarest = parts.join(often, "part").groupBy("term", "n").agg(F.count("*").alias("known"), F.min_by(F.struct("j", "part"), F.struct("_often", "j")).alias("_r")).where("known = n")  # each part occurs at all
-    rarest = rarest.select("term", "n", F.col("_r.j").alias("_at"), F.col("_r.part").alias("part"))
-    from_ = words.join(pairs, "token").join(rarest, "part").select(key, (F.col("pos") - F.col("_at")).alias("start"), "term", "n", "_at").where("start >= 0")
-    others = from_.where("n > 1").join(parts.select("term", "j", "part"), "term").where("j <> _at").withColumn("pos", F.col("start") + F.col("j"))
-    fit = others.join(words.select(key, "pos", "token"), [key, "pos"]).join(pairs, ["token", "part"], "left_semi")
-    several = fit.groupBy(key, "start", "term", "n").agg(F.count("*").alias("same")).where("same = n - 1").drop("same")
-    spans = from_.where("n = 1").select(key, "start", "term", "n").unionByName(several)
-    return select_spans(spans.select(key, "start", (F.col("start") + F.col("n")).alias("end"), "term"), key, first)
+    pairs = stored(fuzzy_tag(words.select("token"), parts.select(F.col("part").alias("term")), share).withColumnRenamed("term", "part").join(words, "token"), "pairs")
+    often = pairs.groupBy("part").agg(F.sum("_often").alias("_often"))
+    known = parts.join(often, "part").groupBy("term", "n").agg(F.count("*").alias("known"), F.min_by("j", F.struct("_often", "j")).alias("at"), F.array_sort(F.collect_list(F.struct("j", "part"))).alias("_w"))
+    known = stored(known.where("known = n").select("term", "at", F.col("_w.part").alias("words")), "terms")  # each part occurs at all
+    schema = f"`{key}` {texts.schema[key].dataType.simpleString()}, start {kind}, end {kind}, term string"
+    number = {"int": pa.int32(), "bigint": pa.int64(), "smallint": pa.int16(), "tinyint": pa.int8()}[kind]
+    size = known.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("characters")).first()
+    if size["n"] <= AUTOMATON_TERMS and size["characters"] <= AUTOMATON_CHARACTERS and pairs.count() <= FUZZY_PAIRS:
+        sent = spark.sparkContext.broadcast((pairs.select("token", "part").toArrow(), known.toArrow()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = Alike(*sent.value, first)
+            for batch in batches:
+                yield from found.tables(batch, key, number)
+
+        return texts.mapInArrow(run, schema)
+    count = max(-(-(words.agg(F.sum("_often")).first()[0] or 0) // PART_WORDS), 1)
+    dealt = texts.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(count)).cast("int"))
+    own = dealt.select(F.col("_part").alias("_p"), F.explode("_words").alias("token")).distinct().join(pairs, "token").select("_p", "token", "part")
+    led = own.select("_p", "part").distinct().join(known.withColumn("part", F.get("words", "at")), "part").drop("part")
+
+    def of_part(left: pa.Table, right: pa.Table) -> pa.Table:
+        term = pc.is_valid(right.column("term"))
+        found = Alike(right.filter(pc.invert(term)).select(["token", "part"]), right.filter(term).select(["term", "at", "words"]), first)
+        none = pa.RecordBatch.from_pylist([], left.schema)
+        return pa.Table.from_batches([found.table(none, key, number), *(made for batch in left.to_batches() for made in found.tables(batch, key, number))])
+
+    return dealt.groupBy("_part").cogroup(own.unionByName(led, True).groupBy("_p")).applyInArrow(of_part, schema)
 
 
 def anonymize_records(df: DataFrame, key: str, record: str, aliases: DataFrame) -> DataFrame:
@@ -334,7 +491,11 @@ def anonymize_records(df: DataFrame, key: str, record: str, aliases: DataFrame)
     return out.withColumn(record, F.when(F.col("_new").isNotNull(), joined).otherwise(F.col(record))).select(*df.columns)
 
 
-def keyed_words(df: DataFrame, key: str, text: str | Column, pattern: str = r"[^A-Za-z]+") -> DataFrame:
+def _words(text: Column, pattern: str) -> Column:
+    return F.array_remove(F.split(text, pattern), "")
+
+
+def keyed_words(df: DataFrame, key: str, text: str | Column, pattern: str = WORDS_APART) -> DataFrame:
     """key, pos, token: the words of text, numbered."""
     text = F.col(text) if isinstance(text, str) else text
-    return df.select(key, F.posexplode(F.filter(F.split(text, pattern), lambda w: w != "")).alias("pos", "token"))
+    return df.select(key, F.posexplode(_words(text, pattern)).alias("pos", "token"))
