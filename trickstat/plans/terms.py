@@ -24,8 +24,7 @@ def fuzzy_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_phrases_leftmost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = terms.keyed_words(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return terms.fuzzy_spans(words, "doc_id", _phrases(spark, sf_dir), first="leftmost")
+    return terms.fuzzy_text_spans(table(spark, sf_dir, "documents"), "doc_id", "text", _phrases(spark, sf_dir), first="leftmost")
 
 
 def _many(spark: SparkSession, sf_dir: str) -> DataFrame:
