@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from trickstat.functions import hashing, links, stats, text
 from trickstat.operators import alias, keys, play, rates, report
 from trickstat.sources import records
-from trickstat.streaming import incremental
+from trickstat.streaming import incremental, tables
 
 
 def rows(df, *columns):
@@ -74,6 +74,26 @@ def test_partner_labels_are_the_greedy_ones(spark):
         assert {r.entity: r.partner_no for r in got.collect() if r.partner_no} == label
 
 
+@pytest.mark.parametrize("most", [rates.NODES, 0])
+def test_pairs_of_partners_are_not_sorted_in_few_tasks(spark, monkeypatch, most):
+    plans, stored = {}, tables.stored
+    monkeypatch.setattr(tables, "stored", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and stored(df, name))
+    monkeypatch.setattr(rates, "NODES", most)
+    monkeypatch.setattr(rates, "EACH", 20)
+    flagged = spark.createDataFrame([(i, 10, (i * 7 % 40) / 100) for i in range(40)], "entity long, deals long, p double")
+    pairs = spark.createDataFrame([(a, b, (a * b) % 11) for a in range(40) for b in range(a + 1, 40)], "a long, b long, n long")
+    got = {r.entity: r.partner_no for r in rates.label_partners(flagged, pairs, 0.9).collect()}
+    free, want, number = set(range(40)), dict.fromkeys(range(40)), 1
+    for x in sorted(range(40), key=lambda i: (i * 7 % 40, i)):
+        best = min(((-(x * y % 11), y) for y in free if x in free and y != x and x * y % 11 >= 9), default=None)
+        if best:
+            want[x] = want[best[1]] = number
+            number += 1
+            free -= {x, best[1]}
+    assert got == want and number > 5
+    assert ("BroadcastHashJoin" in plans["edges"] and "SortMergeJoin" not in plans["edges"]) if most else "hashpartitioning(a" in plans["edges"] and ", 39)" in plans["edges"]
+
+
 def test_row_ids_and_maps(spark):
     df = spark.createDataFrame([(i * 7 % 50, i) for i in range(50)], "k long, v long").repartition(5)
     assert rows(keys.with_row_id(df, "k"), "row_id", "k") == sorted(((i + 1, i) for i in range(50)), key=str)

@@ -137,6 +137,8 @@ def flagged(tested: DataFrame, least_deals: int = 50, below: float = -0.05, p: f
 #: Pairs or counts that a task of pair_counts() holds at once, and rows or pairs for which it takes one partition.
 HELD = 1 << 19
 EACH = 250_000
+#: Entities that label_partners() broadcasts at most.
+NODES = 500_000
 
 
 def pair_counts(members: DataFrame, group: str, entity: str, block: int = 2000) -> DataFrame:
@@ -290,13 +292,22 @@ def label_partners(flagged_: DataFrame, pairs: DataFrame, share: float = 0.6) ->
 
     In order of (p, entity) each free entity takes the free partner it met most often (then the smaller name), if they
     met in at least share of the smaller number of deals. Rounds do this for many at once: an undecided entity
-    that no better one lies within two edges of decides now. The number is the rank of the entity that took.
+    that no better one lies within two edges of decides now. The number is the rank of the entity that took. Entities are stored and,
+    up to NODES, broadcast, so pairs aren't shuffled; beyond, pairs are stored too and joined in partitions of EACH on average.
     """
     from ..streaming.tables import stored
     from .keys import with_row_id
 
-    nodes = flagged_.select("entity", "deals", "p")
-    edge = pairs.join(nodes.select(F.col("entity").alias("a"), F.col("deals").alias("da"), F.col("p").alias("pa")), "a").join(nodes.select(F.col("entity").alias("b"), F.col("deals").alias("db"), F.col("p").alias("pb")), "b").where(F.col("n") >= share * F.least("da", "db"))
+    nodes = stored(flagged_.select("entity", "deals", "p"), "nodes")
+    if nodes.count() <= NODES:
+        side = F.broadcast
+    else:
+        pairs = stored(pairs, "pairs")
+        count = max(-(-pairs.count() // EACH), 1)
+        side = lambda d: d.repartition(count, d.columns[0])
+        pairs = pairs.repartition(count, "a")
+    own = lambda x: side(nodes.select(F.col("entity").alias(x), F.col("deals").alias(f"d{x}"), F.col("p").alias(f"p{x}")))
+    edge = pairs.join(own("a"), "a").join(own("b"), "b").where(F.col("n") >= share * F.least("da", "db"))
     both = edge.select("a", "b", "n", "pa", "pb").unionByName(edge.select(F.col("b").alias("a"), F.col("a").alias("b"), "n", F.col("pb").alias("pa"), F.col("pa").alias("pb")))
     open_ = stored(both.select("a", "b", "n", F.struct(F.col("pa").alias("p"), F.col("a").alias("e")).alias("ra"), F.struct(F.col("pb").alias("p"), F.col("b").alias("e")).alias("rb")), "edges")
     claims = None
