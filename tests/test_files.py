@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 import subprocess
 import sys
 from collections import Counter
@@ -220,6 +221,14 @@ def test_partitions_of_pairs_grow_with_the_pairs(spark, monkeypatch):
     assert rates.pair_counts(df, "g", "e").rdd.getNumPartitions() == 9
 
 
+def test_partitions_of_groups_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(rates, "EACH", 100)
+    df = spark.range(900).selectExpr("if(id < 60, -1, id div 3) as g", "id % 60 as e")
+    got = rates.pair_counts(df, "g", "e", 20)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert got.where("n > 0").count() == 1770 and re.search(r"hashpartitioning\(_g#\d+L?, 9\)", plan) and not re.search(r"hashpartitioning\(_g#\d+L?, 4\)", plan)
+
+
 def test_validation(spark):
     rnd = random.Random(8)
     rows = [(i if rnd.random() < 0.98 else None, rnd.choice([None, 1, 2]), rnd.choice([None, -1, 1, 2])) for i in range(3000)]

@@ -151,8 +151,9 @@ def pair_counts(members: DataFrame, group: str, entity: str, block: int = 2000)
     pairs of blocks too. Numbers of partitions follow from the sizes of the groups (one row per size on the driver)."""
     parts = lambda x: max(-(-int(x) // EACH), 1)
     one = members.select(F.col(group).alias("_g"), F.col(entity).alias("e")).where(F.col("e").isNotNull() & F.col("_g").isNotNull())
-    one = one.repartition(parts(one.count()), "_g", "e").distinct()
-    sizes = one.groupBy("_g").agg(F.count("*").alias("_n"))
+    given = parts(one.count())
+    one = one.repartition(given, "_g", "e").distinct()
+    sizes = one.select("_g").repartition(given, "_g").groupBy("_g").agg(F.count("*").alias("_n"))
     many = {r["_n"]: r["k"] for r in sizes.groupBy("_n").agg(F.count("*").alias("k")).collect()}
     blocks = max(-(-max(many, default=0) // block), 1)
     most = max(block, blocks)
