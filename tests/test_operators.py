@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,6 +95,17 @@ def test_pairs_of_partners_are_not_sorted_in_few_tasks(spark, monkeypatch, most)
     assert ("BroadcastHashJoin" in plans["edges"] and "SortMergeJoin" not in plans["edges"]) if most else "hashpartitioning(a" in plans["edges"] and ", 39)" in plans["edges"]
 
 
+def test_rounds_of_partners_take_partitions_by_open_edges(spark, monkeypatch):
+    plans, stored = [], tables.stored
+    monkeypatch.setattr(tables, "stored", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or stored(df, name))
+    monkeypatch.setattr(rates, "EACH", 20)
+    flagged = spark.createDataFrame([(i, 10, i / 100) for i in range(40)], "entity long, deals long, p double")
+    pairs = spark.createDataFrame([(a, b, 9) for a in range(40) for b in range(a + 5, 40, 5)], "a long, b long, n long")  # 5 groups of 8
+    assert rates.partnered_share(rates.label_partners(flagged, pairs, 0.9)).first().asDict() == {"partnered": 40, "alone": 0}
+    counts = [{int(n) for n in re.findall(r"hashpartitioning\([^)]*?, (\d+)\)", plan)} for name, plan in plans if name == "claims"]
+    assert counts == [{14}, {8}, {3}, set()]  # 280, 150, 60 and 10 edges
+
+
 def test_row_ids_and_maps(spark):
     df = spark.createDataFrame([(i * 7 % 50, i) for i in range(50)], "k long, v long").repartition(5)
     assert rows(keys.with_row_id(df, "k"), "row_id", "k") == sorted(((i + 1, i) for i in range(50)), key=str)

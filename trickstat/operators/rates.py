@@ -294,33 +294,37 @@ def label_partners(flagged_: DataFrame, pairs: DataFrame, share: float = 0.6) ->
     In order of (p, entity) each free entity takes the free partner it met most often (then the smaller name), if they
     met in at least share of the smaller number of deals. Rounds do this for many at once: an undecided entity
     that no better one lies within two edges of decides now. The number is the rank of the entity that took. Entities are stored and,
-    up to NODES, broadcast, so pairs aren't shuffled; beyond, pairs are stored too and joined in partitions of EACH on average.
+    up to NODES, broadcast, so pairs aren't shuffled; beyond, pairs are stored too and joined in partitions of EACH on average. So are the
+    open edges of each round.
     """
     from ..streaming.tables import stored
     from .keys import with_row_id
 
+    dealt = lambda d, n, by: d.repartition(max(-(-n // EACH), 1), by)
     nodes = stored(flagged_.select("entity", "deals", "p"), "nodes")
     if nodes.count() <= NODES:
         side = F.broadcast
     else:
         pairs = stored(pairs, "pairs")
-        count = max(-(-pairs.count() // EACH), 1)
-        side = lambda d: d.repartition(count, d.columns[0])
-        pairs = pairs.repartition(count, "a")
+        count = pairs.count()
+        side = lambda d: dealt(d, count, d.columns[0])
+        pairs = dealt(pairs, count, "a")
     own = lambda x: side(nodes.select(F.col("entity").alias(x), F.col("deals").alias(f"d{x}"), F.col("p").alias(f"p{x}")))
     edge = pairs.join(own("a"), "a").join(own("b"), "b").where(F.col("n") >= share * F.least("da", "db"))
     both = edge.select("a", "b", "n", "pa", "pb").unionByName(edge.select(F.col("b").alias("a"), F.col("a").alias("b"), "n", F.col("pb").alias("pa"), F.col("pa").alias("pb")))
     open_ = stored(both.select("a", "b", "n", F.struct(F.col("pa").alias("p"), F.col("a").alias("e")).alias("ra"), F.struct(F.col("pb").alias("p"), F.col("b").alias("e")).alias("rb")), "edges")
     claims = None
-    while not open_.isEmpty():  # the best open entity of all always decides, so each round closes some edges
-        near = open_.groupBy("a").agg(F.min(F.least("ra", "rb")).alias("m"))
-        wide = open_.join(near.select(F.col("a").alias("b"), "m"), "b").groupBy("a", "ra").agg(F.min("m").alias("m"))
-        first = wide.where("ra = m").select("a")
-        taken = open_.join(first, "a", "left_semi").groupBy("a", "ra").agg(F.min(F.struct((-F.col("n")).alias("k"), F.col("b").alias("b"))).alias("best")).select("a", F.col("ra.p").alias("p"), F.col("best.b").alias("b"))
+    while left := open_.count():  # the best open entity of all always decides, so each round closes some edges
+        mine = dealt(open_, left, "a")
+        near = mine.groupBy("a").agg(F.min(F.least("ra", "rb")).alias("m"))
+        wide = dealt(open_, left, "b").join(near.select(F.col("a").alias("b"), "m"), "b").select("a", "ra", "m")
+        first = dealt(wide, left, "a").groupBy("a", "ra").agg(F.min("m").alias("m")).where("ra = m").select("a")
+        taken = mine.join(first, "a", "left_semi").groupBy("a", "ra").agg(F.min(F.struct((-F.col("n")).alias("k"), F.col("b").alias("b"))).alias("best")).select("a", F.col("ra.p").alias("p"), F.col("best.b").alias("b"))
         taken = stored(taken, "claims")
         claims = taken if claims is None else claims.unionByName(taken)
-        gone = taken.select(F.col("a").alias("x")).unionByName(taken.select(F.col("b").alias("x")))
-        open_ = stored(open_.join(gone, open_["a"] == gone["x"], "left_anti").join(gone, open_["b"] == gone["x"], "left_anti"), "edges")
+        gone = dealt(taken.select(F.col("a").alias("x")).unionByName(taken.select(F.col("b").alias("x"))), left, "x")
+        rest = mine.join(gone, mine["a"] == gone["x"], "left_anti")
+        open_ = stored(dealt(rest, left, "b").join(gone, rest["b"] == gone["x"], "left_anti"), "edges")
     if claims is None:
         return nodes.withColumn("partner_no", F.lit(None).cast("int"))
     number = with_row_id(claims, "p", "a").withColumn("partner_no", F.col("row_id").cast("int"))
