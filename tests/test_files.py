@@ -215,6 +215,33 @@ def test_pairs_of_large_groups_are_not_shuffled(spark):
     assert plan.rindex("MapInArrow") > -1 and "Aggregate" not in plan[: plan.index("MapInArrow")] and "Exchange" not in plan[: plan.index("MapInArrow")]
 
 
+def test_members_of_large_groups_are_sent_to_few_blocks(spark):
+    df = spark.range(0, 40_000, 1, 4).selectExpr("id % 2 as g", "id div 2 % 400 as e")
+    sc = spark.sparkContext
+    sc.setJobGroup("blocks", "blocks")
+    try:
+        got = [tuple(r) for r in rates.pair_counts(df, "g", "e", 2).collect()]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(got) == [(a, b, 2) for a, b in combinations(range(400), 2)]
+    stages = {i for j in sc.statusTracker().getJobIdsForGroup("blocks") for i in sc.statusTracker().getJobInfo(j).stageIds if sc.statusTracker().getStageInfo(i)}
+    sent = sum(sc._jsc.sc().statusStore().lastStageAttempt(i).shuffleWriteRecords() for i in stages)
+    assert 0 < sent < 40_000  # each member to 200 blocks would be 80,000, each row before it is made distinct 40,000 in each of two jobs
+
+
+@pytest.mark.parametrize("limits", [{"BLOCKS": 3, "EACH": 20}, {"BLOCKS": 1, "MEMBERS": 50}, {"BLOCKS": 2, "HELD": 16}])
+def test_pairs_in_any_number_of_blocks(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(rates, name, value)
+    rnd = random.Random(7)
+    groups = {g: rnd.sample(range(150), n) for g, n in enumerate((120, 90, 40, 9, 8, 7, 2, 2, 1))}
+    df = spark.createDataFrame([(g, f"e{e}") for g, es in groups.items() for e in es * 3], "g int, e string")
+    want = Counter(p for es in groups.values() for p in combinations(sorted(f"e{e}" for e in es), 2))
+    for block in (1, 8):
+        got = rates.pair_counts(df, "g", "e", block).collect()
+        assert {(r.a, r.b): r.n for r in got} == want and len(got) == len(want)
+
+
 def test_partitions_of_pairs_grow_with_the_pairs(spark, monkeypatch):
     monkeypatch.setattr(rates, "EACH", 100)
     df = spark.range(900).selectExpr("id div 3 as g", "id % 50 as e")
